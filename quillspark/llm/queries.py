@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sql
+from . import decontaminate, sql, toxicity, url_filter
 from .common import table
+from .html_density import html_extract
+from .language_id import fit_documents, held_out, language_id
 from .line_dedup import line_dedup
+from .ngram_jaccard import ngram_jaccard
 from .quality_rules import quality_rules
 from .secret_scan import digest, secret_scan
+from .sentencepiece_scan import sentencepiece_decode, sentencepiece_encode
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL of pages: host, path, rule and verdict; the trees learn from URLs that the rules decide."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_filter(pages, url_filter.fit_by_rules(pages))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +29,42 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), host="source")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    got = language_id(docs, fit_documents(docs))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    ids = sentencepiece_encode(table(spark, sf_dir, "documents"))
+    decoded = sentencepiece_decode(ids)
+    n = F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long")
+    return decoded.select("doc_id", "ids", n.alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, learnt from labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by 3-word shingles, Jaccard 0.9."""
+    return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
     return digest(secret_scan(table(spark, sf_dir, "documents")))
@@ -29,7 +76,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_extract": op5_html_extract,
+    "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import WIDTH
 from .line_dedup import MIN_PAGES, RATIO
 from .quality_rules import RULES, STOP_FORMS
 from .secret_scan import ALLOW, BASE, CLASSES
@@ -77,4 +78,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN agg USING (rid)
 """
 
-ORACLE_SQL = {"op2_line_dedup": OP2, "op9_secret_scan": OP9, "op10_quality_rules": OP10}
+OP7 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM d),
+s AS (SELECT DISTINCT rid, list_reduce(words[i:i + 2], lambda a, b: a || ' ' || b) AS g
+      FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+e2 AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e2.y FROM r JOIN e2 ON r.y = e2.x),
+c AS (SELECT r.x AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY r.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
+"""
+
+_WORDS8 = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS8} AS words FROM documents),
+b AS (SELECT item_id, {_WORDS8} AS words FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(words), {WIDTH}) AS k, list_reduce(words[i:i + {WIDTH - 1}], lambda a, b: a || ' ' || b) AS g
+       FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - {WIDTH - 1}, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT rid, k, i, list_reduce(words[i:i + k - 1], lambda a, b: a || ' ' || b) AS g
+       FROM (SELECT rid, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM d, ks WHERE len(words) >= k)),
+h AS (SELECT rid, i, bw.k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+n AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS pos FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM h) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
+"""
+
+ORACLE_SQL = {"op7_ngram_jaccard": OP7, "op8_decontaminate": OP8, "op2_line_dedup": OP2, "op9_secret_scan": OP9, "op10_quality_rules": OP10}
