@@ -67,18 +67,18 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def replace_groups(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """All rows of new, and those of old whose group is not in new."""
-    return old.join(new.select(*by).distinct(), by, "left_anti").unionByName(new)
+    return old.join(new.select(*by).distinct(), by, "left_anti").select(*new.columns).unionByName(new)
 
 
 def merge_scoped(target: DataFrame, source: DataFrame, key: str, scope: list[str]) -> DataFrame:
     """A merge: source rows update or insert; target rows of the source's scopes that it lacks are deleted."""
     kept = target.join(source.select(key), key, "left_anti").join(source.select(*scope).distinct(), scope, "left_anti")
-    return kept.unionByName(source)
+    return kept.select(*source.columns).unionByName(source)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """A merge without deletion."""
-    return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
+    return target.join(source.select(*keys), keys, "left_anti").select(*source.columns).unionByName(source)
 
 
 def changes(manifest: DataFrame, scan: DataFrame, version: int) -> DataFrame:
