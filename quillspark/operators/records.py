@@ -111,3 +111,19 @@ def percentiles(values: DataFrame, by: str, value: str, q: tuple[float, ...] = (
     w = Window.partitionBy(by).orderBy(value)
     run = n.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
     return run.groupBy(by).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * x), F.col(value))).alias(f"p{round(100 * x)}") for x in q])
+
+
+def containing(rows: DataFrame, column: str, words: str) -> DataFrame:
+    """Rows whose text holds the words, without case of A-Z."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return rows.where(F.contains(low(F.col(column)), low(F.lit(words))))
+
+
+def having_json(rows: DataFrame, column: str, path: str, value: str) -> DataFrame:
+    """Rows whose JSON has a value at a path."""
+    return rows.where(F.get_json_object(column, path) == value)
+
+
+def expire(lods: DataFrame, now_iso: str) -> DataFrame:
+    """Levels of detail that have not expired; times are RFC 3339 texts of one zone."""
+    return lods.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now_iso))

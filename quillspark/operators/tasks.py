@@ -245,3 +245,18 @@ def compact_ids(ids: DataFrame, least: int = 8) -> DataFrame:
     alone = prefixes.groupBy("p").agg(F.count("*").alias("k"), F.min("task_id").alias("task_id"), F.min("n").alias("n")).where("k = 1")
     short = alone.groupBy("task_id").agg(F.min("n").alias("n"))
     return t.join(short, "task_id", "left").select("task_id", F.left("task_id", F.coalesce("n", F.length("task_id"))).alias("short_id"))
+
+
+def as_markdown(tasks: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """task_id and markdown: front matter, title, description, what it blocks and what blocks it (sorted)."""
+    deps = edges.where("edge_kind = 'blocks'").select(F.col("from_id").alias("task_id"), F.col("to_id").alias("dep")).distinct()
+    listed = lambda df, by, c, name: df.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x.cast("string")), ", ").alias(name))
+    t = tasks.join(listed(labels.distinct(), "task_id", "label", "__tags"), "task_id", "left")
+    t = t.join(listed(deps, "task_id", "dep", "__by"), "task_id", "left").join(listed(deps, "dep", "task_id", "__blocks").withColumnRenamed("dep", "task_id"), "task_id", "left")
+    day = lambda c: F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(F.col(c) / 86400).cast("int")).cast("string")
+    line = lambda before, c, after="\n": F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
+    quoted = F.replace(F.replace(F.col("title"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    parts = [line("---\nid: ", F.col("task_id").cast("string")), line('title: "', quoted, '"\n'), line("status: ", F.col("status")), line("priority: ", F.col("priority").cast("string")), line("type: ", F.col("task_type")), line("created: ", day("created_at")), line("updated: ", day("updated_at")), line("assignee: ", F.col("assignee")), line("tags: [", F.col("__tags"), "]\n"), line("---\n\n# ", F.col("title"))]
+    parts.append(F.when(F.coalesce("description", F.lit("")) != "", line("\n## Description\n\n", F.col("description"))).otherwise(""))
+    parts.append(F.when(F.col("__by").isNotNull() | F.col("__blocks").isNotNull(), F.concat(F.lit("\n## Dependencies\n\n"), line("- Blocks: ", F.col("__blocks")), line("- Blocked by: ", F.col("__by")))).otherwise(""))
+    return t.select("task_id", F.concat(*parts).alias("markdown"))

@@ -739,3 +739,118 @@ def fold_labels(get):
 @query(f"WITH {_LOG} SELECT event_id, task_id, 'unknown task' AS problem FROM log WHERE kind <> 'task_created' AND task_id NOT IN (SELECT task_id FROM log WHERE kind = 'task_created')")
 def invalid_events(get):
     return folds.invalid_events(_task_log(get))
+
+
+# --- further -------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT task_id, string_agg(label, ', ' ORDER BY label) AS tags FROM task_labels GROUP BY task_id), d AS (SELECT DISTINCT from_id, to_id FROM entity_links WHERE edge_kind = 'blocks'),
+b AS (SELECT to_id AS task_id, string_agg(from_id::VARCHAR, ', ' ORDER BY from_id) AS blocks FROM d GROUP BY to_id), y AS (SELECT from_id AS task_id, string_agg(to_id::VARCHAR, ', ' ORDER BY to_id) AS waits FROM d GROUP BY from_id)
+SELECT t.task_id, '---' || chr(10) || 'id: ' || t.task_id || chr(10) || 'title: "' || title || '"' || chr(10) || 'status: ' || status || chr(10) || 'priority: ' || priority || chr(10) || 'type: ' || task_type || chr(10) ||
+'created: ' || strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') || chr(10) || 'updated: ' || strftime(make_timestamp(updated_at * 1000000), '%Y-%m-%d') || chr(10) || 'assignee: ' || assignee || chr(10) || coalesce('tags: [' || tags || ']' || chr(10), '') || '---' || chr(10) || chr(10) ||
+'# ' || title || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || description || chr(10) || CASE WHEN blocks IS NOT NULL OR waits IS NOT NULL THEN chr(10) || '## Dependencies' || chr(10) || chr(10) || coalesce('- Blocks: ' || blocks || chr(10), '') || coalesce('- Blocked by: ' || waits || chr(10), '') ELSE '' END AS markdown
+FROM tasks t LEFT JOIN l USING (task_id) LEFT JOIN b USING (task_id) LEFT JOIN y USING (task_id)""")
+def task_markdown(get):
+    return tasks.as_markdown(get("tasks"), get("entity_links").drop("created_at"), get("task_labels"))
+
+
+_ASKED = "asked AS (SELECT * FROM (VALUES (1, 'customer'), (1, '7'), (2, 'order'), (2, 'price'), (2, '12')) v(query_id, term))"
+
+
+@query("WITH " + _ASKED + _BM25[_BM25.index(",\nwords AS") :].replace("content", "title || ' ' || description").replace("SELECT chunk_id,", "SELECT task_id AS chunk_id,", 1).replace("FROM chunks", "FROM tasks") + " SELECT query_id::INT AS query_id, chunk_id AS task_id, round(bm25, 6) AS bm25, rank FROM kw")
+def task_search(get):
+    """BM25 over titles and descriptions of tasks."""
+    t = get("tasks").select("task_id", F.concat_ws(" ", "title", "description").alias("body"))
+    q = get("tasks").sparkSession.createDataFrame([(1, "customer 7"), (2, "order price 12")], "query_id int, text string")
+    return big(retrieval.bm25(t, q, key="task_id", text="body"), "rank").select("query_id", "task_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query("SELECT record_id FROM records WHERE contains(lower(title), 'ring')")
+def scope_search(get):
+    """Records whose title holds a word, without case."""
+    return records.containing(get("records"), "title", "RING").select("record_id")
+
+
+@query("SELECT event_id FROM events WHERE props::JSON ->> '$.k' = '7'")
+def json_lookup(get):
+    return records.having_json(get("events"), "props", "$.k", "7").select("event_id")
+
+
+@query("SELECT task_id FROM tasks WHERE embedded_at IS NULL OR updated_at > embedded_at")
+def stale_tasks(get):
+    return episodes.stale_for_embedding(get("tasks")).select("task_id")
+
+
+_LODS = """r AS (SELECT 'c' || chunk_id AS uri, sha256(content) AS h, content FROM chunks),
+l1 AS (SELECT 'c' || chunk_id AS uri, 'one ' || chunk_id AS c, CASE WHEN chunk_id % 9 = 0 THEN 'old' ELSE sha256(content) END AS h, CASE WHEN chunk_id % 2 = 0 THEN CASE WHEN chunk_id % 12 = 0 THEN '2020' ELSE '2040' END END AS x FROM chunks WHERE chunk_id % 3 = 0),
+l0 AS (SELECT 'c' || chunk_id AS uri, 'zero ' || chunk_id AS c, CASE WHEN chunk_id % 7 = 0 THEN 'old' ELSE sha256(content) END AS h FROM chunks WHERE chunk_id % 5 < 3)"""
+
+
+@query(f"""WITH {_LODS} SELECT r.uri, sha256(coalesce(l1.c, l0.c, content)) AS sha, CASE WHEN l1.uri IS NOT NULL THEN 'L1' WHEN l0.uri IS NOT NULL THEN 'L0' ELSE 'L2' END AS actual_lod,
+CASE WHEN l1.uri IS NOT NULL THEN l1.h = r.h AND (x IS NULL OR x > '2030') WHEN l0.uri IS NOT NULL THEN l0.h = r.h ELSE true END AS lod_fresh, NOT coalesce(l1.h = r.h AND (x IS NULL OR x > '2030'), false) AS enqueue
+FROM r LEFT JOIN l1 ON l1.uri = r.uri LEFT JOIN l0 ON l0.uri = r.uri""")
+def lod_resolve(get):
+    """Contents at level 1, with what is stale or missing."""
+    c = get("chunks")
+    uri, own = F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("uri"), F.sha2("content", 256)
+    m = lambda k: F.col("chunk_id") % k
+    one = c.where("chunk_id % 3 = 0").select(uri, F.lit("L1").alias("lod_level"), F.concat(F.lit("one "), F.col("chunk_id").cast("string")).alias("content"), F.when(m(9) == 0, "old").otherwise(own).alias("source_hash"), F.when(m(2) == 0, F.when(m(12) == 0, "2020").otherwise("2040")).alias("expires_at"))
+    zero = c.where("chunk_id % 5 < 3").select(uri, F.lit("L0").alias("lod_level"), F.concat(F.lit("zero "), F.col("chunk_id").cast("string")).alias("content"), F.when(m(7) == 0, "old").otherwise(own).alias("source_hash"), F.lit(None).cast("string").alias("expires_at"))
+    out = retrieval.resolve_lod(c.select(uri, "content", own.alias("source_hash")), one.union(zero), "2030", "L1")
+    return out.select("uri", F.sha2("lod_content", 256).alias("sha"), "actual_lod", "lod_fresh", "enqueue")
+
+
+@query(f"WITH {_LODS} SELECT uri FROM l1 WHERE x IS NULL OR x >= '2030'")
+def lod_expiry(get):
+    c = get("chunks").where("chunk_id % 3 = 0")
+    x = F.when(F.col("chunk_id") % 2 == 0, F.when(F.col("chunk_id") % 12 == 0, "2020").otherwise("2040"))
+    return records.expire(c.select(F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("uri"), x.alias("expires_at")), "2030").select("uri")
+
+
+@query("SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
+def chunks_lacking_summary(get):
+    s = get("events").select(F.col("event_id").alias("chunk_id"), F.col("event_type").alias("summarizer"))
+    return episodes.lacking_summary(get("chunks"), s, "click").select("chunk_id")
+
+
+@query("SELECT user_id AS chunk_id, arg_max(event_type, (floor(epoch(ts)), event_id)) AS content FROM events GROUP BY user_id")
+def latest_summary(get):
+    s = get("summaries").join(get("events").select(F.col("event_id").alias("summary_id"), F.col("user_id").alias("chunk_id")), "summary_id").select("chunk_id", F.col("kind").alias("content"), F.col("created_at").alias("updated_at"), "summary_id")
+    return episodes.latest_summary(s)
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id FROM conversations), e AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT id AS seed, id AS node FROM t WHERE id % 100 = 0 UNION SELECT seed, u.b FROM r JOIN u ON u.a = r.node) SELECT seed, node FROM r""")
+def thread_walk(get):
+    """The whole thread of each turn of the query set (ids divisible by 100)."""
+    t = get("conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("id").alias("dst"))
+    e = t.join(nxt, ["conv_id", "turn"]).select(F.col("id").alias("src"), "dst")
+    return graph.reach(graph.both_ways(e), t.where("id % 100 = 0").select(F.col("id").alias("node")), max_depth=32).select("seed", "node")
+
+
+@query("SELECT from_id, to_id, edge_kind FROM (SELECT l_orderkey AS from_id, l_partkey AS to_id, l_returnflag AS edge_kind, arg_max(l_linestatus, (l_epoch, l_linenumber, l_suppkey)) AS s FROM lineitem_t WHERE l_orderkey <> l_partkey GROUP BY ALL) WHERE s = 'O'")
+def fold_links(get):
+    """Edges whose last event created them."""
+    t = F.lit("TASK")
+    e = get("lineitem_t").select(t.alias("from_type"), F.col("l_orderkey").alias("from_id"), t.alias("to_type"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("edge_kind"), F.when(F.col("l_linestatus") == "O", "link_created").otherwise("link_removed").alias("event_type"), F.col("l_epoch").alias("timestamp"), F.struct("l_linenumber", "l_suppkey").alias("event_id"))
+    return folds.fold_links(e).select("from_id", "to_id", "edge_kind")
+
+
+@query("""WITH s AS (SELECT summary_id, row_number() OVER (PARTITION BY space ORDER BY created_at DESC, summary_id) AS position FROM summaries)
+SELECT 'episode' AS part, position, summary_id::VARCHAR AS id FROM s WHERE position <= 10""")
+def reflect_episodes(get):
+    """The episodes that a reflection of each space starts from."""
+    none = get("chunks").limit(0).select(F.lit("q").alias("query_id"), "chunk_id", F.lit(1).alias("rank"), F.lit(1).alias("stub_tokens"))
+    return episodes.reflect(get("summaries"), none, 1000)
+
+
+@query("""WITH m AS (SELECT DISTINCT tag, canonical FROM aliases), asked AS (SELECT p_partkey AS id, p_name || p_partkey AS t FROM part)
+SELECT id, sha256(string_agg(DISTINCT x, ',' ORDER BY x)) AS tags FROM (SELECT id, lower(t) AS x FROM asked UNION SELECT id, lower(b.tag) FROM asked JOIN m a ON a.tag = t JOIN m b ON b.canonical = a.canonical) GROUP BY id""")
+def expand_aliases(get):
+    """Each tag with all members of its class."""
+    a = get("aliases").select(F.lower("tag").alias("tag"), "canonical").distinct()
+    groups = a.groupBy("canonical").agg(F.collect_list("tag").alias("members"))
+    t = a.join(groups, "canonical").select("tag", F.create_map("tag", "members").alias("m"))
+    p = get("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("t"))
+    return p.join(t, F.lower("t") == F.col("tag")).select("id", F.sha2(F.array_join(retrieval.expand_tags(F.array("t"), F.col("m")), ","), 256).alias("tags"))
