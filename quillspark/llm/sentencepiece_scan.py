@@ -37,35 +37,48 @@ def best_word(v: Vocabulary, word: str) -> tuple[float, tuple[int, ...]]:
     """Score and ids of the best segmentation of a stretch between two cuts."""
     s = word.replace(" ", SPACE)
     n = len(s)
-    score, back = [0.0] + [NEVER] * n, [(0, 0)] * (n + 1)
+    root, unknown = v.trie[0], v.unknown
+    score, begin, piece = [0.0] + [NEVER] * n, [0] * (n + 1), [0] * (n + 1)
     for at in range(n):
         base = score[at]
-        for end, i in v.edges(s, at):
-            total = base + (v.score[i] if i >= 0 else v.unknown)
-            if total > score[end]:
-                score[end], back[end] = total, (at, i)
+        first = node = root.get(s[at])
+        end = at
+        while node is not None:
+            end += 1
+            if node[1] >= 0:
+                total = base + node[2]
+                if total > score[end]:
+                    score[end], begin[end], piece[end] = total, at, node[1]
+            if end == n:
+                break
+            node = node[0].get(s[end])
+        if (first is None or first[1] < 0) and base + unknown > score[at + 1]:
+            score[at + 1], begin[at + 1], piece[at + 1] = base + unknown, at, -1
     out: list[int] = []
     while n:
-        at, i = back[n]
-        out.extend([i] if i >= 0 else v.bytes_of(s[at])[::-1])
-        n = at
+        i = piece[n]
+        n = begin[n]
+        if i >= 0:
+            out.append(i)
+        else:
+            out.extend(v.bytes_of(s[n])[::-1])
     return score[-1], tuple(out[::-1])
 
 
 class Words:
-    """Best segmentations of words, remembered up to a number of words."""
+    """Best segmentations of words, remembered in two generations of at most ``most`` words each."""
 
-    def __init__(self, v: Vocabulary, most: int = 200_000) -> None:
-        self.v, self.most, self.known = v, most, {}
+    def __init__(self, v: Vocabulary, most: int = 100_000) -> None:
+        self.v, self.most, self.young, self.old = v, most, {}, {}
 
     def __call__(self, word: str) -> tuple[float, tuple[int, ...]]:
-        got = self.known.get(word)
+        got = self.young.get(word)
         if got is None:
-            got = best_word(self.v, word)
+            got = self.old.get(word) or best_word(self.v, word)
             if len(word) <= 64:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[word] = got
+                if len(self.young) >= self.most:
+                    self.old, self.young = self.young, {}
+                self.young[word] = got
         return got
 
 
@@ -85,7 +98,7 @@ def sweep(v: Vocabulary, s: str, begin: int, stop: int, forward: bool):
         score[np.arange(min(m, n + m)), np.arange(min(m, n + m))] = 0.0
     for at in range(n):
         base = score[at]
-        for end, i in v.edges(s, begin + at, len(s)):
+        for end, i in v.edges(s, begin + at):
             total = base + (v.score[i] if i >= 0 else v.unknown)
             k = end - begin
             if forward:
@@ -119,9 +132,14 @@ def traced(words: Words, s: str, n: int, e: int, x: int) -> array:
     if e > n:
         return out
     at = e
-    for b in [c for c in cuts if c > e]:
-        out.extend(words(s[at:b])[1])
-        at = b
+    young = words.young.get
+    for b in cuts:
+        if b > e:
+            w = s[at:b]
+            got = young(w)
+            out.extend((words(w) if got is None else got)[1])
+            young = words.young.get
+            at = b
     if x == 0:
         if at < n:
             out.extend(words(s[at:n])[1])

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 import re
-from functools import cache
+from collections import Counter
+from functools import cache, cached_property
+
+import numpy as np
 
 SPACE = "▁"
 #: A word: a run of spaces and what follows up to the next space.  No piece of the vocabulary has a
 #: space after another character, so each beginning of a word is a cut in every segmentation.
 WORD = re.compile(r" +[^ ]*|^[^ ]+")
+#: Characters that the trie has as arrays: with the others it is walked as dicts.
+ALPHABET = 160
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -33,7 +38,13 @@ class Vocabulary:
         self.score = {i: -math.log(r + 2.7) - total for r, i in enumerate(plain)}
         self.unknown = min(self.score.values()) - 10
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: A trie: nodes are [children by character, id or -1, score].
+        self.trie: list = [{}, -1, 0.0]
+        for p, i in self.ids.items():
+            node = self.trie
+            for ch in p:
+                node = node[0].setdefault(ch, [{}, -1, 0.0])
+            node[1:] = i, self.score[i]
         self.spelt = [b""] * n
         for p, i in self.ids.items():
             self.spelt[i] = p.replace(SPACE, " ").encode()
@@ -42,22 +53,42 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character: words are no cuts")
 
-    def edges(self, s: str, at: int, stop: int | None = None) -> list[tuple[int, int]]:
+    def edges(self, s: str, at: int) -> list[tuple[int, int]]:
         """(end, id) of the pieces that begin at a place of s; a character without piece has id -1."""
-        out, alone = [], False
-        ids, prefixes = self.ids, self.prefixes
-        for end in range(at + 1, min(at + self.longest, len(s) if stop is None else stop) + 1):
-            sub = s[at:end]
-            if sub not in prefixes:
+        out = []
+        node, end, n = self.trie, at, len(s)
+        while end < n:
+            node = node[0].get(s[end])
+            if node is None:
                 break
-            i = ids.get(sub)
-            if i is not None:
-                alone = alone or end == at + 1
-                out.append((end, i))
-        if not alone:
+            end += 1
+            if node[1] >= 0:
+                out.append((end, node[1]))
+        if not out or out[0][0] != at + 1:
             out.append((at + 1, -1))
         return out
 
+    @cached_property
+    def table(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """The trie as arrays: codes of the usual characters, next[node, code] (0: none) and piece[node] (-1: none).
+
+        Nodes without children come last and have no row in next.
+        """
+        nodes, order = [self.trie], [self.trie]
+        usual = Counter(ch for p in self.ids for ch in p).most_common(ALPHABET - 1)
+        code = {ch: k + 1 for k, (ch, _) in enumerate(usual)}
+        while nodes:
+            nodes = [x for n in nodes for x in n[0].values()]
+            order.extend(nodes)
+        order = [n for n in order if n[0]] + [n for n in order if not n[0]]
+        at = {id(n): k for k, n in enumerate(order)}
+        to = np.zeros((sum(bool(n[0]) for n in order), ALPHABET), np.int32)
+        for k, n in enumerate(order):
+            for ch, x in n[0].items():
+                if ch in code:
+                    to[k, code[ch]] = at[id(x)]
+        return code, to, np.array([n[1] for n in order], np.int32)
+
     def bytes_of(self, ch: str) -> list[int]:
         return [self.byte[b] for b in ch.replace(SPACE, " ").encode()]
 
