@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick
+from .common import in_slices, pick, release
 from .vocabulary import PIECES, SPACE, Vocabulary, vocabulary
 
 UND = "und"
 #: Pseudo-counts of a language's prior, spread as all languages' pieces are.
-PRIOR = 2_000.0
+PRIOR = 500.0
 #: Probability of a character without piece.
 UNSEEN = 1e-8
-WORDS_KEPT = 150_000
+WORDS_KEPT = 100_000
 
 
 def piece_counts(labelled: DataFrame, path: str = PIECES) -> DataFrame:
@@ -69,6 +69,7 @@ def piece_counts(labelled: DataFrame, path: str = PIECES) -> DataFrame:
         for lang, at in counts.items():
             some = np.flatnonzero(at)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(at[some], pa.int64())], names=["lang", "piece", "n"])
+        release()
 
     labelled = pick(labelled, "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     return labelled.mapInArrow(run, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
@@ -89,46 +90,110 @@ def fit(labelled: DataFrame, path: str = PIECES, prior: float = PRIOR) -> Model:
     c = np.zeros((v.size, len(langs)))
     if langs:
         c[rows["piece"].to_numpy(), rows["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()] = rows["n"].to_numpy()
-    usual = c.sum(axis=1) + 0.5
+    usual = (c / np.maximum(c.sum(axis=0), 1)).sum(axis=1) + 1e-6
     usual /= usual.sum()
     return Model(langs, (c + prior * usual[:, None]) / (c.sum(axis=0) + prior))
 
 
+def edges_of(v: Vocabulary, spelt: list[str]) -> tuple[np.ndarray, ...]:
+    """Word, begin, end and piece (-1: none) of all edges of words, by begin."""
+    codes: list[int] = []
+    put, root = codes.append, v.trie[0]
+    for k, s in enumerate(spelt):
+        n = len(s)
+        for at in range(n):
+            base = (k << 41) | (at << 21)
+            first = node = root.get(s[at])
+            end = at
+            while node is not None:
+                end += 1
+                if node[1] >= 0:
+                    put(base | (end - at) << 16 | node[1])
+                if end == n:
+                    break
+                node = node[0].get(s[end])
+            if first is None or first[1] < 0:
+                put(base | 1 << 16 | 65_535)
+    code = np.array(codes, np.int64)
+    at = code >> 21 & 0xFFFFF
+    order = np.argsort(at, kind="stable")
+    code, at = code[order], at[order]
+    piece = code & 0xFFFF
+    return code >> 41, at, at + (code >> 16 & 31), np.where(piece == 65_535, -1, piece)
+
+
+def edges_at_once(v: Vocabulary, spelt: list[str]) -> tuple[np.ndarray, ...]:
+    """edges_of for words of usual characters: all words take each step down the trie together."""
+    code, to, pieces = v.table
+    n, inner = len(spelt), len(to)
+    size = np.array([len(s) for s in spelt])
+    letters = np.zeros((n, int(size.max()) + 1), np.uint8)
+    letters[np.arange(letters.shape[1]) < size[:, None]] = np.fromiter((code[ch] for s in spelt for ch in s), np.uint8)
+    parts = []
+    for at in range(int(size.max())):
+        word = np.flatnonzero(size > at)
+        node = to[0, letters[word, at]]
+        alone = pieces[node] >= 0
+        alone[node == 0] = False
+        lost = word[~alone]
+        parts.append((lost, np.full(len(lost), at), np.full(len(lost), at + 1), np.full(len(lost), -1)))
+        end = at
+        while len(word):
+            end += 1
+            live = node > 0
+            word, node = word[live], node[live]
+            found = pieces[node] >= 0
+            w = word[found]
+            parts.append((w, np.full(len(w), at), np.full(len(w), end), pieces[node[found]]))
+            more = node < inner
+            word, node = word[more], node[more]
+            if end >= letters.shape[1]:
+                break
+            node = to[node, letters[word, end]]
+    return tuple(np.concatenate([x[k] for x in parts]) for k in range(4))
+
+
 def word_scores(v: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
     """log of the sum over all segmentations of each word, by language: the forward algorithm over
     many words at once, place by place, in a ring of as many places as the longest piece, rescaled."""
     n, m = len(words), v.longest + 1
     spelt = [SPACE + w for w in words]
-    size = np.array([len(s) for s in spelt])
+    size = np.array([len(s) for s in spelt], np.int64)
+    if size.max(initial=0) >= 1 << 20:
+        raise ValueError("words must be cut before")
+    usual = v.table[0].keys()
+    plain = len(spelt) > 8 and all(usual >= set(s) for s in spelt)
+    who, begin, end, piece = (edges_at_once if plain else edges_of)(v, spelt)
+    weight = np.where((piece >= 0)[:, None], p[piece], UNSEEN)
+    ring = end % m
+    most_at = int(size.max(initial=0))
+    starts = np.searchsorted(begin, np.arange(most_at + 1))
     alpha = np.zeros((m, n, p.shape[1]))
     alpha[0] = 1.0
     logs, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
-    live = list(range(n))
-    for at in range(int(size.max(initial=0))):
-        who, ends, ids = [], [], []
-        live = [k for k in live if size[k] > at]
-        for k in live:
-            for end, i in v.edges(spelt[k], at):
-                who.append(k)
-                ends.append(end % m)
-                ids.append(i)
-        ids_ = np.array(ids)
-        who_, ends_ = np.array(who), np.array(ends)
-        w = np.where((ids_ >= 0)[:, None], p[ids_], UNSEEN)
+    last = np.argsort(size, kind="stable")
+    ended = np.searchsorted(size[last], np.arange(most_at + 2))
+    for at in range(most_at):
+        a, b = starts[at], starts[at + 1]
         base = alpha[at % m]
-        np.add.at(alpha, (ends_, who_), base[who_] * w)
+        w = who[a:b]
+        np.add.at(alpha.reshape(m * n, -1), ring[a:b] * n + w, base[w] * weight[a:b])
         base[:] = 0.0
         if at % 8 == 7:
             most = alpha.max(axis=0)
             most[most <= 0] = 1.0
             alpha /= most
             logs += np.log(most)
-        done = np.flatnonzero(size == at + 1)
+        done = last[ended[at + 1] : ended[at + 2]]
         if len(done):
             out[done] = np.log(alpha[(at + 1) % m, done]) + logs[done]
     return out
 
 
+#: Longer words are cut, as such runs are no words of a language.
+LONGEST = 1 << 16
+
+
 class Scorer:
     """Sums of the words' log likelihoods; words are remembered up to a number of words."""
 
@@ -141,11 +206,14 @@ class Scorer:
         new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > self.most:
             self.at, self.known, new = {}, self.known[:0], list(words)
-        new.sort(key=len)
+        usual = self.v.table[0].keys()
+        new.sort(key=lambda w: (not usual >= set(w), len(w)))
         parts = [self.known]
         a = 0
         while a < len(new):
             b = a + max(1, min(4096, 262_144 // (len(new[a]) + 8)))
+            while b - a > 1 and len(new[min(b, len(new)) - 1]) > 2 * len(new[a]) + 16:
+                b = a + (b - a) // 2
             parts.append(word_scores(self.v, self.p, new[a:b]))
             a = b
         for w in new:
@@ -154,7 +222,7 @@ class Scorer:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """(texts, languages)"""
-        split = [t.split() for t in texts]
+        split = [[w[i : i + LONGEST] for w in t.split() for i in range(0, len(w), LONGEST)] if len(t) > LONGEST else t.split() for t in texts]
         seen = set()
         for ws in split:
             seen.update(ws)
