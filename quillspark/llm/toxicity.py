@@ -1,15 +1,16 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade > k) = 1 / (1 + exp(-(w.x - t_k))): one weight vector w for all ordered thresholds t_0 <
-t_1 < ..., over sparse features of the text (which words occur in it, lower-cased).  The output is the
+t_1 < ..., over sparse features of the text (which words occur in it, lower-cased, and which beginnings
+of words, so that inflected forms share what was learnt).  The output is the
 expected severity, the sum of P(grade > k) over k, and the most probable grade.
 
 Grades of labelled texts: 0 where the label says not toxic; toxic texts are graded 1 to 3 by the
-share of words that labelled toxic texts use and others practically never do (none or up to 1 %, up
-to 3 %, above).  Only the training uses labels.
+share of words with a feature that labelled toxic texts have and others practically never do (none or
+up to 1 %, up to 3 %, above).  Only the training uses labels.
 
 The fit takes a bounded sample of labelled rows (per label, the ``most`` least hashes of ids; copies
-of a text count once), keeps words that at least ``least`` sample texts hold and that separate the
+of a text count once), keeps features that at least ``least`` sample texts hold and that separate the
 labels (signed chi-square), and minimises the likelihood with an L1 penalty by accelerated proximal
 gradient, in numpy on the driver.
 
@@ -21,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,8 +39,14 @@ LEAST, WORDS, GRADES = 8, 400, 4
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_set(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+PREFIXES = (4, 5)
+BUCKETS = 1 << 22
+
+
+def features(text: str | None) -> set[str]:
+    """The text's words, and ^ with the first characters of longer ones."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words.union(*[{"^" + w[:k] for w in words if len(w) > k} for k in PREFIXES])
 
 
 @dataclass
@@ -48,21 +56,33 @@ class Ordinal:
     weights: dict[str, float]
     thresholds: list[float]
 
-    def severity(self, words: set[str]) -> tuple[float, int]:
-        z = sum(self.weights[w] for w in words & self.weights.keys())
+    def severity(self, found: set[str]) -> tuple[float, int]:
+        z = sum(self.weights[w] for w in found & self.weights.keys())
         over = [1 / (1 + np.exp(-np.clip(z - t, -50, 50))) for t in self.thresholds]
         p = [1.0, *over, 0.0]
         return float(sum(over)), int(np.argmax([a - b for a, b in zip(p, p[1:], strict=False)]))
 
 
-def fit_ordinal(sets: list[set[str]], grades: list[int], n_grades: int = GRADES, least: int = LEAST, words: int = WORDS, l1: float = 1e-3, rounds: int = 400) -> Ordinal:
+def document_counts(texts: list[str], toxic: list[int], least: int = LEAST) -> tuple[Counter, Counter]:
+    """Texts that have a feature, by label; only of features that at least ``least`` texts may have.
+
+    A first pass counts buckets of hashes, so that the many rare features are never held.
+    """
+    buckets = np.zeros(BUCKETS, np.int32)
+    for t in texts:
+        np.add.at(buckets, np.fromiter((zlib.crc32(f.encode()) % BUCKETS for f in features(t)), np.int64), 1)
+    counts = (Counter(), Counter())
+    for t, x in zip(texts, toxic, strict=True):
+        counts[x].update(f for f in features(t) if buckets[zlib.crc32(f.encode()) % BUCKETS] >= least)
+    return counts
+
+
+def fit_ordinal(texts: list[str], grades: list[int], counts: tuple[Counter, Counter] | None = None, n_grades: int = GRADES, least: int = LEAST, words: int = WORDS, l1: float = 1e-3, rounds: int = 400) -> Ordinal:
     """Maximum likelihood with an L1 penalty on the weights; thresholds start at the grades' shares."""
     y = np.array(grades)
     if len(set(grades)) < 2:
         return Ordinal({}, [50.0] * (n_grades - 1))
-    pos, neg = Counter(), Counter()
-    for s, g in zip(sets, grades, strict=True):
-        (pos if g else neg).update(s)
+    neg, pos = counts or document_counts(texts, [int(g > 0) for g in grades], least)
     n1, n0 = int((y > 0).sum()), int((y == 0).sum())
 
     def chi(w: str) -> float:
@@ -73,9 +93,9 @@ def fit_ordinal(sets: list[set[str]], grades: list[int], n_grades: int = GRADES,
 
     chosen = sorted((w for w in pos.keys() | neg.keys() if pos[w] + neg[w] >= least), key=lambda w: (-chi(w), w))[:words]
     at = {w: k for k, w in enumerate(chosen)}
-    x = np.zeros((len(sets), len(chosen)), np.float32)
-    for r, s in enumerate(sets):
-        x[r, [at[w] for w in s & at.keys()]] = 1.0
+    x = np.zeros((len(texts), len(chosen)), np.float32)
+    for r, t in enumerate(texts):
+        x[r, [at[w] for w in features(t) & at.keys()]] = 1.0
     share = np.array([np.clip((y > k).mean(), 1e-3, 1 - 1e-3) for k in range(n_grades - 1)])
     t = np.log((1 - share) / share)
     # thresholds as a first one and positive gaps
@@ -126,21 +146,18 @@ def fit_ordinal(sets: list[set[str]], grades: list[int], n_grades: int = GRADES,
     return Ordinal({c: float(k) for c, k in zip(chosen, w, strict=True) if k}, ts.tolist())
 
 
-def graded(texts: list[str], toxic: list[int]) -> tuple[list[set[str]], list[int]]:
-    """Word sets and grades of labelled texts, copies once."""
-    seen: dict[tuple[str, int], None] = dict.fromkeys(zip(texts, toxic, strict=True))
-    rows = [(t, word_set(t), x) for t, x in seen]
-    pos, neg = Counter(), Counter()
-    for _, s, x in rows:
-        (pos if x else neg).update(s)
-    n1, n0 = max(sum(x for *_, x in rows), 1), max(sum(1 - x for *_, x in rows), 1)
+def graded(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int], tuple[Counter, Counter]]:
+    """Labelled texts, copies once, with grades and counts."""
+    rows = list(dict.fromkeys(zip(texts, toxic, strict=True)))
+    neg, pos = counts = document_counts([t for t, _ in rows], [x for _, x in rows])
+    n1, n0 = max(sum(x for _, x in rows), 1), max(sum(1 - x for _, x in rows), 1)
     own = {w for w, k in pos.items() if k >= LEAST and k / n1 > 50 * (neg[w] + 0.1) / n0}
     grades = []
-    for t, _, x in rows:
-        ws = WORD.findall(t.lower())
-        share = sum(w in own for w in ws) / max(len(ws), 1)
+    for t, x in rows:
+        ws = WORD.findall(t.lower()) if x else []
+        share = sum(w in own or any("^" + w[:k] in own for k in PREFIXES if len(w) > k) for w in ws) / max(len(ws), 1)
         grades.append(0 if not x else 1 if share <= 0.01 else 2 if share <= 0.03 else 3)
-    return [s for _, s, _ in rows], grades
+    return [t for t, _ in rows], grades, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Ordinal:
@@ -149,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Ordinal:
     parts = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     few = parts[0].union(parts[1])
     rows = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").select("text", "toxic").collect()  # at most 2 * most labels
-    sets, grades = graded([r["text"] for r in rows], [r["toxic"] for r in rows])
-    return fit_ordinal(sets, grades)
+    return fit_ordinal(*graded([r["text"] for r in rows], [r["toxic"] for r in rows]))
 
 
 def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
@@ -159,7 +175,7 @@ def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFra
     shared = d.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        got = [shared.value.severity(word_set(t)) for t in batch.column("text").to_pylist()]
+        got = [shared.value.severity(features(t)) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "severity": [round(s, 6) for s, _ in got], "grade": [g for _, g in got], "toxic": [s >= threshold for s, _ in got]}
 
     return in_slices(d, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, severity double, grade int, toxic boolean", run)
