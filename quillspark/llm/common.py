@@ -63,6 +63,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release() -> None:
+    """Gives free memory back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its memory stays with the worker
+        pass
+
+
 def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], rows: int = 256, make: Callable[[], Callable[[pa.RecordBatch], dict]] | None = None) -> DataFrame:
     """mapInArrow in slices of a few rows, so that a task never holds more than a slice of results.
 
@@ -74,10 +87,18 @@ def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # results are many small objects without cycles
         f = make() if make else fn
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                got = f(batch.slice(at, rows))
-                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) if not isinstance(got[x.name], pa.Array) else got[x.name].cast(x.type) for x in out], schema=out)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    got = f(batch.slice(at, rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) if not isinstance(got[x.name], pa.Array) else got[x.name].cast(x.type) for x in out], schema=out)
+        finally:
+            del f
+            gc.enable()
+            release()
 
     return df.mapInArrow(run, schema)
