@@ -5,9 +5,9 @@ a language is the sum over all its segmentations, by the forward algorithm; piec
 spaces, so it is the product of its words' sums.  The prediction is the likeliest language, the score
 its posterior under equal priors.
 
-Piece probabilities are learnt from all labelled texts: each task counts the pieces of its words by
-language, the counts (at most vocabulary x languages) are summed by Spark, and each language's are
-smoothed towards those of all languages together.  A character without piece costs every language
+Piece probabilities are learnt from labelled texts (a bounded sample, see fit_documents): each task
+counts the pieces of its words by language, the counts (at most vocabulary x languages) are summed by
+Spark, and each language's are smoothed towards those of all languages together.  A character without piece costs every language
 the same.
 
 Texts are read whole.  Null texts and texts without letter are ``und`` with score 0.  Equal scores go
@@ -21,7 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_slices, pick, release
@@ -33,6 +33,8 @@ PRIOR = 500.0
 #: Probability of a character without piece.
 UNSEEN = 1e-8
 WORDS_KEPT = 100_000
+#: Documents to learn from: of a language, and in all.
+EACH, MOST = 5_000, 20_000
 
 
 def piece_counts(labelled: DataFrame, path: str = PIECES) -> DataFrame:
@@ -270,7 +272,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_documents(docs: DataFrame, path: str = PIECES) -> Model:
-    """The model of the documents that are not held out; those without id are not learnt from."""
-    d = pick(docs, "doc_id", "text", "lang")
-    return fit(d.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text"), path)
+def fit_documents(docs: DataFrame, path: str = PIECES, each: int = EACH, most: int = MOST) -> Model:
+    """The model of documents that are not held out; those without id are not learnt from.
+
+    At most each documents of a language and most in all, by the hashes of their ids.
+    """
+    d = pick(docs, "doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("doc_id").limit(most)
+    return fit(d.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text"), path)  # at most most ids
