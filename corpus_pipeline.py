@@ -35,8 +35,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones."""
-    return one_of_each(docs, DOCUMENT_COLUMNS)
+    """One document of each group of linked ones: sets of five-word shingles, similarity of 0.8 or more."""
+    return one_of_each(docs, DOCUMENT_COLUMNS, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

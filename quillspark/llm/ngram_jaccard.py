@@ -7,9 +7,11 @@ sequence as one.  Two documents link when 100 * |intersection| >= percent * |uni
 2. Sets that may link meet by signature: sets of sizes a and b that link differ in at most
    d = (a + b)(100 - percent) / (100 + percent) shingles, so of d + 1 + z blocks into which hashes deal
    the shingles, 1 + z are equal.  Each class gives one row for each block: hash of size class, block
-   and content.  Empty blocks say nothing and are left out wherever at most z are empty, for then an
-   equal block with content is left.  Nothing is missed, and sets that merely share common shingles
-   do not meet.  Stars of classes with a signature in common give groups, by connected components.
+   and content.  Blocks that hold nothing but
+   shingles of a table of frequent ones (at most ``known``, counted over all texts), or nothing, are
+   left out wherever at most z are such, for then an equal block of another kind is left.  Nothing is
+   missed, and sets that merely share a common passage do not meet.  Stars of classes with a
+   signature in common give groups, by connected components.
 3. The sets of a group meet in one task, or, if they hold more than ``most`` shingles, are dealt out in
    parts of about that size, each pair of parts in a task of its own.  There the sets, ordered
    globally by shingle frequency, make a trie.  Each set walks it once: nodes share the overlap of
@@ -31,13 +33,15 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, in_slices, pick
+from .common import WHITE, cut, in_slices, pick, release
 from .components import components
 
 WIDTH, PERCENT, MOST = 3, 90, 1 << 20
+#: Size of the table of frequent shingles, and how often one must occur within a batch to be counted.
+KNOWN, REPEATED = 1 << 20, 2
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -51,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles; hashes of words are remembered up to a number."""
 
-    def __init__(self, width: int, most: int = 300_000) -> None:
+    def __init__(self, width: int, most: int = 100_000) -> None:
         self.width, self.most, self.known = width, most, {}
 
     def _word(self, w: bytes) -> int:
@@ -108,11 +112,12 @@ def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """The set's signatures as signed 64-bit numbers."""
+def signatures(s: np.ndarray, classes: Classes, usual: np.ndarray) -> np.ndarray:
+    """The set's signatures as signed 64-bit numbers; usual: sorted hashes of frequent shingles."""
     out = []
     c = classes.of(len(s))
     salted = mix(s + _C)
+    rare = usual[np.minimum(np.searchsorted(usual, s), len(usual) - 1)] != s if len(usual) else np.ones(len(s), bool)
     for k in {c, max(c - 1, 0)}:
         m, z = classes.blocks(k)
         if not m:
@@ -120,9 +125,9 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
         at = ((s >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
         np.add.at(total, at, salted)
-        some = np.bincount(at, minlength=m) > 0
+        telling = np.bincount(at[rare], minlength=m) > 0
         sig = mix(total + mix(np.arange(m, dtype=np.uint64) * _A + np.full(1, k, np.uint64) * _B))
-        out.append(sig if m - int(some.sum()) > z else sig[some])
+        out.append(sig if m - int(telling.sum()) > z else sig[telling])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -279,11 +284,39 @@ def shingled(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_
     return in_slices(d, f"{named}, n_shingles bigint, class binary, node bigint", None, make=make)
 
 
-def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def frequent(docs: DataFrame, width: int, known: int = KNOWN) -> np.ndarray:
+    """Sorted hashes of the most frequent shingles of all texts, at most known, each different text of a batch counted once.
+
+    Tasks count what repeats within a batch and Spark adds the counts up; the driver gets how many
+    shingles have each count, then those over the count at which the table is full.
+    """
+
+    def run(batches):
+        shingle = Shingler(width)
+        for batch in batches:
+            texts = set(batch.column(0).cast(pa.binary()).to_pylist())
+            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[shingle(t) for t in texts]]), return_counts=True)
+            often = n >= REPEATED
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+        release()
+
+    counts = cut(pick(docs, "text").where("text IS NOT NULL").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    capped = F.least("n", F.lit(10_000))
+    least, total = 10_001, 0
+    for r in counts.groupBy(capped.alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():
+        total += r["k"]
+        if total > known:
+            break
+        least = r["c"]
+    return np.sort(counts.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def signed(docs: DataFrame, usual: np.ndarray, width: int, percent: int) -> DataFrame:
     """sig and node; a class that a task has just seen is not repeated."""
+    shared = docs.sparkSession.sparkContext.broadcast(usual)
 
     def make():
-        shingle, classes, seen = Shingler(width), Classes(percent), OrderedDict()
+        shingle, classes, seen, known = Shingler(width), Classes(percent), OrderedDict(), shared.value
 
         def run(batch: pa.RecordBatch) -> dict:
             sigs, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -296,9 +329,9 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     seen.move_to_end(node)
                     continue
                 seen[node] = True
-                if len(seen) > 100_000:
+                if len(seen) > 50_000:
                     seen.popitem(last=False)
-                sigs.append(signatures(s, classes))
+                sigs.append(signatures(s, classes, known))
                 of.append(np.full(len(sigs[-1]), node))
             return {"sig": pa.array(np.concatenate(sigs)), "node": pa.array(np.concatenate(of))}
 
@@ -309,9 +342,10 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, classed: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """u, v: a forest of links between classes; classed: shingled(docs), stored."""
-    sigs = signed(docs, width, percent).repartition("sig")  # dealt out once, for both uses
-    first = sigs.groupBy("sig").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("sig", "u")
-    stars = sigs.join(first, "sig").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    usual = frequent(docs, width)
+    # one more pass over the texts and one shuffle: each signature's classes are linked to its least one
+    least = F.min("node").over(Window.partitionBy("sig"))
+    stars = signed(docs, usual, width, percent).withColumn("u", least).where("node <> u").select("u", F.col("node").alias("v")).distinct()
     groups = cut(components(stars).select("node", F.col("component").alias("group")))
     one = classed.where("class IS NOT NULL").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     grouped = groups.join(one, "node")
