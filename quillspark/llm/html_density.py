@@ -7,9 +7,10 @@ TL tags of links beneath it, and with the body's CB and CLB the density
 
 (composite text density; divisors of 0 count as 1, and both logarithms are kept at 1 or above), 0
 without text.  A node's density sum adds its children's densities and its own characters.  The
-content is the subtree with the largest sum, raised to its ancestors as long as they are part of the
-same article: an <article> or <main> around it, if its density is at least the threshold, the least
-density on the path from the subtree to the body.
+threshold is the least density on the path from the subtree with the largest sum to the body.  From
+the body down, the content is the subtree with the largest sum beneath each node that reaches the
+threshold, raised to the outermost <article> or <main> between the two; what lies within content is
+not looked at again.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and
 other elements without running text are told by element, role and class or id, and have no text.
@@ -52,7 +53,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "up", "items", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "up", "items", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
     def __init__(self, name: str, up: Node | None, out: bool) -> None:
         self.name, self.up, self.out = name, up, out
@@ -165,24 +166,37 @@ def measure(nodes: list[Node]) -> None:
         x.total += sum(n for c in x.items if isinstance(c, str) and (n := n_chars(c)))  # text of its own, as a child without tags
 
 
-def content(root: Node) -> Node | None:
-    """The subtree with the largest density sum, raised to its article."""
+def content(root: Node) -> list[Node]:
+    """The subtrees of the content, in page order; none lies in another."""
     nodes = in_order(root)
     measure(nodes)
     top = next((x for x in nodes if x.name == "body"), root)
     inside = [x for x in in_order(top) if x.chars]
     if not inside:
-        return None
-    best = max(inside, key=lambda x: x.total)  # the first of equals: the outermost
-    path, x = [best], best
-    while x is not top and x.up is not None:
-        x = x.up
-        path.append(x)
-    threshold = min(p.density for p in path)
-    for p in reversed(path):
-        if p.name in ("article", "main") and p.density >= threshold:
-            return p
-    return best if best.name in BLOCKS or best is top else next((p for p in path if p.name in BLOCKS), best)
+        return []
+    for x in reversed(inside):  # the first of equals: the outermost
+        x.peak = max([x, *(c.peak for c in x.items if isinstance(c, Node) and not c.out and c.chars)], key=lambda y: y.total)
+
+    def path(x: Node) -> list[Node]:
+        """The nodes from the largest sum beneath x up to x."""
+        out = [x.peak]
+        while out[-1] is not x:
+            out.append(out[-1].up)
+        return out
+
+    threshold = min(p.density for p in path(top))
+    kept, chosen, stack = [], set(), [top]
+    while stack:
+        x = stack.pop()
+        if id(x) not in chosen and x.density >= threshold:
+            up = path(x)
+            found = next((p for p in reversed(up) if p.name in ("article", "main")), None) or next((p for p in up if p.name in BLOCKS), x.peak)
+            chosen.add(id(found))
+        if id(x) in chosen:
+            kept.append(x)
+        else:
+            stack.extend(c for c in reversed(x.items) if isinstance(c, Node) and not c.out and c.chars)
+    return kept
 
 
 def blocks(node: Node) -> list[str]:
@@ -218,8 +232,7 @@ def main_text(page: str | None) -> str:
     """The page's main text."""
     if not page:
         return ""
-    node = content(tree(page))
-    return "" if node is None else "\n".join(blocks(node))
+    return "\n".join(b for node in content(tree(page)) for b in blocks(node))
 
 
 def html_extract(pages: DataFrame) -> DataFrame:

@@ -218,6 +218,16 @@ def test_page_without_article():
     assert main_text(PAGE) == "Head & line\nFirst para with bold text.\nSecond link para, long enough to count.\none\ntwo"
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_text_in_sibling_containers(n):
+    ps = [[f"{chr(97 + i)}{k} " + "x" * 297 for k in range(5)] for i in range(n)]
+    parts = "".join("<div class=part>" + "".join(f"<p>{p}</p>" for p in part) + "</div>" for part in ps)
+    links = "<div><a href=x>one</a> <a href=y>two</a> <a href=z>three</a></div>"
+    assert main_text(f"<body>{links}<div id=main>{parts}</div>{links}</body>") == "\n".join(p for part in ps for p in part)
+    apart = "".join("<article>" + "".join(f"<p>{p}</p>" for p in part) + "</article>" for part in ps)
+    assert main_text(f"<body>{links}{apart}</body>") == "\n".join(p for part in ps for p in part)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p", "<!-- open", "</div></p>", "<script>x", "<nav>menu</nav>", "<a href='" + "x" * 10])
 def test_broken_pages(page):
     assert main_text(page) == ""
