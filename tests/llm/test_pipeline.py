@@ -47,6 +47,20 @@ def test_stages(spark):
             assert before.keys() - after.keys() == dirty
 
 
+def test_shared_lines_go_everywhere(spark):
+    """A line that goes from one source goes from each source that has it in many texts."""
+    d = table(spark, "/root/testdata/sf0.1", "documents")
+    after = corpus_pipeline.drop_boilerplate(spark, d, SMALL)
+
+    def lines(docs):
+        x = docs.select("source", "text", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda l: F.btrim(l)))).alias("line")).where("line <> ''")
+        return {(r.source, r.line) for r in x.groupBy("source", "line").agg(F.count_distinct("text").alias("n")).where("n >= 40").collect()}
+
+    before, left = lines(d), lines(after)
+    gone = {line for _, line in before - left}
+    assert len({s for s, _ in before}) == 20 and gone and not [x for x in left if x[1] in gone]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert got and all(r.round_trip and r.n_ids == len(r.ids) for r in got)
