@@ -22,6 +22,8 @@ LEAST_SCORE = 0.5
 #: Share of a source's documents above which a line is boilerplate: within the gap between the lines
 #: that all sources share (8.6 % and more) and those that also repeat by chance (4.8 % and less).
 LINE_RATIO = 0.06
+#: The least documents of a source, with different texts, that make a line boilerplate.
+LINE_PAGES = 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that too many documents of their source have."""
-    got = line_dedup(docs, ratio=LINE_RATIO, keep=DOCUMENT_COLUMNS)
+    got = line_dedup(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, differing=True, keep=DOCUMENT_COLUMNS)
     return got.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 

@@ -3,7 +3,8 @@
 Pages are grouped by host; for each line, the pages of the host that contain it are divided by all
 pages of the host, and lines above the ratio are dropped from the host's pages.  Lines compare
 without the white space around them; blank lines are never counted or dropped.  A line must also be
-on ``min_pages`` pages of the host, so that small hosts keep their lines.
+on ``min_pages`` pages of the host, so that small hosts keep their lines; with ``differing``, these
+pages must have two different texts at least, so that exact copies alone make no boilerplate.
 
 The counts are taken on 128-bit hashes of the lines, each at most once a page, so that neither texts
 nor groups of pages are gathered.  A host has at most (mean lines of a page) / ratio such lines, so a
@@ -34,22 +35,25 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, differing: bool = False) -> DataFrame:
     """host and drop array<struct<a, b>>: the hashes of the lines to drop; pages: host, text."""
     p = pages.where("host IS NOT NULL")
     totals = p.groupBy("host").agg(F.count("*").alias("n_host"))
     trimmed = F.transform(F.split("text", "\n"), _trim)
     lines = F.array_distinct(F.transform(F.filter(trimmed, lambda x: x != ""), _key))
-    counts = p.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    whole = [F.xxhash64("text").alias("whole")] * differing
+    apart = [(F.min("whole") < F.max("whole")).alias("apart")] * differing
+    counts = p.select("host", F.explode(lines).alias("line"), *whole).groupBy("host", "line").agg(F.count("*").alias("n_pages"), *apart).where(F.col("n_pages") >= min_pages)
+    counts = counts.where("apart").drop("apart") if differing else counts
     frequent = counts.join(totals, "host").where(F.col("n_pages") > ratio * F.col("n_host"))
     return frequent.groupBy("host").agg(F.collect_list("line").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ("doc_id",), differing: bool = False) -> DataFrame:
     """The columns of keep, host, text without boilerplate lines, n_lines (with other than white space) and n_dropped."""
     names = [c for c in dict.fromkeys((*keep, host, "text"))]
     d = pick(docs, *names).withColumn("__host", F.col(host))
-    drop = stored(boilerplate(d.select(F.col(host).alias("host"), "text"), ratio, min_pages), "boilerplate").withColumnRenamed("host", "__host")
+    drop = stored(boilerplate(d.select(F.col(host).alias("host"), "text"), ratio, min_pages, differing), "boilerplate").withColumnRenamed("host", "__host")
     lines = F.split("text", "\n")
     kept = F.filter("__lines", lambda x: ~F.array_contains("__drop", _key(_trim(x))))
     d = d.join(drop.withColumnRenamed("drop", "__drop"), "__host", "left").withColumn("__lines", lines)

@@ -61,6 +61,15 @@ def test_shared_lines_go_everywhere(spark):
     assert len({s for s, _ in before}) == 20 and gone and not [x for x in left if x[1] in gone]
 
 
+def test_lines_of_small_sources(spark):
+    rows = [(k, f"menu\nown {k}", "en", "two", 1) for k in range(2)] + [(10 + k, "menu\nsame", "en", "copies", 1) for k in range(3)] + [(20, "menu\nalone", "en", "one", 1)]
+    rows += [(30 + k, f"{'menu' if k < 3 else 'other'}\nown {k}", "en", "fifty", 1) for k in range(50)] + [(90 + k, f"menu\nown {k}", "en", None, 1) for k in range(2)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, d, SMALL).collect()}
+    assert [got[k] for k in (0, 1, 10, 11, 12, 20)] == ["own 0", "own 1", "menu\nsame", "menu\nsame", "menu\nsame", "menu\nalone"]
+    assert got[30] == "menu\nown 0" and got[79] == "own 49" and got[90] == "menu\nown 0"  # 6 % is not over the ratio
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert got and all(r.round_trip and r.n_ids == len(r.ids) for r in got)
