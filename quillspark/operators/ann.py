@@ -1,4 +1,8 @@
-"""Approximate nearest vectors by cells: k-means on a bounded sample, every vector in the index."""
+"""Approximate nearest vectors by cells: k-means on a bounded sample, every vector in the index.
+
+The number of cells that a query looks into is fitted to a recall: on the sample, against the exact
+neighbours of some of its vectors within it.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity
 
-#: Vectors that the cells are fitted on, and cells that a query looks into.
-SAMPLE, PROBES = 20_000, 20
+#: Vectors that the cells are fitted on.
+SAMPLE = 20_000
+#: Recall of the nearest DEPTH that probes are fitted to, by this many of the sample's vectors.
+RECALL, DEPTH, TRIED = 0.95, 50, 500
 
 
 @dataclass
 class Index:
-    """Cell centres (bounded by the sample) and the vectors with their cells."""
+    """Cell centres (bounded by the sample), the vectors with their cells, and the cells that a query looks into."""
 
     centres: np.ndarray
     vectors: DataFrame
+    probes: int
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -36,6 +43,23 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def fit_probes(x: np.ndarray, centres: np.ndarray, recall: float = RECALL, depth: int = DEPTH, tried: int = TRIED) -> int:
+    """The least number of cells that hold this share of the nearest depth of evenly spaced vectors, themselves left out."""
+    at = np.unique(np.linspace(0, len(x) - 1, min(tried, len(x))).astype(int))
+    depth = min(depth, len(x) - 1)
+    if depth < 1:
+        return len(centres)
+    cell = (x @ centres.T).argmax(axis=1)
+    found = np.zeros(len(centres), np.int64)  # neighbours by the place of their cell among the vector's
+    for part in np.array_split(at, math.ceil(len(at) / 100)):
+        sim = x[part] @ x.T
+        sim[np.arange(len(part)), part] = -np.inf
+        near = np.argpartition(-sim, depth - 1, axis=1)[:, :depth]
+        place = np.argsort(np.argsort(-(x[part] @ centres.T), axis=1, kind="stable"), axis=1)
+        np.add.at(found, np.take_along_axis(place, cell[near], axis=1), 1)
+    return int(np.searchsorted(np.cumsum(found), recall * found.sum())) + 1
+
+
 def with_cells(df: DataFrame, centres: np.ndarray, key: str, probes: int) -> DataFrame:
     """key, embedding and cells: the nearest probes of them."""
     shared = df.sparkSession.sparkContext.broadcast(centres)
@@ -55,11 +79,11 @@ def build(vectors: DataFrame, key: str = "chunk_id", cells: int | None = None, s
     x = np.array([r["embedding"] for r in rows], np.float32)
     k = cells or max(1, min(math.ceil(math.sqrt(vectors.count())), sample // 10, len(x)))
     centres = kmeans(x, min(k, len(x))) if len(x) else np.zeros((1, 1), np.float32)
-    return Index(centres, with_cells(vectors, centres, key, 1).select(key, "embedding", F.col("cells")[0].alias("cell")))
+    return Index(centres, with_cells(vectors, centres, key, 1).select(key, "embedding", F.col("cells")[0].alias("cell")), fit_probes(x, centres))
 
 
-def search(index: Index, queries: DataFrame, key: str = "chunk_id", k: int = 50, probes: int = PROBES) -> DataFrame:
-    """query_id, key, sim and rank within the nearest probes cells of each query: an equi-join by cell."""
-    q = with_cells(queries, index.centres, "query_id", probes).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
+def search(index: Index, queries: DataFrame, key: str = "chunk_id", k: int = DEPTH, probes: int | None = None) -> DataFrame:
+    """query_id, key, sim and rank within the nearest probes cells (the index's own if none are given) of each query: an equi-join by cell."""
+    q = with_cells(queries, index.centres, "query_id", probes or index.probes).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
     scored = index.vectors.join(q, "cell").select("query_id", key, F.round(similarity(F.col("q"), F.col("embedding")), 6).alias("sim"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc(key)))).where(F.col("rank") <= k)

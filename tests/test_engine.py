@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,30 @@ def test_ann_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_ann_recall_of_the_largest_table(spark):
+    from quillspark.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.chunk_id) for r in retrieval.knn(v, q, k=10).collect()}
+    found = {(r.query_id, r.chunk_id) for r in QUERIES["ann_search"](spark, sf).collect()}
+    assert {a for a, _ in found} == {a for a, _ in exact} and len(exact & found) / len(exact) >= 0.9
+
+
+def test_ann_probes_follow_cells():
+    rng = np.random.default_rng(7)
+    for n in (500, 5000, 20000):
+        x = rng.standard_normal((n, 32)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        centres = ann.kmeans(x, int(n**0.5) + 1, rounds=4)
+        probes = ann.fit_probes(x, centres)
+        q, cell = x[1 : n : n // 50], (x @ centres.T).argmax(axis=1)
+        seen = np.argsort(-(q @ centres.T), axis=1)[:, :probes]
+        near = np.argsort(-(q @ x.T), axis=1)[:, :10]
+        assert np.mean([np.isin(cell[a], b).mean() for a, b in zip(near, seen, strict=True)]) >= 0.9
+
+
 TASK = "task_id string, status string, priority int, task_type string, due_ts bigint, defer_until bigint, blocked_reason string, updated_at bigint, space string"
 EDGE = "from_id string, to_id string, edge_kind string"
 
