@@ -3,7 +3,8 @@ entropy per character class over candidate strings.
 
 Base patterns (leftmost, non-overlapping per kind; matches that fail the length are dropped after
 they have consumed their text): assign, access, hex.  The entropy method adds spans and never
-removes one.  A candidate is a maximal run of a class's characters; a window of ``width`` characters
+removes one.  A candidate is a maximal run of a class's characters, whatever is beside it; runs of
+16 to 23 characters have classes of their own, with a shorter window and threshold.  A window of ``width`` characters
 slides over it, and the counts of its characters, hence sum(c * log2 c), change by one character in
 and one out at each step.  The span runs from the first to the last window whose entropy reaches the
 class's threshold.  Candidates that the allow-list fits (words, UUIDs, placeholders, alphabets, runs
@@ -38,13 +39,19 @@ class CharClass:
     alphabet: str
     width: int
     bits: float
+    most: int = 2**31 - 1
 
 
 DIGITS, LOW, UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (
-    CharClass("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", DIGITS + "abcdefABCDEF", 24, 3.05),
+    CharClass("entropy_hex", r"[0-9A-Fa-f]{24,}", DIGITS + "abcdefABCDEF", 24, 3.05),
     CharClass("entropy_base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])", DIGITS + LOW + UP + "+/_=-", 24, 3.93),
 )
+#: Runs of 16 to 23 characters; letters and digits alone, so that KEY=TOKEN is seen.
+SHORT = (
+    CharClass("entropy_short_hex", r"[0-9A-Fa-f]{16,}", DIGITS + "abcdefABCDEF", 16, 2.75, 23),
+    CharClass("entropy_short", r"[A-Za-z0-9]{16,}", DIGITS + LOW + UP, 16, 3.4, 23),
+)
 #: A candidate that any of these fits is no secret.
 ALLOW = (
     r"^[A-Za-z/_=-]*$",
@@ -138,12 +145,12 @@ def spans(text: Column) -> Column:
         return out
 
     def entropic(k: int, c: CharClass) -> Column:
-        found = F.filter(located(text, matches(text, c.pattern, 0)), lambda m: ~allowed(m))
+        found = F.filter(located(text, matches(text, c.pattern, 0)), lambda m: (m["size"] <= c.most) & ~allowed(m))
         seen = F.transform(found, lambda m: F.struct(m["start"].alias("start"), entropy_window(m["match"], c).alias("w")))
         seen = F.filter(seen, lambda m: m["w"]["first"] >= 0)
         return F.transform(seen, lambda m: of(c.kind, k, m["start"] + m["w"]["first"], m["start"] + m["w"]["last"] + c.width))
 
-    parts = [base(k, *rule) for k, rule in enumerate(BASE)] + [entropic(k, c) for k, c in enumerate(CLASSES, len(BASE))]
+    parts = [base(k, *rule) for k, rule in enumerate(BASE)] + [entropic(k, c) for k, c in enumerate(CLASSES + SHORT, len(BASE))]
     return F.sort_array(F.concat(*parts))
 
 

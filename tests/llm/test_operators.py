@@ -100,6 +100,24 @@ def test_entropy_of_windows(spark):
     assert (got.first, got.last) == (hits[0], hits[-1])
 
 
+def test_secrets_after_keys_and_short_ones(spark):
+    rng = np.random.default_rng(3)
+
+    def strings(alphabet, n, count=60):
+        return ["".join(rng.choice(list(alphabet), n)) for _ in range(count)]
+
+    cases = [(f"x {before}{t} y", before, t) for before in ("", "SESSION=", "X-SIG=", "sig/", "KEY_") for t in strings("0123456789ABCDEF", 32) + strings("0123456789abcdef", 24)]
+    cases += [(f"x {before}{t} y", before, t) for before in ("", "KEY=") for t in strings("0123456789abcdef", 16) + strings("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20)]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs(spark, [(i, c[0], "en", "s", 1) for i, c in enumerate(cases)])).collect()}
+    share = {}
+    for i, (text, before, t) in enumerate(cases):
+        at = text.index(before + t) + len(before)
+        share.setdefault((before, len(t)), []).append(any(s["start"] >= at and s["end"] <= at + len(t) for s in got[i]))
+    assert all(np.mean(v) >= 0.9 for v in share.values()), {k: np.mean(v) for k, v in share.items()}
+    prose = ["internationalisation of 1234567890123456789 things", "word-by-word 2026-11-26T10:00:00 aaaaaaaaaaaaaaaa1"]
+    assert all(not r.spans for r in secret_scan.secret_scan(docs(spark, [(i, x, "en", "s", 1) for i, x in enumerate(prose)])).collect())
+
+
 # --- line dedup ----------------------------------------------------------------------------------
 
 
