@@ -272,12 +272,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def shared_bound(sizes: list[tuple[int, int]], each: int, most: int) -> int:
+    """The largest bound up to each, 1 at least, under which the languages (size, how many) have at most most in all."""
+    low, high = 1, max(each, 1)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(n, mid) * k for n, k in sizes) <= most else (low, mid - 1)
+    return low
+
+
 def fit_documents(docs: DataFrame, path: str = PIECES, each: int = EACH, most: int = MOST) -> Model:
     """The model of documents that are not held out; those without id are not learnt from.
 
-    At most each documents of a language and most in all, by the hashes of their ids.
+    At most each documents of a language and most in all, by the hashes of their ids; if the languages
+    have more, each is held to the same number, and has one at least.
     """
     d = pick(docs, "doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # languages by size, sizes above each as one: at most each rows
+    sizes = d.groupBy("lang").agg(F.least(F.count("*"), F.lit(each)).alias("n")).groupBy("n").agg(F.count("*").alias("langs")).collect()
+    each = shared_bound([(r.n, r.langs) for r in sizes], each, most)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("doc_id").limit(most)
-    return fit(d.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text"), path)  # at most most ids
+    ids = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("doc_id")
+    return fit(d.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text"), path)  # at most most ids, or one a language

@@ -215,6 +215,12 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.language_id(d, none).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(100 * k + i, f"wort{k} und text", f"l{k}", "s", 1) for k in range(6) for i in range(60)]
+    assert language_id.fit_documents(docs(spark, rows), each=20, most=60).langs == [f"l{k}" for k in range(6)]
+    assert language_id.shared_bound([(3, 1), (20, 5)], 20, 60) == 11 and language_id.shared_bound([(5000, 4)], 5000, 20000) == 5000
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 
