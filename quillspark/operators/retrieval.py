@@ -5,11 +5,14 @@ A query is a row (query_id, text, embedding, tags, profile); a single question i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens, let, stub_capsule, trim
-from ..functions.vectors import similarity
+from ..functions.text import estimate_tokens, let, recency, stub_capsule, trim
+from ..session import cut
+from .similarity import nearest
 
 #: Fixed weights: vector, keyword, recency, links, tags, importance.
 PROFILES = {
@@ -21,7 +24,7 @@ PROFILES = {
 }
 SIGNALS = ("sim_vector", "bm25", "recency", "pagerank", "tag_match", "importance")
 #: Fixed parameters of the pipeline.
-CANDIDATES, ALIAS_DISCOUNT, TAU = 50, 0.7, 30 * 24 * 3600.0
+CANDIDATES, ALIAS_DISCOUNT = 50, 0.7
 RERANK_BELOW, CONFIDENCE_K, RERANK_DEPTH = 0.3, 5, 20
 SEEDS, EXPANDED_FILES, DAMPING, STUB_COST = 10, 20, 0.5, 5
 K1, B = 1.2, 0.75
@@ -33,44 +36,50 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """key, term, tf and the document's length in terms."""
-    words = docs.select(key, tokens(F.col(text)).alias("ts"))
-    return words.select(key, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+def phrases(text: Column) -> Column:
+    """The quoted phrases of a query, each as its tokens with a space around them."""
+    found = F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), F.lit(1))
+    return F.filter(F.transform(found, lambda p: F.concat(F.lit(" "), F.array_join(tokens(p), " "), F.lit(" "))), lambda p: F.length(p) > 2)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content", k: int = CANDIDATES) -> DataFrame:
-    """query_id, key, bm25 (over the best of the query's k results) and rank; all terms must occur.
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content", k: int = CANDIDATES, stem: Callable[[Column], Column] | None = None, every: bool = True) -> DataFrame:
+    """query_id, key, bm25 (over the best of the query's k results) and rank; all terms must occur (with
+    every=False: any), and quoted phrases as such.
 
-    Okapi BM25 with k1 = 1.2 and b = 0.75.  Only the postings of terms that some query asks for leave
-    the scan; lengths are two sums over the corpus.
+    Okapi BM25 with k1 = 1.2 and b = 0.75.  One scan of the texts gives the postings of terms that some
+    query asks for, and a row for each text's length; numbers of texts and of texts by term are sums
+    over the same rows.  If all are required, only texts with a query's rarest term are scored.  stem: of an array of terms.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    words = docs.select(key, tokens(F.col(text)).alias("ts"))
-    totals = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avg_len"))
-    hits = words.select(key, F.size("ts").alias("len"), F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n_terms = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    stem = stem or (lambda ts: ts)
+    terms = queries.select("query_id", F.explode(F.array_distinct(stem(tokens(F.col("text"))))).alias("term"))
+    length = F.lit("")  # a term that no text has stands for the text itself
+    asked = terms.select("term").union(queries.sparkSession.range(1).select(length.alias("term"))).distinct()
+    words = docs.select(key, stem(tokens(F.col(text))).alias("ts"))
+    hits = words.select(key, F.size("ts").alias("len"), F.explode(F.concat("ts", F.array(length))).alias("term")).join(asked, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    hits = cut(hits)  # read four times
+    totals = hits.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = hits.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    known = terms.join(df, "term", "left").groupBy("query_id").agg(F.count("*").alias("n_terms"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    rarest = known.where("r.df > 0").select("query_id", "n_terms", F.col("r.term").alias("term"))
+    few = hits.join(rarest, "term").select("query_id", key, "n_terms").join(hits, key)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.join(df, "term").join(terms, "term").join(F.broadcast(totals), how="cross").groupBy("query_id", key).agg(F.sum(weight).alias("raw"), F.count("*").alias("n_hit"))
-    whole = scored.join(n_terms, "query_id").where("n_hit = n_terms").withColumn("raw", F.round("raw", 9))
-    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc(key)))).where(F.col("rank") <= k)
+    asked_of = terms.join(df, "term")
+    found = few.join(asked_of, ["query_id", "term"]) if every else hits.join(asked_of, "term").withColumn("n_terms", F.lit(0))
+    scored = found.join(F.broadcast(totals), how="cross").groupBy("query_id", key, "n_terms").agg(F.sum(weight).alias("raw"), F.count("*").alias("n_hit"))  # totals: one row
+    whole = (scored.where("n_hit = n_terms") if every else scored).withColumn("raw", F.round("raw", 9))
+    quoted = queries.select("query_id", phrases(F.col("text")).alias("phrases")).where(F.size("phrases") > 0)
+    flat = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
+    with_phrases = whole.join(quoted, "query_id").join(docs.select(key, flat.alias("flat")), key)
+    missing = with_phrases.where(F.exists("phrases", lambda p: ~F.contains(F.col("flat"), p))).select("query_id", key)
+    ranked = whole.join(missing, ["query_id", key], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc(key)))).where(F.col("rank") <= k)
     best = F.max("raw").over(Window.partitionBy("query_id"))
     return ranked.withColumn("bm25", F.when(best > 0, F.col("raw") / best).otherwise(F.lit(0.0))).select("query_id", key, "bm25", "rank")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", k: int = CANDIDATES) -> DataFrame:
-    """query_id, key, sim and rank of the k nearest vectors, exactly.
-
-    Each task keeps its own k best for each query before anything is shuffled, so that what moves is
-    tasks x queries x k rows, not vectors x queries.
-    """
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = vectors.select(key, "embedding").join(q, how="cross")
-    scored = pairs.select("query_id", key, F.round(similarity(F.col("q"), F.col("embedding")), 9).alias("sim"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc(key)))).where(F.col("rank") <= k)
+    """query_id, key, sim and rank of the k nearest vectors of each query that has one, exactly."""
+    return nearest(vectors, queries, key, k)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -125,7 +134,7 @@ def expansion_reason() -> Column:
 
 def rank(candidates: DataFrame, profile: str = "default", key: str = "chunk_id", rounded: int = 9) -> DataFrame:
     """score and rank of each query's candidates with sim_vector, bm25, age_seconds, pagerank, tag_match and importance."""
-    df = candidates.withColumn("recency", F.exp(-F.col("age_seconds") / TAU))
+    df = candidates.withColumn("recency", recency(F.col("age_seconds")))
     score = sum((F.lit(w) * F.col(s) for w, s in zip(PROFILES[resolve_profile(profile)], SIGNALS, strict=True)), F.lit(0.0))
     df = df.withColumn("score", F.round(score, rounded)).withColumn("reason", expansion_reason())
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))))

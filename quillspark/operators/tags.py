@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..session import cut
 from .graph import components
+from .similarity import classes, similar_pairs
 
 THRESHOLD, NEAR_DUPLICATE = 0.85, 0.95
 
@@ -21,20 +22,6 @@ def dedupe(raw: DataFrame) -> DataFrame:
     return raw.groupBy("tag").agg(F.sum("n").alias("n"), F.max("last_seen").alias("last_seen"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = 64) -> DataFrame:
-    """a, b (a < b) and cosine of unit vectors (tag, embedding) at or over the threshold.
-
-    Exact, in blocks: vectors are dealt into block groups by hash and each pair of groups meets in one
-    partition, so a task holds two groups, whatever the number of vectors.
-    """
-    v = vectors.select("tag", "embedding").withColumn("g", F.pmod(F.xxhash64("tag"), F.lit(block)).cast("int"))
-    dealt = v.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    left = dealt.select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), F.col("tag").alias("a"), F.col("embedding").alias("ea"), F.col("g").alias("ga"))
-    right = dealt.select(F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), F.col("tag").alias("b"), F.col("embedding").alias("eb"), F.col("g").alias("gb"))
-    met = left.join(right, ["i", "j"]).where((F.col("a") < F.col("b")) & ((F.col("ga") != F.col("gb")) | (F.col("i") == F.col("j"))))
-    return met.select("a", "b", F.round(dot(F.col("ea"), F.col("eb")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-
-
 def clusters(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """tag, cluster (its least tag) and canonical (most references, then shortest, then first); candidates: tag, n, embedding."""
     pairs = similar_pairs(candidates, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -66,15 +53,18 @@ def alias_page(aliases: DataFrame, limit: int, offset: int = 0, canonical: str |
     return a.orderBy("canonical", "tag").offset(offset).limit(limit)
 
 
-def near_duplicates(new: DataFrame, known: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
-    """id, best (the most similar known one) and cosine of new vectors (id, embedding) that a known one is close to.
-
-    The new ones are the query set against all known ones; each task keeps its best of each.
-    """
-    pairs = known.select(F.col("id").alias("other"), F.col("embedding").alias("e")).join(new.select("id", "embedding"), how="cross").where("id <> other")
-    scored = pairs.select("id", "other", F.round(F.least(F.greatest(dot(F.col("embedding"), F.col("e")), F.lit(-1.0)), F.lit(1.0)), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("other")).alias("o"))).alias("m"))
-    return best.select("id", (-F.col("m.o")).alias("best"), F.col("m.cosine").alias("cosine"))
+def near_duplicates(vectors: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """id, best (the most similar other one, of equals the first) and cosine of vectors (id, embedding) that another one is close to."""
+    pairs = cut(similar_pairs(vectors, threshold, "id"))
+    same = classes(vectors, "id").select("id", "first")
+    further = same.where("id <> first").select(F.col("id").alias("b"))
+    copies, apart = pairs.join(further, "b", "left_semi"), pairs.join(further, "b", "left_anti")
+    # a vector's further ids have its pairs with other vectors too
+    both = apart.select(F.col("a").alias("first"), F.col("b").alias("other"), "cosine").union(apart.select("b", "a", "cosine"))
+    scored = both.join(same, "first").select("id", "other", "cosine")
+    scored = scored.union(copies.select("b", "a", "cosine")).union(copies.groupBy("a").agg(F.min("b"), F.first("cosine")))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "other")).alias("m"))
+    return best.select("id", F.col("m.other").alias("best"), (-F.col("m.c")).alias("cosine"))
 
 
 def alias_map(aliases: DataFrame) -> DataFrame:

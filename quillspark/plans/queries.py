@@ -45,7 +45,7 @@ _HEAD = "CASE WHEN strlen({0}) <= {1} THEN {0} ELSE left({0}, len(list_filter(ra
 
 _TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _BM25 = rf"""
-asked AS (SELECT item_id AS query_id, term FROM (SELECT item_id, unnest(list_distinct({_TOKENS.format("w")})) AS term FROM (SELECT item_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:3], ' ') AS w FROM benchmark))),
+asked AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS.format("text")})) AS term FROM benchmark),
 words AS (SELECT chunk_id, {_TOKENS.format("content")} AS ts FROM chunks),
 totals AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM words),
 tf AS (SELECT chunk_id, len, term, count(*) AS tf FROM (SELECT chunk_id, len(ts) AS len, unnest(ts) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
@@ -61,9 +61,8 @@ vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _queries(get) -> DataFrame:
-    """The benchmark's items as queries: their first three words, the vector of the same number, two tags."""
-    words = F.array_join(F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 3), " ")
-    q = get("benchmark").select(F.col("item_id").alias("query_id"), words.alias("text"), F.array(F.lit("en"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("tags"))
+    """The benchmark's items as queries: their whole texts, the vector of the same number, two tags."""
+    q = get("benchmark").select(F.col("item_id").alias("query_id"), "text", F.array(F.lit("en"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("tags"))
     return q.join(_vectors(get).withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
 
 
@@ -81,11 +80,16 @@ def bm25_search(get):
     return retrieval.bm25(get("chunks"), _queries(get)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(rf"WITH {_BM25.strip().replace('WHERE n_hit = n_terms', '')} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM kw")
+def bm25_any(get):
+    """BM25 top 50 of each query, any of its terms."""
+    return retrieval.bm25(get("chunks"), _queries(get), every=False).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"WITH {_KNN.strip()} SELECT query_id, chunk_id, round(sim, 6) AS sim, rank FROM vec")
 def vector_search(get):
     """Exact top 50 vectors of each query."""
-    q = _queries(get).where("embedding IS NOT NULL")
-    return retrieval.knn(_vectors(get), q).select("query_id", "chunk_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.knn(_vectors(get), _queries(get)).select("query_id", "chunk_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _FUSED = f"""WITH {_BM25.strip()},{_KNN},
@@ -97,7 +101,7 @@ fused AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_
 def hybrid_candidates(get):
     """Both channels' candidates, absent signals 0."""
     q = _queries(get)
-    return retrieval.fuse(retrieval.knn(_vectors(get), q.where("embedding IS NOT NULL")), retrieval.bm25(get("chunks"), q)).select("query_id", "chunk_id", F.round("sim_vector", 6).alias("sim_vector"), F.round("bm25", 6).alias("bm25"))
+    return retrieval.fuse(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q)).select("query_id", "chunk_id", F.round("sim_vector", 6).alias("sim_vector"), F.round("bm25", 6).alias("bm25"))
 
 
 def _ranked_sql(profile: str) -> str:
@@ -110,12 +114,11 @@ def _ranked_sql(profile: str) -> str:
 
 
 def _search(get, profile: str) -> DataFrame:
-    return retrieval.search(_chunks(get), _vectors(get), _queries(get).where("embedding IS NOT NULL"), NOW, profile)
+    return retrieval.search(_chunks(get), _vectors(get), _queries(get), NOW, profile)
 
 
 def _hybrid(profile: str):
-    # queries without a vector are left out on either side by the inner join with the vector channel's queries
-    sql = _ranked_sql(profile) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE query_id IN (SELECT vec_id FROM embeddings)"
+    sql = _ranked_sql(profile) + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked"
 
     def f(get):
         return _search(get, profile).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -135,10 +138,10 @@ SELECT query_id, CASE WHEN nv = 0 AND nf = 0 THEN 1.0 WHEN k = 0 THEN 0.0 ELSE o
 def fusion_confidence(get):
     """Overlap of both channels' best five."""
     q = _queries(get)
-    return big(retrieval.fusion_confidence(retrieval.knn(_vectors(get), q.where("embedding IS NOT NULL")), retrieval.bm25(get("chunks"), q), q), "k", "overlap")
+    return big(retrieval.fusion_confidence(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q), q), "k", "overlap")
 
 
-_STUBS = _ranked_sql("default") + r""", stub AS (SELECT query_id, chunk_id, rank, left(string_split(content, chr(10))[1], 80) AS title, content, trim(content) AS c FROM ranked WHERE query_id IN (SELECT vec_id FROM embeddings)),
+_STUBS = _ranked_sql("default") + r""", stub AS (SELECT query_id, chunk_id, rank, left(string_split(content, chr(10))[1], 80) AS title, content, trim(content) AS c FROM ranked),
 sum1 AS (SELECT *, CASE WHEN instr(c, '. ') > 0 THEN left(c, instr(c, '. ')) WHEN c LIKE '%.' THEN """ + _HEAD.format("c", 200) + r""" WHEN instr(c, chr(10)) > 0 THEN left(c, instr(c, chr(10)) - 1) ELSE """ + _HEAD.format("c", 200) + r""" END AS s FROM stub),
 costs AS (SELECT query_id, chunk_id, rank, ceil(strlen(title) / 4.0)::BIGINT + ceil(strlen(concat_ws(' — ', trim(title), trim(s))) / 4.0)::BIGINT + 5 AS stub_tokens FROM sum1)"""
 
@@ -151,14 +154,17 @@ def pack_budget(get):
     return big(retrieval.pack(r, 600, 10), "slot", "used").select("query_id", "chunk_id", "slot", "stub_tokens", "used")
 
 
-@query(_ranked_sql("lookup") + """, t AS (SELECT *, ceil(strlen(content) / 4.0)::BIGINT AS n FROM ranked WHERE query_id IN (SELECT vec_id FROM embeddings)),
+@query(_ranked_sql("lookup") + """, t AS (SELECT *, ceil(strlen(content) / 4.0)::BIGINT AS n FROM ranked),
 r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
-o AS (SELECT *, before + n > 3000 AS truncated, sum((before + n > 3000)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS over FROM r)
-SELECT query_id, chunk_id, rank, truncated FROM o WHERE over = 0 OR truncated AND over = 1 AND 3000 - before > 20""")
+o AS (SELECT *, before + n > 3000 AS truncated, sum((before + n > 3000)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS over FROM r),
+k AS (SELECT *, 4 * (3000 - before - 5) AS room FROM o WHERE over = 0 OR truncated AND over = 1 AND 3000 - before > 20),
+h AS (SELECT *, CASE WHEN truncated THEN left(content, len(list_filter(range(1, length(content) + 1), lambda i: strlen(left(content, i)) <= room))::BIGINT) END AS head FROM k)
+SELECT query_id, chunk_id, rank, truncated, sha256(CASE WHEN NOT truncated THEN content WHEN strlen(content) <= room THEN content || chr(10) || '[truncated]'
+  ELSE trim(CASE WHEN contains(head, '. ') THEN regexp_extract(head, '(?s)^(.*)[.] ', 1) WHEN contains(head, ' ') THEN regexp_extract(head, '(?s)^(.*) ', 1) ELSE head END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || '[truncated]' END) AS content_sha FROM h""")
 def expand_budget(get):
     """Whole contents within 3000 tokens, the next one cut."""
     r = _search(get, "lookup").withColumn("token_estimate", T.estimate_tokens(F.col("content")))
-    return big(retrieval.expand(r, 3000), "rank").select("query_id", "chunk_id", "rank", "truncated")
+    return big(retrieval.expand(r, 3000), "rank").select("query_id", "chunk_id", "rank", "truncated", F.sha2("content", 256).alias("content_sha"))
 
 
 @query(_FUSED + """, r AS (SELECT query_id, chunk_id, space, round(sim_vector + bm25, 6) AS score FROM fused JOIN chunks USING (chunk_id)),
@@ -168,7 +174,7 @@ SELECT query_id, chunk_id, space, score, row_number() OVER (PARTITION BY query_i
 def federated_merge(get):
     """Results of three spaces merged: best score, ties to the first space."""
     q = _queries(get)
-    f = retrieval.fuse(retrieval.knn(_vectors(get), q.where("embedding IS NOT NULL")), retrieval.bm25(get("chunks"), q)).join(get("chunks").select("chunk_id", "space"), "chunk_id")
+    f = retrieval.fuse(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q)).join(get("chunks").select("chunk_id", "space"), "chunk_id")
     r = f.select("query_id", "chunk_id", "space", F.round(F.col("sim_vector") + F.col("bm25"), 6).alias("score"))
     u = r.union(r.withColumn("space", F.concat(F.lit("a-"), "space"))).union(r.withColumn("space", F.lit("zz")).withColumn("score", F.round(F.col("score") - 0.25, 6)))
     return big(retrieval.federated_merge(u), "rank").select("query_id", "chunk_id", "space", "score", "rank")
@@ -178,7 +184,7 @@ def federated_merge(get):
 def tag_filters(get):
     """Filters after the candidates' limit: one tag of a class required, two excluded."""
     q = _queries(get)
-    f = retrieval.fuse(retrieval.knn(_vectors(get), q.where("embedding IS NOT NULL")), retrieval.bm25(get("chunks"), q)).join(_chunks(get).select("chunk_id", "tags"), "chunk_id")
+    f = retrieval.fuse(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q)).join(_chunks(get).select("chunk_id", "tags"), "chunk_id")
     return retrieval.post_filter(f, require=[["EN", "fr"]], exclude=["src1", "SRC2"]).select("query_id", "chunk_id")
 
 
@@ -190,12 +196,16 @@ def ann_search(get):
     return ann.search(ann.build(v, key="chunk_id"), q, key="chunk_id", k=10)
 
 
-@query("""SELECT a.vec_id AS id, b.vec_id AS best, round(least(greatest(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), -1), 1), 6) AS cosine FROM embeddings a, embeddings b
-WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0 AND round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.5 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) = 1""")
+_COSINE = "round(least(greatest(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), -1), 1), 6)"
+#: The tables' vectors are far apart: a threshold that some hundreds of pairs reach.
+_SIMILAR = 0.35
+
+
+@query(f"""SELECT a.vec_id AS id, b.vec_id AS best, {_COSINE} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+WHERE {_COSINE} >= {_SIMILAR} QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) = 1""")
 def near_duplicate_vectors(get):
-    """The closest known vector of the query set (ids divisible by 100) against all."""
-    v = get("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return tags.near_duplicates(v.where("id % 100 = 0"), v, 0.5)
+    """The closest other vector of every vector that has one."""
+    return tags.near_duplicates(get("embeddings").select(F.col("vec_id").alias("id"), "embedding"), _SIMILAR)
 
 
 # --- text ----------------------------------------------------------------------------------------
@@ -670,13 +680,13 @@ def alias_page(get):
     return tags.alias_page(get("aliases"), 50, 100).select("tag", "canonical")
 
 
-_PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.5)"
+_PAIRS = f"p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= {_SIMILAR})"
 _CLUSTERS = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
 c AS (SELECT node AS tag, min(other) AS cluster FROM r GROUP BY node), m AS (SELECT tag, cluster, tag % 13 AS n FROM c), best AS (SELECT cluster, arg_min(tag, (-n, strlen(tag::VARCHAR), tag)) AS canonical FROM m GROUP BY cluster)"""
 
 
 def _clusters(get) -> DataFrame:
-    return tags.clusters(get("embeddings").select(F.col("vec_id").alias("tag"), (F.col("vec_id") % 13).alias("n"), "embedding"), 0.5)
+    return tags.clusters(get("embeddings").select(F.col("vec_id").alias("tag"), (F.col("vec_id") % 13).alias("n"), "embedding"), _SIMILAR)
 
 
 @query(_CLUSTERS + " SELECT tag, cluster, canonical FROM m JOIN best USING (cluster)")
