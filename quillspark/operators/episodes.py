@@ -35,12 +35,13 @@ def head_or_all(s: Column, n_bytes: int = 200) -> Column:
 def scope_summaries(sources: DataFrame) -> DataFrame:
     """scope, content (heads of 200 bytes, a line each), source_hash and n of sources (scope, sort, source_id, content).
 
-    A scope's sources are gathered in order: a summary holds them all.
+    Heads and hashes of a scope's sources are gathered in order, for a summary holds all heads; whole
+    contents are not: the hash is that of their hashes.
     """
-    rows = F.sort_array(F.collect_list(F.struct("sort", "source_id", "content")))
-    out = sources.groupBy("scope").agg(rows.alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: head_or_all(r["content"])), "\n")
-    whole = F.array_join(F.transform("rows", lambda r: r["content"]), "\n\n")
+    short = sources.select("scope", "sort", "source_id", head_or_all(F.col("content")).alias("head"), F.sha2("content", 256).alias("hash"))
+    out = short.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("sort", "source_id", "head", "hash"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: r["head"]), "\n")
+    whole = F.array_join(F.transform("rows", lambda r: r["hash"]), "\n")
     return out.select("scope", text.alias("content"), F.sha2(whole, 256).alias("source_hash"), F.size("rows").cast("long").alias("n"))
 
 
@@ -51,12 +52,13 @@ def directory_sources(chunks: DataFrame, files: DataFrame, depth: int = 1) -> Da
 
 
 def tag_sources(summaries: DataFrame, records: DataFrame, tags: DataFrame) -> DataFrame:
-    """Sources of each tag (tag): summaries whose tags' JSON holds it as a substring, and active records that carry it.
+    """Sources of each tag (tag): summaries whose tags (JSON) hold it, and active records that carry it.
 
     summaries: summary_id, tags (JSON), content, created_at; records: record_id, tag, kind, status, content, created_at.
     """
     names = tags.select("tag").distinct()
-    episodes = summaries.join(names, F.col("tags").contains(F.col("tag"))).select(F.col("tag").alias("scope"), F.col("created_at").alias("sort"), F.col("summary_id").alias("source_id"), "content")
+    listed = summaries.withColumn("tag", F.explode(F.array_distinct(F.from_json("tags", "array<string>"))))
+    episodes = listed.join(names, "tag", "left_semi").select(F.col("tag").alias("scope"), F.col("created_at").alias("sort"), F.col("summary_id").alias("source_id"), "content")
     kinds = ("document", "analysis", "plan", "summary")
     own = records.where(F.col("kind").isin(*kinds) & (F.col("status") == "active")).join(names, "tag", "left_semi").select(F.col("tag").alias("scope"), F.col("created_at").alias("sort"), F.concat(F.lit("record:"), "record_id").alias("source_id"), "content")
     return episodes.unionByName(own)

@@ -6,7 +6,7 @@ and lost executors cost one level.  Only counts reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -62,6 +62,49 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return now.select(F.col("src").alias("node")).union(now.select("dst")).distinct()
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its greatest node) of all nodes that lie on a cycle with another node.
+
+    Nodes that cannot lie on a cycle fall away first.  Then each node takes the greatest node that
+    reaches it; those among its like that reach that node back make a component.  What is left goes
+    through the same again.  A round shuffles the edges and a number for each node: no closure is formed.
+    """
+    live, found = cut(edges.where("src <> dst").select("src", "dst").distinct()), None
+    while True:
+        core = cyclic_nodes(live)
+        live = cut(live.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        if live.isEmpty():
+            return found if found is not None else live.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+        colour = cut(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("c", F.col("node")))
+        while True:
+            came = live.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("m"))
+            new = cut(colour.join(came, "node", "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("moved")))
+            colour = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        own = live.join(colour.select(F.col("node").alias("src"), "c"), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst").where("c = d").select("src", "dst")
+        back = cut(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        seen = edge = cut(colour.where("node = c"))
+        while True:
+            edge = cut(back.join(edge.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "c").distinct().join(seen, "node", "left_anti"))
+            if edge.isEmpty():
+                break
+            seen = cut(seen.union(edge))
+        part = seen.select("node", F.col("c").alias("component"))
+        found = part if found is None else cut(found.union(part))
+        gone = part.select("node")
+        live = cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+
+
+def closing_edges(edges: DataFrame) -> DataFrame:
+    """src and dst of the edges that lie on a cycle: both ends in one strong component, or one node."""
+    c = strong_components(edges)
+    e = edges.select("src", "dst").distinct()
+    of = lambda name: c.select(F.col("node").alias(name), F.col("component").alias(f"__{name}"))
+    inner = e.join(of("src"), "src").join(of("dst"), "dst").where("__src = __dst").select("src", "dst")
+    return e.where("src = dst").union(inner).distinct()
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node and component (its least node); edges: src, dst.  Alternating large and small stars."""
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
@@ -154,8 +197,9 @@ def outlinks(links: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def edges_of(edges: DataFrame, entities: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """id, direction and edge of every edge at either end of the entities (id), by created_at."""
+    """id, direction and edge of every edge at either end of the entities (id), with position by created_at and ends."""
     e = edges.where(F.col("edge_kind").isin(kinds)) if kinds else edges
     ids = entities.select("id").distinct()
     out = e.withColumn("id", F.col("from_id")).withColumn("direction", F.lit("out")).unionByName(e.where("from_id <> to_id").withColumn("id", F.col("to_id")).withColumn("direction", F.lit("in")))
-    return out.join(ids, "id", "left_semi")
+    order = [c for c in ("created_at", "from_id", "to_id", "edge_kind", "direction") if c in out.columns]
+    return out.join(ids, "id", "left_semi").withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy(*order)))

@@ -246,16 +246,27 @@ def _cut_tokens(s: Column, n: Column) -> Column:
     return F.when(F.octet_length(s) <= 4 * n, s).otherwise(trim(cut))
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int, profile: str = "default", k: int = CANDIDATES) -> DataFrame:
-    """The pipeline: both channels, fusion, enrichment, rank.
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int, profile: str = "default", k: int = CANDIDATES, links: DataFrame | None = None, score: Column | None = None, **filters) -> DataFrame:
+    """The pipeline: both channels, fusion, enrichment, rank; on request graph expansion, filters and a second score.
 
-    chunks: chunk_id, content, created_at, pagerank, tags, importance; vectors: chunk_id, embedding;
-    queries: query_id, text, embedding, tags.
+    chunks: chunk_id, content, created_at, pagerank, tags, importance (file_id with links, kind with kinds);
+    vectors: chunk_id, embedding; queries: query_id, text, embedding, tags; links: source_file_id,
+    target_file_id; score: a reranker's, over the result's columns; filters: those of post_filter.
     """
-    fused = fuse(knn(vectors, queries, k=k), bm25(chunks, queries, k=k))
-    rows = fused.join(chunks, "chunk_id").where(trim(F.col("content")) != "").join(queries.select("query_id", F.col("tags").alias("q_tags")), "query_id")
-    rows = rows.withColumn("age_seconds", (F.lit(now) - F.col("created_at")).cast("double")).withColumn("tag_match", tag_match(F.col("q_tags"), F.col("tags")))
-    return rank(rows.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).withColumn("importance", F.coalesce("importance", F.lit(0.5))), profile)
+    near, worded = knn(vectors, queries, k=k), bm25(chunks, queries, k=k)
+    if links is not None or score is not None:
+        near, worded = cut(near), cut(worded)
+    fused = fuse(near, worded)
+    plain = chunks.withColumns({"pagerank": F.coalesce("pagerank", F.lit(0.0)), "importance": F.coalesce("importance", F.lit(0.5)), "age_seconds": (F.lit(now) - F.col("created_at")).cast("double")})
+    if links is not None:
+        own = ("pagerank", "tags", "importance", "age_seconds")
+        found = graph_expand(fused.join(plain.select("chunk_id", "file_id", *own), "chunk_id"), links, plain.select("chunk_id", "file_id", "pagerank", "age_seconds"))
+        rows = found.drop("file_id").join(plain.drop(*own), "chunk_id")
+    else:
+        rows = fused.join(plain, "chunk_id")
+    rows = rows.where(trim(F.col("content")) != "").join(queries.select("query_id", F.col("tags").alias("q_tags")), "query_id").withColumn("tag_match", tag_match(F.col("q_tags"), F.col("tags")))
+    out = rank(post_filter(rows, **filters), profile)
+    return out if score is None else rerank(out, fusion_confidence(near, worded, queries), score)
 
 
 def resolve_lod(results: DataFrame, lods: DataFrame, now_iso: str, level: str = "L1") -> DataFrame:

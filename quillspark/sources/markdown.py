@@ -180,6 +180,17 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     return docs.select(key, text).mapInPandas(run, schema).withColumn("chunk_hash", content_hash(F.col("content")))
 
 
+def document_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ord, heading_path and content of each text's sections, in order."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, n, path, body.decode()) for k, t in zip(pdf[key], pdf[text], strict=True) for n, (path, body, *_) in enumerate(sections(t or ""))]
+            yield pd.DataFrame(rows, columns=[key, "ord", "heading_path", "content"])
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, ord int, heading_path string, content string")
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, target, link_text and link_type of every link."""
     return docs.select(key, F.explode(extract_links(F.col(text))).alias("l")).select(key, "l.*")

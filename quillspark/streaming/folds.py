@@ -57,6 +57,40 @@ def fold_externals(events: DataFrame, order: tuple[str, ...] = ("timestamp", "ev
     return g.select("task_id", "source", "external_id", live.cast("int").alias("blocking"), F.when(done, F.col("r")).alias("resolved_at"))
 
 
+def fold_comments(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
+    """task_id, comment_id, author, body, created_at and updated_at of comments after all events."""
+    at = F.struct(*order)
+    e = events.where(F.col("event_type").isin("comment_added", "comment_updated")).withColumn("comment_id", _get("comment_id"))
+    e = e.withColumn("comment_id", F.coalesce("comment_id", F.when(F.col("event_type") == "comment_added", F.col("event_id").cast("string"))))
+    added = F.col("event_type") == "comment_added"
+    g = e.groupBy("task_id", "comment_id").agg(F.max_by("actor", F.when(added, at)).alias("author"), F.max_by(_get("body"), at).alias("body"), F.min(F.when(added, F.col("timestamp"))).alias("created_at"), F.max("timestamp").alias("updated_at"))
+    return g.where("created_at IS NOT NULL")
+
+
+def fold_transfers(events: DataFrame, spaces: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
+    """task_id, space and display_id of tasks (task_id, space) after their last transfer; display_id is null without one."""
+    last = events.where("event_type = 'task_transferred'").groupBy("task_id").agg(F.max_by(F.struct(_get("to_space").alias("space"), _get("new_display_id").alias("display_id")), F.struct(*order)).alias("t"))
+    return spaces.select("task_id", "space").join(last, "task_id", "left").select("task_id", F.coalesce("t.space", "space").alias("space"), F.col("t.display_id").alias("display_id"))
+
+
+def note_links(notes: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """task_id, chunk_id and path of note links (task_id, chunk_id): the chunk's file, null where either is gone."""
+    return notes.join(chunks.select("chunk_id", "file_id"), "chunk_id", "left").join(files.select("file_id", "path"), "file_id", "left").select("task_id", "chunk_id", "path")
+
+
+def fold_record_tags(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
+    """record_id and tag: those of the creation, and those whose last event added them."""
+    made = events.where("event_type = 'record_created'").select("record_id", *order, F.explode(F.from_json(F.get_json_object("payload", "$.tags"), "array<string>")).alias("tag"), F.lit(True).alias("on"))
+    own = events.where(F.col("event_type").isin("tag_added", "tag_removed")).select("record_id", *order, _get("tag").alias("tag"), (F.col("event_type") == "tag_added").alias("on"))
+    return made.union(own).groupBy("record_id", "tag").agg(F.max_by("on", F.struct(*order)).alias("on")).where("on").select("record_id", "tag")
+
+
+def fold_record_links(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
+    """record_id, task_id and chunk_id whose last event added the link."""
+    e = events.where(F.col("event_type").isin("link_added", "link_removed")).select("record_id", *order, _get("task_id").alias("task_id"), _get("chunk_id").alias("chunk_id"), (F.col("event_type") == "link_added").alias("on"))
+    return e.groupBy("record_id", "task_id", "chunk_id").agg(F.max_by("on", F.struct(*order)).alias("on")).where("on").select("record_id", "task_id", "chunk_id")
+
+
 def fold_records(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
     """record_id, title, kind, status, retention, pinned and payload_available after all events."""
     at = F.struct(*order)
@@ -80,15 +114,20 @@ def fold_links(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_
 
 
 def invalid_events(events: DataFrame) -> DataFrame:
-    """Events that cannot apply: of tasks without a created event, or with a parent or dependency that never exists, or itself."""
-    made = events.where("event_type = 'task_created'").select("task_id").distinct()
-    other = F.coalesce(_get("depends_on_task_id"), _get("parent_task_id"))
-    e = events.withColumn("other", other)
+    """Events that cannot apply: of tasks without a created event, with a parent or dependency that never exists or is the task itself,
+    or with a dependency that closes a cycle of those that other events add."""
+    from ..operators.graph import closing_edges
+
+    made = events.where("event_type = 'task_created'").select(F.col("task_id").cast("string").alias("task_id")).distinct()
+    e = events.withColumn("task_id", F.col("task_id").cast("string")).withColumn("other", F.coalesce(_get("depends_on_task_id"), _get("parent_task_id")))
     unknown = e.where("event_type <> 'task_created'").join(made, "task_id", "left_anti").withColumn("problem", F.lit("unknown task"))
     own = e.where("other = task_id").withColumn("problem", F.lit("itself"))
-    lost = e.where("event_type = 'parent_set' AND other IS NOT NULL").join(made.withColumnRenamed("task_id", "other"), "other", "left_anti").withColumn("problem", F.lit("unknown parent"))
+    lost = e.where("event_type IN ('parent_set', 'dependency_added') AND other IS NOT NULL").join(made.withColumnRenamed("task_id", "other"), "other", "left_anti")
+    lost = lost.withColumn("problem", F.when(F.col("event_type") == "parent_set", "unknown parent").otherwise("unknown dependency"))
+    deps = e.where("event_type = 'dependency_added' AND other <> task_id").select("event_id", F.col("task_id").alias("src"), F.col("other").alias("dst"))
+    circle = deps.join(closing_edges(deps.select("src", "dst").distinct()), ["src", "dst"], "left_semi").select("event_id", F.col("src").alias("task_id"), F.lit("cycle").alias("problem"))
     cols = ["event_id", "task_id", "problem"]
-    return unknown.select(*cols).union(own.select(*cols)).union(lost.select(*cols)).distinct()
+    return unknown.select(*cols).union(own.select(*cols)).union(lost.select(*cols)).union(circle).distinct()
 
 
 def coalesce_files(events: DataFrame) -> DataFrame:
