@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +78,36 @@ def release() -> None:
         pass
 
 
-def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], rows: int = 256, make: Callable[[], Callable[[pa.RecordBatch], dict]] | None = None) -> DataFrame:
-    """mapInArrow in slices of a few rows, so that a task never holds more than a slice of results.
+#: Bytes of an Arrow batch on its way to Python.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless its own bound is lower: rows may hold very long texts."""
+    try:
+        have = spark.conf.get(BATCH)
+    except Exception:  # noqa: BLE001 - another release without this setting: its batches are bounded by rows
+        return
+    if int(have.rstrip("bB") if have.rstrip("bB").lstrip("-").isdigit() else BATCH_BYTES + 1) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, rows: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: of some rows, or with most of about so many bytes of text."""
+    if most is None or "text" not in batch.schema.names:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        return
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(held, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(held[end - 1])
+
+
+def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict] | None, rows: int = 256, make: Callable[[], Callable[[pa.RecordBatch], dict]] | None = None, most: int | None = None) -> DataFrame:
+    """mapInArrow in slices of a few rows, or of most bytes of text, so that a task never holds more than a slice of results.
 
     fn gets a RecordBatch and returns {column: values}.  With make, fn is made once per task.
     """
@@ -85,6 +115,7 @@ def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
@@ -93,9 +124,10 @@ def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict],
         f = make() if make else fn
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, rows):
-                    got = f(batch.slice(at, rows))
+                for part in slices(batch, rows, most):
+                    got = f(part)
                     yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) if not isinstance(got[x.name], pa.Array) else got[x.name].cast(x.type) for x in out], schema=out)
+                    del got, part
         finally:
             del f
             gc.enable()

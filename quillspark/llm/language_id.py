@@ -5,76 +5,116 @@ a language is the sum over all its segmentations, by the forward algorithm; piec
 spaces, so it is the product of its words' sums.  The prediction is the likeliest language, the score
 its posterior under equal priors.
 
-Piece probabilities are learnt from labelled texts (a bounded sample, see fit_documents): each task
-counts the pieces of its words by language, the counts (at most vocabulary x languages) are summed by
-Spark, and each language's are smoothed towards those of all languages together.  A character without piece costs every language
-the same.
-
-Texts are read whole.  Null texts and texts without letter are ``und`` with score 0.  Equal scores go
-to the first language by name.  Texts without label teach nothing; if nothing is labelled, every text
-is ``und``.  Each row gives one row, repeated rows included; other columns are ignored.
+Piece probabilities are learnt from labelled texts (a bounded sample, see fit_documents) by expected
+counts: under the last round's probabilities (at first, the vocabulary's own), forward and backward
+sums give each piece's expected number in each word over all its segmentations.  Words are counted by
+language once; each task returns sums (at most vocabulary x languages), Spark adds them up, and each
+language's are smoothed towards those of all languages together.  A character without piece costs
+every language the same.
+
+Texts are read whole and cut into words at ASCII white space.  Null texts and texts without letter are
+``und`` with score 0.  Equal scores go to the first language by name.  Texts without label teach
+nothing; if nothing is labelled, every text is ``und``.  Each row gives one row, repeated rows
+included; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick, release
-from .vocabulary import PIECES, SPACE, Vocabulary, vocabulary
+from .common import cut, in_slices, pick, release, small_batches
+from .vocabulary import LONG, PIECES, Vocabulary, by_size, vocabulary, words_of
 
 UND = "und"
 #: Pseudo-counts of a language's prior, spread as all languages' pieces are.
 PRIOR = 500.0
 #: Probability of a character without piece.
 UNSEEN = 1e-8
-WORDS_KEPT = 100_000
+#: Rounds of expected counts.
+ROUNDS = 2
 #: Documents to learn from: of a language, and in all.
 EACH, MOST = 5_000, 20_000
+#: Languages at most: labels beyond these, the rarest ones, are not learnt.
+LANGUAGES = 1_000
+#: Each character counts as so much within sums, so that words of up to LONG characters neither overflow nor vanish.
+SCALE = 1e4
+SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r\x00", b"      ")
+
+
+def split(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of texts, a space before each, as a dictionary, and their number by text."""
+    return words_of([t.encode().translate(SPACES) for t in texts], False)
+
+
+def weights(v: Vocabulary, p: np.ndarray) -> np.ndarray:
+    """p (pieces, languages) with a last row for characters without piece, scaled by length."""
+    whole = np.concatenate((p, np.full((1, p.shape[1]), UNSEEN)))
+    return whole * SCALE ** v.length[:, None].astype(float)
+
+
+def long_word(v: Vocabulary, p: np.ndarray, word: str) -> np.ndarray:
+    """log of the sum over all segmentations of one word of any length, by language."""
+    n, m = len(word), v.longest + 1
+    ring, logs = np.zeros((m, p.shape[1])), np.zeros(p.shape[1])
+    ring[0] = 1.0
+    for at in range(n):
+        base = ring[at % m].copy()
+        ring[at % m] = 0.0
+        for end, i in v.edges(word, at):
+            ring[end % m] += base * (p[i] if i >= 0 else UNSEEN)
+        if at % 8 == 7:
+            most = ring.max(axis=0)
+            most[most <= 0] = 1.0
+            ring /= most
+            logs += np.log(most)
+    return np.log(ring[n % m]) + logs
 
 
-def piece_counts(labelled: DataFrame, path: str = PIECES) -> DataFrame:
-    """lang, piece and n of labelled texts (lang, text), by the library's own segmentation of their words."""
-
-    def run(batches):
-        import sentencepiece
+def word_scores(v: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """log of the sum over all segmentations of each word, by language: the forward algorithm over many
+    words at once, place by place."""
+    w, out = weights(v, p), np.zeros((len(words), p.shape[1]))
+    for place, points, size in by_size(words):
+        n, width = points.shape
+        sums = np.zeros((n * width, p.shape[1]))  # a row a place, word after word
+        sums[::width] = 1.0
+        for at, k, word, ids in v.steps(points, size):
+            row = word * width + at
+            sums[row + k] += sums.take(row, axis=0) * w.take(ids, axis=0, mode="wrap")
+        out[place] = np.log(sums[np.arange(n) * width + size]) - (size * np.log(SCALE))[:, None]
+    for k in [k for k, x in enumerate(words) if len(x) > LONG]:
+        out[k] = long_word(v, p, words[k])
+    return out
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        words: dict[str, Counter] = {}
-        counts: dict[str, np.ndarray] = {}
 
-        def settle() -> None:
-            for lang, seen in words.items():
-                at = counts.setdefault(lang, np.zeros(sp.get_piece_size(), np.int64))
-                keys = list(seen)
-                for a in range(0, len(keys), 4096):
-                    part = keys[a : a + 4096]
-                    ids = sp.encode(part, num_threads=1)
-                    np.add.at(at, np.fromiter((i for x in ids for i in x), np.int64), np.repeat([seen[w] for w in part], [len(x) for x in ids]))
-            words.clear()
-
-        held = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = words.setdefault(lang, Counter())
-                held -= len(seen)
-                seen.update(text.split())
-                held += len(seen)
-                if held > WORDS_KEPT:
-                    settle()
-                    held = 0
-        settle()
-        for lang, at in counts.items():
-            some = np.flatnonzero(at)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(at[some], pa.int64())], names=["lang", "piece", "n"])
-        release()
-
-    labelled = pick(labelled, "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    return labelled.mapInArrow(run, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+def expected_counts(v: Vocabulary, p: np.ndarray, lang: np.ndarray, words: list[str], times: np.ndarray) -> np.ndarray:
+    """Expected numbers of pieces (pieces, languages) in words of up to LONG characters, each in its language and counted times."""
+    langs = p.shape[1]
+    w, out = weights(v, p).ravel(), np.zeros((v.size + 1) * langs)
+    for place, points, size in by_size(words):
+        n, width = points.shape
+        fore, back = np.zeros(n * width), np.zeros(n * width)
+        fore[::width] = 1.0
+        back[np.arange(n) * width + size] = 1.0
+        steps = []
+        for at, k, word, ids in v.steps(points, size):
+            row, cell = word * width + at, np.where(ids < 0, v.size, ids) * langs + lang[place].take(word)
+            weight = w.take(cell)
+            fore[row + k] += fore.take(row) * weight
+            steps.append((row, k, cell, weight))
+        for row, k, _, weight in reversed(steps):
+            back[row] += back.take(row + k) * weight
+        share = np.repeat(times[place] / back[::width], width)
+        cells = np.concatenate([c for _, _, c, _ in steps])
+        values = np.concatenate([fore.take(row) * weight * back.take(row + k) * share.take(row) for row, k, _, weight in steps])
+        out += np.bincount(cells, values, len(out))
+    return out.reshape(-1, langs)[:-1]
 
 
 class Model:
@@ -84,155 +124,67 @@ class Model:
         self.langs, self.p = langs, p
 
 
-def fit(labelled: DataFrame, path: str = PIECES, prior: float = PRIOR) -> Model:
-    """Learns from lang and text alone."""
-    rows = piece_counts(labelled, path).toPandas()
-    langs = sorted(rows["lang"].unique())
-    v = vocabulary(path)
-    c = np.zeros((v.size, len(langs)))
-    if langs:
-        c[rows["piece"].to_numpy(), rows["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()] = rows["n"].to_numpy()
-    usual = (c / np.maximum(c.sum(axis=0), 1)).sum(axis=1) + 1e-6
-    usual /= usual.sum()
-    return Model(langs, (c + prior * usual[:, None]) / (c.sum(axis=0) + prior))
-
-
-def edges_of(v: Vocabulary, spelt: list[str]) -> tuple[np.ndarray, ...]:
-    """Word, begin, end and piece (-1: none) of all edges of words, by begin."""
-    codes: list[int] = []
-    put, root = codes.append, v.trie[0]
-    for k, s in enumerate(spelt):
-        n = len(s)
-        for at in range(n):
-            base = (k << 41) | (at << 21)
-            first = node = root.get(s[at])
-            end = at
-            while node is not None:
-                end += 1
-                if node[1] >= 0:
-                    put(base | (end - at) << 16 | node[1])
-                if end == n:
-                    break
-                node = node[0].get(s[end])
-            if first is None or first[1] < 0:
-                put(base | 1 << 16 | 65_535)
-    code = np.array(codes, np.int64)
-    at = code >> 21 & 0xFFFFF
-    order = np.argsort(at, kind="stable")
-    code, at = code[order], at[order]
-    piece = code & 0xFFFF
-    return code >> 41, at, at + (code >> 16 & 31), np.where(piece == 65_535, -1, piece)
-
-
-def edges_at_once(v: Vocabulary, spelt: list[str]) -> tuple[np.ndarray, ...]:
-    """edges_of for words of usual characters: all words take each step down the trie together."""
-    code, to, pieces = v.table
-    n, inner = len(spelt), len(to)
-    size = np.array([len(s) for s in spelt])
-    letters = np.zeros((n, int(size.max()) + 1), np.uint8)
-    letters[np.arange(letters.shape[1]) < size[:, None]] = np.fromiter((code[ch] for s in spelt for ch in s), np.uint8)
-    parts = []
-    for at in range(int(size.max())):
-        word = np.flatnonzero(size > at)
-        node = to[0, letters[word, at]]
-        alone = pieces[node] >= 0
-        alone[node == 0] = False
-        lost = word[~alone]
-        parts.append((lost, np.full(len(lost), at), np.full(len(lost), at + 1), np.full(len(lost), -1)))
-        end = at
-        while len(word):
-            end += 1
-            live = node > 0
-            word, node = word[live], node[live]
-            found = pieces[node] >= 0
-            w = word[found]
-            parts.append((w, np.full(len(w), at), np.full(len(w), end), pieces[node[found]]))
-            more = node < inner
-            word, node = word[more], node[more]
-            if end >= letters.shape[1]:
-                break
-            node = to[node, letters[word, end]]
-    return tuple(np.concatenate([x[k] for x in parts]) for k in range(4))
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """lang, word and n of labelled texts (lang, text); longer words than LONG characters teach nothing."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = batch.column(0), batch.column(1)
+            for lang in pc.unique(langs).to_pylist():
+                words, _ = split(texts.filter(pc.equal(langs, lang)).to_pylist())
+                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                short = pa.array(pc.utf8_length(words.dictionary).to_numpy() <= LONG)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()).filter(short), words.dictionary.filter(short), pa.array(n.astype(np.int64)).filter(short)], names=["lang", "word", "n"])
+        release()
 
-def word_scores(v: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
-    """log of the sum over all segmentations of each word, by language: the forward algorithm over
-    many words at once, place by place, in a ring of as many places as the longest piece, rescaled."""
-    n, m = len(words), v.longest + 1
-    spelt = [SPACE + w for w in words]
-    size = np.array([len(s) for s in spelt], np.int64)
-    if size.max(initial=0) >= 1 << 20:
-        raise ValueError("words must be cut before")
-    usual = v.table[0].keys()
-    plain = len(spelt) > 8 and all(usual >= set(s) for s in spelt)
-    who, begin, end, piece = (edges_at_once if plain else edges_of)(v, spelt)
-    weight = np.where((piece >= 0)[:, None], p[piece], UNSEEN)
-    ring = end % m
-    most_at = int(size.max(initial=0))
-    starts = np.searchsorted(begin, np.arange(most_at + 1))
-    alpha = np.zeros((m, n, p.shape[1]))
-    alpha[0] = 1.0
-    logs, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
-    last = np.argsort(size, kind="stable")
-    ended = np.searchsorted(size[last], np.arange(most_at + 2))
-    for at in range(most_at):
-        a, b = starts[at], starts[at + 1]
-        base = alpha[at % m]
-        w = who[a:b]
-        np.add.at(alpha.reshape(m * n, -1), ring[a:b] * n + w, base[w] * weight[a:b])
-        base[:] = 0.0
-        if at % 8 == 7:
-            most = alpha.max(axis=0)
-            most[most <= 0] = 1.0
-            alpha /= most
-            logs += np.log(most)
-        done = last[ended[at + 1] : ended[at + 2]]
-        if len(done):
-            out[done] = np.log(alpha[(at + 1) % m, done]) + logs[done]
-    return out
+    small_batches(labelled.sparkSession)
+    labelled = pick(labelled, "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    return labelled.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-#: Longer words are cut, as such runs are no words of a language.
-LONGEST = 1 << 16
+def fit(labelled: DataFrame, path: str = PIECES, prior: float = PRIOR, rounds: int = ROUNDS) -> Model:
+    """Learns from lang and text alone."""
+    counted = cut(word_counts(labelled))
+    langs = [r.lang for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    langs.sort()
+    v = vocabulary(path)
+    p = np.repeat(np.exp(v.score[:-1, None] / 65536), len(langs), axis=1)
+    for _ in range(rounds if langs else 0):
+        shared = counted.sparkSession.sparkContext.broadcast((langs, p.astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, p = shared.value
+            at, total = {x: k for k, x in enumerate(known)}, np.zeros(p.shape)
+            for batch in batches:
+                lang = np.array([at.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+                keep = np.flatnonzero(lang >= 0)
+                words = batch.column(1).take(pa.array(keep)).to_pylist()
+                total += expected_counts(vocabulary(path), p.astype(float), lang[keep], words, batch.column(2).to_numpy()[keep])
+            piece, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, k])], names=["lang", "piece", "n"])
+            release()
+
+        rows = counted.mapInArrow(run, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        c = np.zeros((v.size, len(langs)))
+        c[rows["piece"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
+        usual = (c / np.maximum(c.sum(axis=0), 1)).sum(axis=1) + 1e-6
+        usual /= usual.sum()
+        p = (c + prior * usual[:, None]) / (c.sum(axis=0) + prior)
+    return Model(langs, p)
 
 
 class Scorer:
-    """Sums of the words' log likelihoods; words are remembered up to a number of words."""
-
-    def __init__(self, v: Vocabulary, p: np.ndarray, most: int = WORDS_KEPT) -> None:
-        self.v, self.p, self.most = v, p, most
-        self.at: dict[str, int] = {}
-        self.known = np.zeros((0, p.shape[1]))
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > self.most:
-            self.at, self.known, new = {}, self.known[:0], list(words)
-        usual = self.v.table[0].keys()
-        new.sort(key=lambda w: (not usual >= set(w), len(w)))
-        parts = [self.known]
-        a = 0
-        while a < len(new):
-            b = a + max(1, min(4096, 262_144 // (len(new[a]) + 8)))
-            while b - a > 1 and len(new[min(b, len(new)) - 1]) > 2 * len(new[a]) + 16:
-                b = a + (b - a) // 2
-            parts.append(word_scores(self.v, self.p, new[a:b]))
-            a = b
-        for w in new:
-            self.at[w] = len(self.at)
-        self.known = np.concatenate(parts)
+    """Sums of the words' log likelihoods."""
+
+    def __init__(self, v: Vocabulary, p: np.ndarray) -> None:
+        self.v, self.p = v, p
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """(texts, languages)"""
-        split = [[w[i : i + LONGEST] for w in t.split() for i in range(0, len(w), LONGEST)] if len(t) > LONGEST else t.split() for t in texts]
-        seen = set()
-        for ws in split:
-            seen.update(ws)
-        self.learn(seen)
-        at = self.at
-        flat = np.fromiter((at[w] for ws in split for w in ws), np.int64)
+        words, n = split(texts)
+        known = word_scores(self.v, self.p, words.dictionary.to_pylist())
         out = np.zeros((len(texts), self.p.shape[1]))
-        np.add.at(out, np.repeat(np.arange(len(texts)), [len(ws) for ws in split]), self.known[flat])
+        np.add.at(out, np.repeat(np.arange(len(texts)), n), known[words.indices.to_numpy()])
         return out
 
 
@@ -264,7 +216,7 @@ def language_id(docs: DataFrame, model: Model, path: str = PIECES, keep: tuple[s
 
         return run
 
-    return in_slices(d, f"{named}, lang_pred string, score double", None, rows=512, make=make)
+    return in_slices(d, f"{named}, lang_pred string, score double", None, make=make, most=8 << 20)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -281,16 +233,28 @@ def shared_bound(sizes: list[tuple[int, int]], each: int, most: int) -> int:
     return low
 
 
-def fit_documents(docs: DataFrame, path: str = PIECES, each: int = EACH, most: int = MOST) -> Model:
-    """The model of documents that are not held out; those without id are not learnt from.
+def sample(docs: DataFrame, each: int = EACH, most: int = MOST) -> DataFrame:
+    """lang and text of the documents to learn from: labelled, with an id and not held out.
 
-    At most each documents of a language and most in all, by the hashes of their ids; if the languages
-    have more, each is held to the same number, and has one at least.
+    A document is taken by the hash of its id: all of a language with at most the bound of documents,
+    else the share of hashes that makes about as many.  The bound is each, or less, so that all
+    languages have about most in all, and each has one at least.  Of more than LANGUAGES languages the
+    most frequent are learnt.  Only these and their sizes reach the driver, and each task gets them.
     """
     d = pick(docs, "doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    # languages by size, sizes above each as one: at most each rows
-    sizes = d.groupBy("lang").agg(F.least(F.count("*"), F.lit(each)).alias("n")).groupBy("n").agg(F.count("*").alias("langs")).collect()
-    each = shared_bound([(r.n, r.langs) for r in sizes], each, most)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = d.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("doc_id")
-    return fit(d.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text"), path)  # at most most ids, or one a language
+    counts = d.groupBy("lang").agg(F.count("*").alias("n"), F.min(_share(F.col("doc_id"))).alias("least"))
+    langs = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    bound = shared_bound([(min(r.n, each), 1) for r in langs], each, most)
+    shares = [(r.lang, 1.0 if r.n <= bound else max(bound / r.n, r.least)) for r in langs]
+    known = d.sparkSession.createDataFrame(shares, "lang string, __share double")
+    return d.join(F.broadcast(known), "lang").where(_share(F.col("doc_id")) <= F.col("__share")).select("lang", "text")
+
+
+def _share(doc_id: Column) -> Column:
+    """A number from 0 to 1 that follows from an id."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def fit_documents(docs: DataFrame, path: str = PIECES, each: int = EACH, most: int = MOST) -> Model:
+    """The model of a bounded sample of documents that are not held out; those without id are not learnt from."""
+    return fit(sample(docs, each, most), path)
