@@ -3,18 +3,22 @@
 A document's set: distinct shingles of ``width`` lower-cased (A-Z) words; with fewer words, the whole
 sequence as one.  Two documents link when 100 * |intersection| >= percent * |union|.
 
-1. Equal sets are one class (a 128-bit digest), so exact copies cost one row of three numbers.
+1. One pass over the texts gives each document's class, for equal sets are one class (a 128-bit digest)
+   and exact copies cost one row of a few numbers, and the counts of shingles that repeat.
 2. Sets that may link meet by signature: sets of sizes a and b that link differ in at most
    d = (a + b)(100 - percent) / (100 + percent) shingles, so of d + 1 + z blocks into which hashes deal
-   the shingles, 1 + z are equal.  Each class gives one row for each block: hash of size class, block
-   and content.  Blocks that hold nothing but
-   shingles of a table of frequent ones (at most ``known``, counted over all texts), or nothing, are
-   left out wherever at most z are such, for then an equal block of another kind is left.  Nothing is
-   missed, and sets that merely share a common passage do not meet.  Stars of classes with a
-   signature in common give groups, by connected components.
-3. The sets of a group meet in one task, or, if they hold more than ``most`` shingles, are dealt out in
-   parts of about that size, each pair of parts in a task of its own.  There the sets, ordered
-   globally by shingle frequency, make a trie.  Each set walks it once: nodes share the overlap of
+   the shingles, 1 + z are equal.  A second pass gives one row for each class and block: hash of size
+   class, block and content.  Blocks that hold nothing but shingles of a table of frequent ones (at
+   most ``known``), or nothing, are left out wherever at most z are such, for then an equal block of
+   another kind is left.  Nothing is missed, and sets that merely share a common passage do not meet.
+   Tasks join what has a signature in common before anything is shuffled, so that a signature of very
+   many classes is one row for each COMBINED rows of a task.  Stars of classes with a signature in
+   common give groups, by connected components.
+3. The sets of a group meet in one task, or, if they hold more than ``most`` shingles, in parts of about
+   that size, each together with the group's leader (its least class).  Sets that these links leave
+   apart from the leader are then compared, in parts as well, with all parts of the group.  In a task
+   the sets, ordered globally by the shingles' frequency in the table and their hash, make a trie.
+   Each set walks it once: nodes share the overlap of
    their common beginning, and a subtree is left as soon as the rest of its sets and of the walker
    cannot reach the bound, or all its sets are known to be connected with the walker.  Each task
    returns a forest of links, never all pairs.
@@ -29,6 +33,7 @@ ignored.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, in_slices, pick, release
+from .common import WHITE, cut, in_slices, pick, release, slices, small_batches, stored
 from .components import components
 
 WIDTH, PERCENT, MOST = 3, 90, 1 << 20
-#: Size of the table of frequent shingles, and how often one must occur within a batch to be counted.
-KNOWN, REPEATED = 1 << 20, 2
+#: Size of the table of frequent shingles, and how often one must occur among COUNTED ones of a task to be counted.
+KNOWN, REPEATED, COUNTED = 1 << 20, 2, 2 << 20
+#: Signatures that a task joins before they are shuffled.
+COMBINED = 1 << 18
+#: Bytes of text that are hashed at once; longer words are hashed alone.
+SLICE, LONG_WORD = 4 << 20, 128
+#: 128 bits of a text.
+_KEY = ("__a", "__b")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -52,34 +63,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; hashes of words are remembered up to a number."""
-
-    def __init__(self, width: int, most: int = 100_000) -> None:
-        self.width, self.most, self.known = width, most, {}
-
-    def _word(self, w: bytes) -> int:
-        h = self.known.get(w)
-        if h is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            h = self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = [] if text is None else text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known, word = self.known, self._word
-        try:
-            h = np.fromiter([known[w] for w in words], np.uint64, len(words))
-        except KeyError:
-            h = np.fromiter([word(w) for w in words], np.uint64, len(words))
-        k = min(self.width, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = mix(out * _A + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of texts, and their number by text; all bytes of a place at once."""
+    flat = b" ".join([(t or b"").lower() for t in texts]) + b" "
+    data = np.frombuffer(flat, np.uint8)
+    blank = (data == 32) | (data - np.uint8(9) < np.uint8(5))
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate(([0], edge))
+    begin, end = edge[::2], edge[1::2]
+    size = end - begin
+    out = np.full(len(begin), 0xCBF29CE484222325, np.uint64)
+    some, at, prime = np.flatnonzero(size <= LONG_WORD), 0, np.uint64(0x100000001B3)
+    left = size[some]
+    while len(some):
+        out[some] = (out[some] ^ data[begin[some] + at]) * prime
+        at += 1
+        more = left > at
+        some, left = some[more], left[more]
+    out = mix(out)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(flat[begin[k] : end[k]])
+    stop = np.cumsum([len(t or b"") + 1 for t in texts])
+    return out, np.diff(np.searchsorted(begin, stop), prepend=0)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text."""
+    if not texts:
+        return []
+    h, words = word_hashes(texts)
+    k = np.minimum(words, width)
+    many = np.where(words > 0, words - k + 1, 0)
+    first = np.cumsum(words) - words
+    stop = np.cumsum(many)
+    begin = stop - many
+    at = np.repeat(first - begin, many) + np.arange(int(many.sum()))
+    of = np.repeat(k, many)
+    out = of.astype(np.uint64)
+    for i in range(width):
+        if (of > i).all():
+            out = mix(out * _A + h.take(at + i))
+        else:
+            some = np.flatnonzero(of > i)
+            out[some] = mix(out[some] * _A + h[at[some] + i])
+    for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[begin[many > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(new)))
+    out = out[new]
+    return [out[a:b] for a, b in zip(kept[begin].tolist(), kept[stop].tolist(), strict=True)]
 
 
 def digest_of(s: np.ndarray) -> bytes:
@@ -112,23 +147,65 @@ def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def signatures(s: np.ndarray, classes: Classes, usual: np.ndarray) -> np.ndarray:
-    """The set's signatures as signed 64-bit numbers; usual: sorted hashes of frequent shingles."""
-    out = []
-    c = classes.of(len(s))
+def signatures(sets: list[np.ndarray], classes: Classes, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets as signed 64-bit numbers, and the set of each; usual: sorted hashes of frequent shingles."""
+    if not sets:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s, size = np.concatenate(sets), np.array([len(x) for x in sets])
     salted = mix(s + _C)
     rare = usual[np.minimum(np.searchsorted(usual, s), len(usual) - 1)] != s if len(usual) else np.ones(len(s), bool)
-    for k in {c, max(c - 1, 0)}:
-        m, z = classes.blocks(k)
-        if not m:
-            continue
-        at = ((s >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, at, salted)
-        telling = np.bincount(at[rare], minlength=m) > 0
-        sig = mix(total + mix(np.arange(m, dtype=np.uint64) * _A + np.full(1, k, np.uint64) * _B))
-        out.append(sig if m - int(telling.sum()) > z else sig[telling])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    of, high = np.repeat(np.arange(len(sets)), size), s >> np.uint64(32)
+    own = np.array([classes.of(n) for n in size.tolist()])
+    sigs, sets_of = [], []
+    for below in (0, 1):
+        c = own - below  # with the sets of the same class, and with those of the class below
+        shape = [classes.blocks(k) if k >= 0 else (0, 0) for k in c.tolist()]
+        m, z = np.array([x for x, _ in shape]), np.array([x for _, x in shape])
+        first = np.cumsum(m) - m
+        some = np.flatnonzero(m[of] > 0)
+        at = first[of[some]] + (high[some] % m[of[some]].astype(np.uint64)).astype(np.int64)
+        total = np.zeros(int(m.sum()), np.uint64)
+        np.add.at(total, at, salted[some])
+        telling = np.bincount(at[rare[some]], minlength=len(total)) > 0
+        block_of = np.repeat(np.arange(len(sets)), m)
+        block = np.arange(len(total)) - first[block_of]
+        sig = mix(total + mix(block.astype(np.uint64) * _A + c[block_of].astype(np.uint64) * _B))
+        dull = m - np.bincount(block_of[telling], minlength=len(sets))
+        kept = telling | (dull > z)[block_of]
+        sigs.append(sig[kept])
+        sets_of.append(block_of[kept])
+    return np.concatenate(sigs).view(np.int64), np.concatenate(sets_of)
+
+
+def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same meetings in fewer rows: of each signature its first node, and for every other node that has it
+    a signature that the two alone have, once for all their common ones."""
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    first = node[new][np.cumsum(new) - 1]
+    apart = ~new & (first != node)
+    a, b = np.minimum(first[apart], node[apart]).view(np.uint64), np.maximum(first[apart], node[apart]).view(np.uint64)
+    own = mix(mix(a + _C) + b)
+    _, at = np.unique(own, return_index=True)
+    own, a, b = own[at].view(np.int64), a[at].view(np.int64), b[at].view(np.int64)
+    return np.concatenate((sig[new], own, own)), np.concatenate((node[new], a, b))
+
+
+class Frequent:
+    """Sorted hashes of frequent shingles and their counts over all texts: with the hash, the global order."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(shingles)
+        self.shingles, self.counts = shingles[order], counts[order]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """Counts of shingles, 0 for those that are not in the table."""
+        if not len(self.shingles):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == s, self.counts[at], 0)
 
 
 class Forest:
@@ -152,13 +229,14 @@ class Trie:
     nodes of ``run`` shingles, so that a walk can leave them half-way.
     """
 
-    def __init__(self, sets: list[np.ndarray], run: int = 32) -> None:
+    def __init__(self, sets: list[np.ndarray], often: Frequent | None = None, run: int = 32) -> None:
         flat = np.concatenate(sets)
-        _, rank, n = np.unique(flat, return_inverse=True, return_counts=True)
-        place = np.empty(len(n), np.int64)
-        place[np.argsort(n, kind="stable")] = np.arange(len(n))  # rare ones first
+        kinds, rank = np.unique(flat, return_inverse=True)
+        place = np.arange(len(kinds))
+        if often is not None:
+            place[np.argsort(often.of(kinds), kind="stable")] = np.arange(len(kinds))  # rare ones first
         ranks = place[rank]
-        self.kinds, size = len(n), np.array([len(s) for s in sets])
+        self.kinds, size = len(kinds), np.array([len(s) for s in sets])
         stop = np.cumsum(size)
         runs = [np.sort(ranks[b - k : b]) for b, k in zip(stop.tolist(), size.tolist(), strict=True)]
         self.order = sorted(range(len(sets)), key=lambda i: runs[i].astype(">u4").tobytes())
@@ -255,52 +333,71 @@ class Trie:
         return np.array([h for h in hits if h > x], np.int64)
 
 
-def links(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
-    """A forest of the links among different sets (sorted arrays); known: parts whose inner links are found elsewhere."""
+def links(sets: list[np.ndarray], percent: int, often: Frequent | None = None, label: list[int] | None = None) -> list[tuple[int, int]]:
+    """A forest of the links among different sets (sorted arrays); sets of equal label are known to be connected."""
     if len(sets) < 2:
         return []
-    trie = Trie(sets)
+    trie = Trie(sets, often)
     forest = Forest(len(sets))
+    if label is not None:
+        forest.label = np.unique([label[k] for k in trie.order], return_inverse=True)[1]
     for x in range(len(sets)):
         forest.join(x, trie.walk(x, percent, forest))
     return [(trie.order[a], trie.order[b]) for a, b in forest.links]
 
 
-def shingled(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, n_shingles, class and node (64 bits of it; null: the empty set)."""
-    d = pick(docs, *dict.fromkeys((*keep, "text")))
-    named = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for n in keep)
+def shingled(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Of one pass over the texts, stored: doc_id, n_shingles, class, node (64 bits of the class; both null: the
+    empty set) and _KEY (128 bits of the text); and token and n of shingles that repeat, each different
+    set of a task counted once among COUNTED shingles."""
+    d = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias(_KEY[0]), F.xxhash64(F.lit("text"), "text").alias(_KEY[1]))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    small_batches(d.sparkSession)
 
-    def make():
-        shingle = Shingler(width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        many = 0
 
-        def run(batch: pa.RecordBatch) -> dict:
-            sets = [shingle(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            digests = [digest_of(s) if len(s) else None for s in sets]
-            return {n: batch.column(n) for n in keep} | {"n_shingles": [len(s) for s in sets], "class": digests, "node": [None if c is None else node_of(c) for c in digests]}
+        def repeated() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held.values()]), return_counts=True)
+            often = n >= REPEATED
+            tokens, n = pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))
+            none = [pa.nulls(len(n), t) for t in types]
+            return pa.RecordBatch.from_arrays([*none, tokens, n], names=names)
 
-        return run
+        names, types = ["doc_id", *_KEY, "n_shingles", "class", "node", "token", "n"], None
+        for batch in batches:
+            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            for part in slices(batch, 0, SLICE):
+                sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), width)
+                digests = [digest_of(s) if len(s) else None for s in sets]
+                nodes = [None if c is None else node_of(c) for c in digests]
+                columns = [*(part.column(c) for c in ("doc_id", *_KEY)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64())]
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, none, none], names=names)
+                for c, s in zip(digests, sets, strict=True):
+                    if c is not None and c not in held:
+                        held[c] = s
+                        many += len(s)
+                        if many > COUNTED:
+                            yield repeated()
+                            held, many = {}, 0
+        if held:
+            yield repeated()
+        held.clear()
+        release()
 
-    return in_slices(d, f"{named}, n_shingles bigint, class binary, node bigint", None, make=make)
+    both = stored(d.mapInArrow(run, f"doc_id {kind}, {_KEY[0]} bigint, {_KEY[1]} bigint, n_shingles bigint, class binary, node bigint, token bigint, n bigint"), "shingled")
+    return both.where("token IS NULL").drop("token", "n"), both.where("token IS NOT NULL").select("token", "n")
 
 
-def frequent(docs: DataFrame, width: int, known: int = KNOWN) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles of all texts, at most known, each different text of a batch counted once.
+def frequent(counts: DataFrame, known: int = KNOWN) -> Frequent:
+    """The most frequent shingles, at most known; counts: token and n.
 
-    Tasks count what repeats within a batch and Spark adds the counts up; the driver gets how many
-    shingles have each count, then those over the count at which the table is full.
+    Spark adds the tasks' counts up; the driver gets how many shingles have each count, then those over
+    the count at which the table is full.
     """
-
-    def run(batches):
-        shingle = Shingler(width)
-        for batch in batches:
-            texts = set(batch.column(0).cast(pa.binary()).to_pylist())
-            tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[shingle(t) for t in texts]]), return_counts=True)
-            often = n >= REPEATED
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
-        release()
-
-    counts = cut(pick(docs, "text").where("text IS NOT NULL").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = cut(counts.groupBy("token").agg(F.sum("n").alias("n")))
     capped = F.least("n", F.lit(10_000))
     least, total = 10_001, 0
     for r in counts.groupBy(capped.alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():
@@ -308,88 +405,124 @@ def frequent(docs: DataFrame, width: int, known: int = KNOWN) -> np.ndarray:
         if total > known:
             break
         least = r["c"]
-    return np.sort(counts.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy().view(np.uint64))
-
-
-def signed(docs: DataFrame, usual: np.ndarray, width: int, percent: int) -> DataFrame:
-    """sig and node; a class that a task has just seen is not repeated."""
-    shared = docs.sparkSession.sparkContext.broadcast(usual)
-
-    def make():
-        shingle, classes, seen, known = Shingler(width), Classes(percent), OrderedDict(), shared.value
-
-        def run(batch: pa.RecordBatch) -> dict:
-            sigs, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                s = shingle(t)
-                if not len(s):
-                    continue
-                node = node_of(digest_of(s))
-                if node in seen:
-                    seen.move_to_end(node)
-                    continue
-                seen[node] = True
-                if len(seen) > 50_000:
-                    seen.popitem(last=False)
-                sigs.append(signatures(s, classes, known))
-                of.append(np.full(len(sigs[-1]), node))
-            return {"sig": pa.array(np.concatenate(sigs)), "node": pa.array(np.concatenate(of))}
-
-        return run
-
-    return in_slices(pick(docs, "text"), "sig bigint, node bigint", None, make=make)
-
-
-def jaccard_links(docs: DataFrame, classed: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:
-    """u, v: a forest of links between classes; classed: shingled(docs), stored."""
-    usual = frequent(docs, width)
-    # one more pass over the texts and one shuffle: each signature's classes are linked to its least one
+    found = counts.where(F.col("n") >= least).select("token", "n").toArrow()
+    return Frequent(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy())
+
+
+def signed(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
+    """sig and node of all classes, joined within the task before; a class that a task has just seen is not repeated."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, seen, usual = Classes(percent), OrderedDict(), shared.value.shingles
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def row() -> pa.RecordBatch:
+            sig, node = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
+
+        for batch in batches:
+            for part in slices(batch, 0, SLICE):
+                sets, nodes = [], []
+                for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), width):
+                    if not len(s):
+                        continue
+                    node = node_of(digest_of(s))
+                    if node in seen:
+                        seen.move_to_end(node)
+                        continue
+                    seen[node] = True
+                    if len(seen) > 20_000:
+                        seen.popitem(last=False)
+                    sets.append(s)
+                    nodes.append(node)
+                sig, of = signatures(sets, classes, usual)
+                held.append((sig, np.array(nodes, np.int64)[of]))
+                if sum(len(x) for x, _ in held) > COMBINED:
+                    yield row()
+        if held:
+            yield row()
+        release()
+
+    return pick(docs, "text").mapInArrow(run, "sig bigint, node bigint")
+
+
+
+
+def keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, _KEY, __id and __none (the id, never null, and whether it is)."""
+    return pick(docs, *names).select(*names, F.xxhash64("text").alias(_KEY[0]), F.xxhash64(F.lit("text"), "text").alias(_KEY[1]), *_ids())
+
+
+def _ids() -> list:
+    return [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
+
+
+def jaccard_links(docs: DataFrame, classed: DataFrame, often: Frequent, width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:
+    """u, v: a forest of links between classes; classed and often: of shingled(docs)."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)  # at most known shingles
+    # each signature's classes, as many as batches of tasks have it, are linked to its least one
     least = F.min("node").over(Window.partitionBy("sig"))
-    stars = signed(docs, usual, width, percent).withColumn("u", least).where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    stars = signed(docs, shared, width, percent).withColumn("u", least).where("node <> u").select("u", F.col("node").alias("v")).distinct()
     groups = cut(components(stars).select("node", F.col("component").alias("group")))
-    one = classed.where("class IS NOT NULL").groupBy("class", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    one = classed.where("class IS NOT NULL").groupBy("class", "node").agg(F.min(F.struct("doc_id", *_KEY)).alias("d"), F.first("n_shingles").alias("n"))
     grouped = groups.join(one, "node")
-    parts = grouped.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("n_parts"))
-    member = grouped.join(parts, "group").select("class", "group", "n_parts", "doc_id")
-    d = pick(docs, "doc_id", "text")
-    texts = d.join(member.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("class", "group", "n_parts", "text")
-
-    def make_sets():
-        shingle = Shingler(width)
-
-        def run(batch: pa.RecordBatch) -> dict:
-            sets = [shingle(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            # a repeated id may bring another text: its class has a row of its own
-            ok = [len(s) > 0 and digest_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)]
-            rows = [k for k, x in enumerate(ok) if x]
-            return {n: batch.column(n).take(pa.array(rows, pa.int64())) for n in ("class", "group", "n_parts")} | {"shingles": [sets[k].tobytes() for k in rows]}
+    parts = grouped.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("n_parts"), F.min("class").alias("leader"))
+    member = grouped.join(parts, "group").select("class", "group", "n_parts", (F.col("class") == F.col("leader")).alias("leads"), "d.*")
+    on = ["__id", "__none", *_KEY]
+    texts = keyed(docs, "doc_id", "text").drop("doc_id").join(member.select("class", "group", "n_parts", "leads", *_ids(), *_KEY), on)
+    texts = texts.select("class", "group", "n_parts", "leads", "text").dropDuplicates(["class"])  # of repeated rows, one
 
-        return run
+    def make_sets(batch: pa.RecordBatch) -> dict:
+        sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), width)
+        return {n: batch.column(n) for n in ("class", "group", "n_parts", "leads")} | {"shingles": [s.tobytes() for s in sets]}
 
-    sets = in_slices(texts, "class binary, group bigint, n_parts int, shingles binary", None, make=make_sets)
-    part = F.pmod(F.xxhash64("class"), F.col("n_parts")).cast("int")
-    dealt = sets.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    dealt = dealt.select(F.struct("group", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b")).alias("task"), "class", "shingles")
+    sets = in_slices(texts, "class binary, group bigint, n_parts int, leads boolean, shingles binary", make_sets, most=SLICE)
+    sets = stored(sets.withColumn("part", F.pmod(F.xxhash64("class"), F.col("n_parts")).cast("int")), "sets")
 
     def match(table: pa.Table) -> pa.Table:
-        by = dict(zip(table.column("class").to_pylist(), table.column("shingles").to_pylist(), strict=True))
+        by = dict(zip(table.column("class").to_pylist(), zip(table.column("shingles").to_pylist(), table.column("label").to_pylist(), strict=True), strict=True))
         names = sorted(by)
-        found = links([np.frombuffer(by[n], np.uint64) for n in names], percent)
+        label = [by[n][1] or n for n in names]
+        found = links([np.frombuffer(by[n][0], np.uint64) for n in names], percent, shared.value, label)
         return pa.table({"u": pa.array([names[a] for a, _ in found], pa.binary()), "v": pa.array([names[b] for _, b in found], pa.binary())})
 
-    return dealt.groupBy("task").applyInArrow(match, "u binary, v binary")
+    def met(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy("task").applyInArrow(match, "u binary, v binary")
+
+    none = F.lit(None).cast("binary").alias("label")
+    # every part with its group's leader, which each of them has once
+    with_leader = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("n_parts") - 1)).otherwise(F.array("part"))
+    first = met(sets.select(F.explode(with_leader).alias("with"), "*").select(F.struct("group", "with", F.lit(-1).alias("rest")).alias("task"), "class", "shingles", none))
+    if not (large := sets.where("n_parts > 1")).head(1):
+        return first
+    # sets of large groups that are not connected with their leader yet meet all parts
+    first = cut(first)
+    known = components(first).withColumnRenamed("node", "class").withColumnRenamed("component", "label")
+    marked = large.join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    leader = marked.where("leads").select("group", F.col("label").alias("lead"))
+    marked = cut(marked.join(leader, "group"))
+    apart = marked.where("label <> lead")
+    n_rest = apart.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / F.lit(8 * most)).cast("int").alias("n_rest"))
+    rest = apart.join(n_rest, "group").withColumn("rest", F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_rest")).cast("int"))
+    asked = rest.select(F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("with"), "*")
+    given = marked.join(n_rest, "group").select(F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("rest"), "*")
+    task = F.struct("group", F.col("with"), F.col("rest")).alias("task")
+    dealt = asked.select(task, "class", "shingles", "label").union(given.withColumn("with", F.col("part")).select(task, "class", "shingles", "label"))
+    return first.union(met(dealt))
 
 
 def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:
-    """doc_id, n_shingles, component_id, class (null: empty) and component (a class)."""
-    classed = cut(shingled(docs, width))
-    linked = components(jaccard_links(docs, classed, width, percent, most)).withColumnRenamed("node", "class")
+    """doc_id, n_shingles, component_id, class (null: empty), component (a class) and _KEY."""
+    classed, counts = shingled(docs, width)
+    linked = components(jaccard_links(docs, classed, frequent(counts), width, percent, most)).withColumnRenamed("node", "class")
     one = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     whole = one.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     named = whole.join(least, "component").select("class", "component", "component_id")
     out = classed.join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class", "component")
+    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class", "component", *_KEY)
 
 
 def one_of_each(docs: DataFrame, keep: tuple[str, ...], width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:
@@ -398,13 +531,12 @@ def one_of_each(docs: DataFrame, keep: tuple[str, ...], width: int = WIDTH, perc
     It is the one with the component's least doc_id; of its repeated rows, one.  Documents with the
     empty set are linked with nothing and all stay.
     """
-    d = pick(docs, *keep)
+    d = keyed(docs, *keep)
     blank = F.coalesce(F.btrim("text", F.lit(WHITE)), F.lit("")) == ""
     rows = ngram_jaccard(docs, width, percent, most).where("class IS NOT NULL AND doc_id <=> component_id")
-    # a repeated id, or none, may come with several classes of a component: the least class stays
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none")]
-    chosen = rows.groupBy("component").agg(F.min("class").alias("__class"), F.first("doc_id").alias("doc_id")).select(*key, "__class")
-    named = shingled(d.where(~blank), width, keep).withColumnRenamed("class", "__class").select(*keep, "__class", *key)
-    on = ["__id", "__none", "__class"]
-    kept = named.dropDuplicates(on).join(chosen, on).select(*keep)
-    return kept.unionByName(d.where(blank))
+    # a repeated id, or none, may come with several texts of a component: the least class and text stay
+    least = F.min(F.struct("class", *_KEY)).alias("s")
+    chosen = rows.groupBy("component").agg(least, F.first("doc_id").alias("doc_id")).select(*_ids(), *(f"s.{c}" for c in _KEY))
+    on = ["__id", "__none", *_KEY]
+    kept = d.where(~blank).join(chosen, on).dropDuplicates(on).select(*keep)
+    return kept.unionByName(d.where(blank).select(*keep))
