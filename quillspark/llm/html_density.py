@@ -1,19 +1,26 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree of its elements.  Each node has C characters of text, T tags, CL characters and
-TL tags of links beneath it, and with the body's CB and CLB the density
+TL tags of links beneath it (T, CL, TL and C - CL count as 1 at least), and with the body's CB and CLB
+the density
 
-    D = C/T * log_b(C/CL * T/TL),  b = ln(C/(C - CL) * CL + CLB/CB * C + e)
+    D = C/T * log_b(x),  x = C/CL * T/TL,  b = ln(C/(C - CL) * CL + CLB/CB * C + e)
 
-(composite text density; divisors of 0 count as 1, and both logarithms are kept at 1 or above), 0
-without text.  A node's density sum adds its children's densities and its own characters.  The
-threshold is the least density on the path from the subtree with the largest sum to the body.  From
-the body down, the content is the subtree with the largest sum beneath each node that reaches the
-threshold, raised to the outermost <article> or <main> between the two; what lies within content is
-not looked at again.
+with log_b(x) = ln(max(x, 1) + e - 1) / max(ln(b + e - 1), 1), so that both logarithms are 1 at least;
+without text it is 0.  (CL of a node without links is 0 in b.)  A node's density sum adds the densities
+of its children; each run of its own text counts as a child without tags and links.  The threshold is
+the least density on the path from the subtree with the largest sum to the body.  From
+the body down, the content is the subtree with the largest sum (of equal ones the outermost, then the first)
+beneath each node that reaches the
+threshold; what lies within content is not looked at again.  The headline and the lead often lie beside
+the densest subtree, so it is raised to the outermost <article> or <main> between the two, which reach
+the threshold as all of the path do.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and
-other elements without running text are told by element, role and class or id, and have no text.
+other elements without running text have no text.  They are told by element, role and class or id: by
+whole names ("comments", "cookie-notice", "comment-list"), and names of which only a part tells
+("related-posts") if the node does not hold most of the page's text; names with "with", "has", "no" and
+"without" tell nothing.  A header within an <article> or <main> is part of it.
 Character references are decoded; within a block white space becomes one space; blocks are trimmed
 and joined by one newline in page order, empty ones left out.  Nothing else is dropped or cut.
 
@@ -39,13 +46,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements without running text of the article.
-OUT = frozenset("head nav header footer aside form script style noscript template svg canvas object embed iframe button select textarea input menu dialog audio video map math title".split())
+OUT = frozenset("head nav header footer aside form script style noscript template svg canvas object embed iframe button select textarea input menu dialog audio video map title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert advertisement adverts advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside "
     "notice notices cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
     "disqus reply replies respond commentlist widget widgets toolbar masthead pagination pager skip hidden header".split()
 )
+#: Parts of names beside WORDS that leave them whole names, and those that tell of what is elsewhere.
+NEUTRAL = frozenset("list area section container wrapper wrap box block item items inner outer left right top bottom site page global links link bar widget unit slot".split())
+ELSEWHERE = frozenset("with has no without".split())
 #: What a new element closes: p by blocks, and items, cells and rows by their like.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "optgroup", "legend", "summary", "figcaption"}
@@ -53,27 +63,41 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "up", "items", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
+    __slots__ = ("name", "up", "items", "out", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
-    def __init__(self, name: str, up: Node | None, out: bool) -> None:
-        self.name, self.up, self.out = name, up, out
+    def __init__(self, name: str, up: Node | None, out: bool, doubt: bool = False) -> None:
+        self.name, self.up, self.out, self.doubt = name, up, out, doubt
         self.items: list[Node | str] = []
 
 
-def is_out(name: str, attributes: str) -> bool:
-    if name in OUT:
-        return True
-    if not attributes.strip():
-        return False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(w in WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+def tells(names: str, header: bool) -> int:
+    """2 if a class or id tells that an element is out, 1 if a part of a name does, else 0; header: whether headers are."""
+    best = 0
+    for name in names.split():
+        parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+        found = [p in WORDS and (header or p != "header") for p in parts]
+        if any(found) and not ELSEWHERE & set(parts):
+            best = max(best, 2 if all(f or p in NEUTRAL for f, p in zip(found, parts, strict=True)) else 1)
+    return best
+
+
+def is_out(name: str, attributes: str, header: bool = True) -> tuple[bool, bool]:
+    """Whether an element is out, and whether it is if it does not hold most of the text."""
+    if name in OUT and (header or name != "header"):
+        return True, False
+    doubt = False
+    for key, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        key, value = key.lower(), value.strip("\"'")
+        low = value.lower()
+        if key == "hidden" or key == "aria-hidden" and low == "true" or key == "role" and low in ROLES:
+            return True, False
+        if key == "style" and re.search(r"display\s*:\s*none", low):
+            return True, False
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            if (told := tells(value, header)) == 2:
+                return True, False
+            doubt |= told == 1
+    return False, doubt
 
 
 def tree(page: str) -> Node:
@@ -116,7 +140,10 @@ def tree(page: str) -> Node:
                 x = x.up
             if last is not None:
                 now = last.up
-        node = Node(name, now, is_out(name, m[3]))
+        x = now
+        while x is not root and x.name not in ("article", "main"):
+            x = x.up
+        node = Node(name, now, *is_out(name, m[3], x is root))
         now.items.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
@@ -125,9 +152,21 @@ def tree(page: str) -> Node:
             at = end.end() if end else n
         elif name not in VOID and not m[3].rstrip().endswith("/") or name in ("p", "div") and m[3].rstrip().endswith("/"):
             now = node
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Nodes in doubt are out unless they hold most of the text."""
+    nodes = in_order(root)
+    if not any(x.doubt for x in nodes):
+        return
+    for x in reversed(nodes):
+        x.chars = sum(n_chars(c) if isinstance(c, str) else 0 if c.out else c.chars for c in x.items)
+    for x in nodes:
+        x.out = x.out or x.doubt and 2 * x.chars <= root.chars
+
+
 def in_order(root: Node) -> list[Node]:
     """Nodes that are not out, parents first, without recursion."""
     out, stack = [], [root]
@@ -154,16 +193,19 @@ def measure(nodes: list[Node]) -> None:
     top = next((x for x in nodes if x.name == "body"), nodes[0])
     share = top.link_chars / top.chars if top.chars else 0.0
     for x in nodes:
-        c, t, cl, tl = x.chars, max(x.tags, 1), x.link_chars, max(x.link_tags, 1)
-        if not c:
-            x.density = 0.0
-            continue
-        # at least one other and one link character, as with tags
-        base = math.log(c / max(c - cl, 1) * cl + share * c + math.e)
-        x.density = c / t * math.log(max(c / max(cl, 1) * t / tl, 1.0) + math.e - 1) / max(math.log(base + math.e - 1), 1.0)
+        x.density = density(x.chars, x.tags, x.link_chars, x.link_tags, share)
     for x in nodes:
-        x.total = sum(c.density for c in x.items if isinstance(c, Node) and not c.out)
-        x.total += sum(n for c in x.items if isinstance(c, str) and (n := n_chars(c)))  # text of its own, as a child without tags
+        x.total = sum(density(n_chars(c), 0, 0, 0, share) if isinstance(c, str) else 0.0 if c.out else c.density for c in x.items)
+
+
+def density(c: int, t: int, cl: int, tl: int, share: float) -> float:
+    """The composite density of c characters, t tags, cl characters and tl tags of links; share: the body's CLB / CB."""
+    if not c:
+        return 0.0
+    t = max(t, 1)
+    base = math.log(c / max(c - cl, 1) * cl + share * c + math.e)
+    x = c / max(cl, 1) * t / max(tl, 1)
+    return c / t * math.log(max(x, 1.0) + math.e - 1) / max(math.log(base + math.e - 1), 1.0)
 
 
 def content(root: Node) -> list[Node]:
