@@ -3,9 +3,10 @@ entropy per character class over candidate strings.
 
 Base patterns (leftmost, non-overlapping per kind; matches that fail the length are dropped after
 they have consumed their text): assign, access, hex.  The entropy method adds spans and never
-removes one.  A candidate is a maximal run of a class's characters, whatever is beside it; runs of
-16 to 23 characters have classes of their own, with a shorter window and threshold.  A window of ``width`` characters
-slides over it, and the counts of its characters, hence sum(c * log2 c), change by one character in
+removes one.  Candidates are maximal runs: of letters and digits (16 to 23 of them, or 24 and more of
+hex digits alone), and of these and + / _ = - (24 and more).  So KEY=HEX is seen, and hex digits
+within a longer word are not.  A window of ``width`` characters
+slides over a candidate, and the counts of its characters, hence sum(c * log2 c), change by one character in
 and one out at each step.  The span runs from the first to the last window whose entropy reaches the
 class's threshold.  Candidates that the allow-list fits (words, UUIDs, placeholders, alphabets, runs
 of digits) are suppressed; the allow-list never touches base spans.
@@ -34,23 +35,24 @@ BASE = (("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex
 
 @dataclass(frozen=True)
 class CharClass:
+    """A kind of candidates: runs of a pattern of some length, all of an alphabet's characters."""
+
     kind: str
-    pattern: str
+    run: str
     alphabet: str
     width: int
     bits: float
+    least: int
     most: int = 2**31 - 1
 
 
 DIGITS, LOW, UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALNUM, RUN, ALL_HEX = r"[A-Za-z0-9]{16,}", r"[A-Za-z0-9+/_=-]{24,}", r"^[0-9A-Fa-f]*$"
 CLASSES = (
-    CharClass("entropy_hex", r"[0-9A-Fa-f]{24,}", DIGITS + "abcdefABCDEF", 24, 3.05),
-    CharClass("entropy_base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])", DIGITS + LOW + UP + "+/_=-", 24, 3.93),
-)
-#: Runs of 16 to 23 characters; letters and digits alone, so that KEY=TOKEN is seen.
-SHORT = (
-    CharClass("entropy_short_hex", r"[0-9A-Fa-f]{16,}", DIGITS + "abcdefABCDEF", 16, 2.75, 23),
-    CharClass("entropy_short", r"[A-Za-z0-9]{16,}", DIGITS + LOW + UP, 16, 3.4, 23),
+    CharClass("entropy_hex", ALNUM, DIGITS + "abcdefABCDEF", 24, 3.05, 24),
+    CharClass("entropy_base64", RUN, DIGITS + LOW + UP + "+/_=-", 24, 3.93, 24),
+    CharClass("entropy_short_hex", ALNUM, DIGITS + "abcdefABCDEF", 16, 2.75, 16, 23),
+    CharClass("entropy_short", ALNUM, DIGITS + LOW + UP, 16, 3.4, 16, 23),
 )
 #: A candidate that any of these fits is no secret.
 ALLOW = (
@@ -61,24 +63,41 @@ ALLOW = (
 )
 
 
-def located(text: Column, found: Column) -> Column:
-    """array<struct<start, end, match, size>> for the matches found, in order; found: structs of match and size.
+BLOCK = 256
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it: in blocks, so that no long array grows by single elements."""
+    zero = F.lit(0).cast("bigint")
+    some = F.array().cast("array<bigint>")
+
+    def in_block(block: Column) -> Column:
+        return F.aggregate(block, F.struct(zero.alias("at"), some.alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def whole(xs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(starts, lambda k: in_block(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK))))
+        first = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, first, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(b["out"], lambda x: x + a["at"]))).alias("out")))["out"])
 
-    The first place at or after the previous end that holds a match's characters is the match's own:
-    the pattern would have matched there, and matches are leftmost.
+    return let(numbers, lambda xs: F.when(F.size(xs) == 0, some).otherwise(whole(xs)))
+
+
+def located(text: Column, pattern: str, group: int) -> Column:
+    """array<struct<start, end, match, size>> of a pattern's matches, in order; size: the length of a group.
+
+    What lies between the matches comes from splitting at them, so places follow from running lengths.
     """
     empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,size:int>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
 
-    def step(a: Column, m: Column) -> Column:
-        def put(s: Column) -> Column:
-            end = s + F.length(m["match"])
-            one = F.struct(s.alias("start"), end.alias("end"), m["match"].alias("match"), m["size"].alias("size"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def placed(found: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        steps = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.length(m["match"])).cast("bigint"))
+        ends = F.transform(F.arrays_zip(sums_before(steps).alias("s"), steps.alias("n")), lambda x: x["s"] + x["n"])
+        both = F.arrays_zip(ends.alias("end"), found.alias("m"))
+        return F.transform(both, lambda x: F.struct((x["end"] - F.length(x["m"]["match"])).cast("bigint").alias("start"), x["end"].alias("end"), x["m"]["match"].alias("match"), x["m"]["size"].alias("size")))
 
-        return let((F.position(m["match"], text, (a["at"] + 1).cast("int")) - 1).cast("bigint"), put)
-
-    return F.aggregate(found, start, step)["out"]
+    return let(matches(text, pattern, group), lambda found: F.when(F.size(found) == 0, empty).otherwise(placed(found)))
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
@@ -135,7 +154,7 @@ def spans(text: Column) -> Column:
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
 
     def base(k: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        ok = F.filter(located(text, matches(text, pattern, group)), lambda m: m["size"] >= least)
+        ok = F.filter(located(text, pattern, group), lambda m: m["size"] >= least)
         return F.transform(ok, lambda m: of(kind, k, m["start"], m["end"]))
 
     def allowed(m: Column) -> Column:
@@ -144,14 +163,18 @@ def spans(text: Column) -> Column:
             out = out | m["match"].rlike(rule)
         return out
 
-    def entropic(k: int, c: CharClass) -> Column:
-        found = F.filter(located(text, matches(text, c.pattern, 0)), lambda m: (m["size"] <= c.most) & ~allowed(m))
+    def entropic(k: int, c: CharClass, runs: Column) -> Column:
+        own = lambda m: m["match"].rlike(ALL_HEX) if "hex" in c.kind else F.lit(True)
+        found = F.filter(runs, lambda m: m["size"].between(c.least, c.most) & own(m) & ~allowed(m))
         seen = F.transform(found, lambda m: F.struct(m["start"].alias("start"), entropy_window(m["match"], c).alias("w")))
         seen = F.filter(seen, lambda m: m["w"]["first"] >= 0)
         return F.transform(seen, lambda m: of(c.kind, k, m["start"] + m["w"]["first"], m["start"] + m["w"]["last"] + c.width))
 
-    parts = [base(k, *rule) for k, rule in enumerate(BASE)] + [entropic(k, c) for k, c in enumerate(CLASSES + SHORT, len(BASE))]
-    return F.sort_array(F.concat(*parts))
+    def of_run(pattern: str) -> Column:
+        mine = [(k, c) for k, c in enumerate(CLASSES, len(BASE)) if c.run == pattern]
+        return let(located(text, pattern, 0), lambda runs: F.concat(*[entropic(k, c, runs) for k, c in mine]))
+
+    return F.sort_array(F.concat(*[base(k, *rule) for k, rule in enumerate(BASE)], of_run(ALNUM), of_run(RUN)))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:

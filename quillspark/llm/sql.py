@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import WIDTH
 from .line_dedup import MIN_PAGES, RATIO
 from .quality_rules import RULES, STOP_FORMS
-from .secret_scan import ALLOW, BASE, CLASSES
+from .secret_scan import ALL_HEX, ALLOW, ALNUM, BASE, CLASSES, RUN
 
 
 def quoted(s: str) -> str:
@@ -51,24 +51,30 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_rule, RULES))} AS kept, n_stop_words FROM b
 """
 
-#: RE2 has no look-around: the runs are taken whole and those of the right characters are kept.
 _KINDS = " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate([b[0] for b in BASE] + [c.kind for c in CLASSES]))
-_RUN = "[A-Za-z0-9+/_=-]{24,}"
+
+
+def _candidates(k: int, c) -> str:
+    run = 3 if c.run == ALNUM else 4
+    hexes = f" AND regexp_matches(m, '{ALL_HEX}')" if "hex" in c.kind else ""
+    return f"SELECT rid, m, start, {k} AS kind, {c.width} AS w, {c.bits}::DOUBLE AS bits FROM cand WHERE run = {run} AND length(m) BETWEEN {c.least} AND {c.most}{hexes}"
+
+
 OP9 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 f AS (
   SELECT rid, text, 0 AS kind, regexp_extract_all(text, {quoted(BASE[0][1])}, 0) AS ms, regexp_extract_all(text, {quoted(BASE[0][1])}, 2) AS gs FROM d
   UNION ALL SELECT rid, text, 1, regexp_extract_all(text, {quoted(BASE[1][1])}), NULL FROM d
   UNION ALL SELECT rid, text, 2, regexp_extract_all(text, {quoted(BASE[2][1])}), NULL FROM d
-  UNION ALL SELECT rid, text, 3, regexp_extract_all(text, '{_RUN}'), NULL FROM d
+  UNION ALL SELECT rid, text, 3, regexp_extract_all(text, '{ALNUM}'), NULL FROM d
+  UNION ALL SELECT rid, text, 4, regexp_extract_all(text, '{RUN}'), NULL FROM d
 ),
 e AS (SELECT rid, kind, i, ms[i] AS m, gs[i] AS g, list_reduce(list_prepend({{'at': 0, 'm': ''}}, list_transform(ms[1:i], lambda m: {{'at': 0, 'm': m}})),
         lambda a, b: {{'at': a.at + instr(substr(text, a.at + 1), b.m) - 1 + length(b.m), 'm': b.m}}).at AS stop
       FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f)),
 base AS (SELECT rid, kind, stop - length(m) AS start, stop FROM e WHERE kind IN (1, 2) OR kind = 0 AND length(g) >= 8),
-cand AS (SELECT rid, m, stop - length(m) AS start FROM e WHERE kind = 3 AND NOT ({" OR ".join(f"regexp_matches(m, {quoted(a)})" for a in ALLOW)})),
-classed AS (SELECT rid, m, start, 3 AS kind, {CLASSES[0].width} AS w, {CLASSES[0].bits}::DOUBLE AS bits FROM cand WHERE regexp_full_match(m, '[0-9A-Fa-f]+')
-            UNION ALL SELECT rid, m, start, 4, {CLASSES[1].width}, {CLASSES[1].bits}::DOUBLE FROM cand),
+cand AS (SELECT rid, m, kind AS run, stop - length(m) AS start FROM e WHERE kind >= 3 AND NOT ({" OR ".join(f"regexp_matches(m, {quoted(a)})" for a in ALLOW)})),
+classed AS ({" UNION ALL ".join(_candidates(k, c) for k, c in enumerate(CLASSES, len(BASE)))}),
 win AS (SELECT rid, start, kind, w, list_filter(range(0, length(m) - w + 1), lambda i: list_aggregate(string_split(substr(m, i + 1, w), ''), 'entropy') >= bits - 1e-9 / w) AS hits FROM classed),
 found AS (SELECT rid, kind, start, stop FROM base UNION ALL SELECT rid, kind, start + hits[1], start + hits[-1] + w FROM win WHERE len(hits) > 0),
 named AS (SELECT rid, kind, start, stop, (CASE kind {_KINDS} END) || ':' || start || ':' || stop AS s FROM found),
