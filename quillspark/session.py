@@ -17,9 +17,18 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
     return b.getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a fresh one for a local session alone."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
+    return str(sc.getCheckpointDir())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the folder of spark.checkpoint.dir, its lineage gone."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

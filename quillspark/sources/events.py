@@ -11,12 +11,13 @@ ISSUE = "id string, title string, description string, status string, priority in
 
 
 def read_task_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TASK_EVENT).json(path)
+    """All task events; lines that are no event (broken, or without id) are left out."""
+    return spark.read.schema(TASK_EVENT).json(path).where("event_id IS NOT NULL")
 
 
 def read_record_events(spark: SparkSession, path: str, record_id: str | None = None) -> DataFrame:
-    """All record events, or one record's; the filter is part of the scan."""
-    out = spark.read.schema(RECORD_EVENT).json(path)
+    """All record events, or one record's; the filter is part of the scan.  Lines that are no event are left out."""
+    out = spark.read.schema(RECORD_EVENT).json(path).where("event_id IS NOT NULL")
     return out if record_id is None else out.where(F.col("record_id") == record_id)
 
 
