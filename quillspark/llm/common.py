@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, cut  # noqa: F401 - cut is for the operators
+
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,22 +43,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh local one where it is unset."""
-    have = spark.sparkContext.getCheckpointDir()
-    if have is None:
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="quillspark-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return str(have)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared folder: its lineage ends here."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
@@ -134,3 +119,13 @@ def in_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict] |
             release()
 
     return df.mapInArrow(run, schema)
+
+
+def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About most of the rows, those with the least hashes of a key; all of them if they are no more.
+
+    Rows are counted first and then filtered by a threshold: nothing is sorted or sent anywhere.
+    """
+    n = rows.count()
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return rows if n <= most else rows.where(share < int((1 << 30) * most / n))

@@ -3,8 +3,9 @@
 Pages are grouped by host; for each line, the pages of the host that contain it are divided by all
 pages of the host, and lines above the ratio are dropped from the host's pages.  Lines compare
 without the white space around them; blank lines are never counted or dropped.  A line must also be
-on ``min_pages`` pages of the host, so that small hosts keep their lines; with ``differing``, these
-pages must have two different texts at least, so that exact copies alone make no boilerplate.
+on ``min_pages`` pages of the host, and (with ``differing``) these pages must have two different texts
+at least, so that single pages and exact copies alone make no boilerplate; beyond that the ratio
+decides, whatever a host's size.
 
 The counts are taken on 128-bit hashes of the lines, each at most once a page, so that neither texts
 nor groups of pages are gathered.  A host has at most (mean lines of a page) / ratio such lines, so a
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, pick, stored
 
-RATIO, MIN_PAGES = 0.1, 5
+#: The ratio lies within the gap between lines that all hosts share (8.6 % of the pages and more) and
+#: those that also repeat by chance (4.8 % and less), as measured on 10,000 documents of 20 hosts.
+RATIO, MIN_PAGES = 0.06, 2
 
 
 def _trim(line: Column) -> Column:
@@ -35,7 +38,7 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, differing: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, differing: bool = True) -> DataFrame:
     """host and drop array<struct<a, b>>: the hashes of the lines to drop; pages: host, text."""
     p = pages.where("host IS NOT NULL")
     totals = p.groupBy("host").agg(F.count("*").alias("n_host"))
@@ -49,7 +52,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return frequent.groupBy("host").agg(F.collect_list("line").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ("doc_id",), differing: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ("doc_id",), differing: bool = True) -> DataFrame:
     """The columns of keep, host, text without boilerplate lines, n_lines (with other than white space) and n_dropped."""
     names = [c for c in dict.fromkeys((*keep, host, "text"))]
     d = pick(docs, *names).withColumn("__host", F.col(host))

@@ -14,11 +14,11 @@ def quoted(s: str) -> str:
 
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
-l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-t AS (SELECT rid, source, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+t AS (SELECT rid, source, text, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
 n AS (SELECT source, count(*) AS n_host FROM d GROUP BY source),
 bad AS (SELECT source, key FROM t JOIN n USING (source) WHERE key <> '' GROUP BY source, key, n_host
-        HAVING count(DISTINCT rid) >= {MIN_PAGES} AND count(DISTINCT rid) > {RATIO}::DOUBLE * n_host),
+        HAVING count(DISTINCT rid) >= {MIN_PAGES} AND count(DISTINCT text) > 1 AND count(DISTINCT rid) > {RATIO}::DOUBLE * n_host),
 kept AS (SELECT t.rid, string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE bad.key IS NULL) AS text,
                 count(*) FILTER (WHERE t.key <> '') AS n_lines, count(*) FILTER (WHERE bad.key IS NOT NULL) AS n_dropped
          FROM t LEFT JOIN bad ON t.source = bad.source AND t.key = bad.key GROUP BY t.rid)

@@ -9,9 +9,9 @@ Grades of labelled texts: 0 where the label says not toxic; toxic texts are grad
 share of words with a feature that labelled toxic texts have and others practically never do (none or
 up to 1 %, up to 3 %, above).  Only the training uses labels.
 
-The fit takes a bounded sample of labelled rows (per label, the ``most`` least hashes of ids; copies
-of a text count once), keeps features that at least ``least`` sample texts hold and that separate the
-labels (signed chi-square), and minimises the likelihood with an L1 penalty by accelerated proximal
+The fit takes a bounded sample of labelled rows (per label, about the ``most`` least hashes of ids; copies
+of a text count once), keeps the ``words`` features (a bound on the model) that at least ``least`` sample
+texts hold and that separate the labels best (chi-square), and minimises the likelihood with an L1 penalty by accelerated proximal
 gradient, in numpy on the driver.
 
 Texts are read whole.  Null texts and texts without words have no features.  Without labelled texts of
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, pick
+from .common import by_hash, in_slices, pick
 
 #: Largest number of labelled rows of each label in the fit.
 MOST = 4_000
@@ -163,9 +163,8 @@ def graded(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int], tu
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Ordinal:
     """Learns from a bounded sample of labelled rows."""
     marks = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
-    parts = [marks.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    few = parts[0].union(parts[1])
-    rows = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").select("text", "toxic").collect()  # at most 2 * most labels
+    few = by_hash(marks.where("toxic = 0"), "doc_id", most).union(by_hash(marks.where("toxic = 1"), "doc_id", most))
+    rows = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").select("text", "toxic").collect()  # about 2 * most labels at most
     return fit_ordinal(*graded([r["text"] for r in rows], [r["toxic"] for r in rows]))
 
 

@@ -3,10 +3,11 @@
 Features of a URL: lengths of host, path and query, depth, labels of the host, hyphens, digit ratio,
 entropy of its characters, numbers of parameters and fragments, longest label, and statistics of
 suffixes: how often labelled URLs with the host's last label, its last two, its first label, the
-path's first part and the path's file suffix were blocked (smoothed towards the mean).
+path's first part and the path's file suffix were blocked (smoothed towards the mean; missing for
+suffixes that no labelled URL has, for which the trees take both ways by what they hold).
 
 Labelled URLs are those that the rules decide; the trees learn from a bounded sample of them (the
-``most`` least hashes, distinct URLs) and judge the rest.  Logistic loss, histograms of 32 bins,
+about ``most`` least hashes, distinct URLs) and judge the rest.  Logistic loss, histograms of 32 bins,
 depth-limited trees, shrinkage; all in numpy on the driver, whose data is the bounded sample.
 
 Null URLs and those without :// have empty host and path; the trees judge them by their other
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, lower_ascii, pick
+from .common import by_hash, in_slices, lower_ascii, pick
 
 #: Largest number of labelled URLs that the trees learn from.
 MOST = 20_000
@@ -75,33 +76,42 @@ def lexical(url: str | None) -> tuple[list[float], list[str]]:
 
 @dataclass
 class Trees:
-    """Boosted regression trees: each is arrays of feature, threshold, left, right and value."""
+    """Boosted regression trees: each is arrays of feature (-1: leaf), threshold, left, right, value and the
+    left one's share of what a node holds, parents first.
+
+    Where a feature is missing (nan, a suffix that no labelled URL has) both ways are taken, by their shares.
+    """
 
     prior: float = 0.0
     trees: list[tuple[np.ndarray, ...]] = field(default_factory=list)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.prior)
-        for feature, threshold, left, right, value in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(32):
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                go = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            out += value[at]
+        for feature, threshold, left, right, value, share in self.trees:
+            weight = np.zeros((len(feature), len(x)))
+            weight[0] = 1.0
+            for k in range(len(feature)):
+                if feature[k] < 0:
+                    out += value[k] * weight[k]
+                    continue
+                cell = x[:, feature[k]]
+                go = np.where(np.isnan(cell), share[k], cell <= threshold[k])
+                weight[left[k]] = weight[k] * go
+                weight[right[k]] = weight[k] * (1 - go)
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0, share: float = 0.4) -> Trees:
     """Newton boosting of the logistic loss on histograms."""
     mean = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
     out = Trees(math.log(mean / (1 - mean)))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     code = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     raw = np.full(len(y), out.prior)
+    rng = np.random.default_rng(0)
     for _ in range(rounds):
+        # each tree sees a part of the features, so that none decides alone
+        seen = set(rng.permutation(x.shape[1])[: math.ceil(share * x.shape[1])].tolist())
         p = 1 / (1 + np.exp(-raw))
         g, h = p - y, np.maximum(p * (1 - p), 1e-9)
         nodes: list[list[float]] = []
@@ -110,11 +120,11 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate:
         def grow(rows: np.ndarray, level: int) -> int:
             me = len(nodes)
             gs, hs = g[rows].sum(), h[rows].sum()
-            nodes.append([-1, 0.0, -1, -1, -rate * gs / (hs + ridge)])
+            nodes.append([-1, 0.0, -1, -1, -rate * gs / (hs + ridge), 0.0])
             best = (1e-6, -1, -1)
             if level < depth and len(rows) >= 2 * least:
                 for f, e in enumerate(edges):
-                    if not len(e):
+                    if not len(e) or f not in seen:
                         continue
                     c = code[rows, f]
                     gl = np.cumsum(np.bincount(c, g[rows], len(e) + 1))[:-1]
@@ -131,13 +141,13 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate:
             _, f, k = best
             go = code[rows, f] <= k
             left, right = grow(rows[go], level + 1), grow(rows[~go], level + 1)
-            nodes[me] = [f, float(edges[f][k]), left, right, 0.0]
+            nodes[me] = [f, float(edges[f][k]), left, right, 0.0, go.mean()]
             return me
 
         grow(np.arange(len(y)), 0)
         raw += step
         a = np.array(nodes)
-        out.trees.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]))
+        out.trees.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4], a[:, 5]))
     return out
 
 
@@ -145,13 +155,12 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate:
 class UrlModel:
     trees: Trees
     rates: dict[str, float]
-    mean: float
 
     def features(self, urls: list[str | None]) -> np.ndarray:
         rows = []
         for u in urls:
             numbers, suffixes = lexical(u)
-            rows.append(numbers + [self.rates.get(s, self.mean) for s in suffixes])
+            rows.append(numbers + [self.rates.get(s, np.nan) for s in suffixes])
         return np.array(rows, float).reshape(len(rows), 20)
 
     def block(self, urls: list[str | None]) -> np.ndarray:
@@ -163,14 +172,14 @@ def fit(urls: list[str], y: list[int], smooth: float = 10.0) -> UrlModel:
     """Learns from labelled URLs (1: block)."""
     if len(set(y)) < 2:
         value = 1.0 if y and y[0] else 0.0
-        return UrlModel(Trees(20.0 if value else -20.0), {}, value)
+        return UrlModel(Trees(20.0 if value else -20.0), {})
     mean = sum(y) / len(y)
     n, hit = Counter(), Counter()
     for u, b in zip(urls, y, strict=True):
         for s in lexical(u)[1]:
             n[s] += 1
             hit[s] += b
-    model = UrlModel(Trees(), {s: (hit[s] + smooth * mean) / (k + smooth) for s, k in n.items()}, mean)
+    model = UrlModel(Trees(), {s: (hit[s] + smooth * mean) / (k + smooth) for s, k in n.items()})
     model.trees = boost(model.features(urls), np.array(y, float))
     return model
 
@@ -180,7 +189,7 @@ def fit_by_rules(pages: DataFrame, rules=RULES, most: int = MOST) -> UrlModel:
     p = pick(pages, "url").where("url IS NOT NULL")
     _, verdict = fitting_rule(*host_path(F.col("url")), rules)
     labelled = p.select("url", verdict.alias("verdict")).where("verdict IS NOT NULL").distinct()
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    rows = by_hash(labelled, "url", most).collect()  # about most rows
     return fit([r["url"] for r in rows], [int(r["verdict"] == "block") for r in rows])
 
 

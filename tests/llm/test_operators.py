@@ -434,6 +434,50 @@ def test_trees_learn():
     assert ((model.block(urls[300:]) > 0.5) == np.array(y[300:])).mean() > 0.95
 
 
+def test_a_split_and_its_leaves_against_brute_force():
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 12, (300, 3)).astype(float), rng.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 6] = 1
+    rate, ridge, least = 0.2, 1.0, 5
+    (feature, threshold, left, right, value, share), *rest = url_filter.boost(x, y, rounds=1, depth=1, share=1.0).trees
+    assert not rest
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + ridge)
+    gains = {(f, t): part(x[:, f] <= t) + part(x[:, f] > t) for f in range(3) for t in np.unique(x[:, f]) if min((x[:, f] <= t).sum(), (x[:, f] > t).sum()) >= least}
+    best = max(gains.values())
+    go = x[:, feature[0]] <= threshold[0]
+    assert abs(part(go) + part(~go) - best) < 1e-9 and abs(share[0] - go.mean()) < 1e-12
+    assert np.allclose([value[left[0]], value[right[0]]], [-rate * g[m].sum() / (h[m].sum() + ridge) for m in (go, ~go)])
+    trees = url_filter.Trees(0.5, [(feature, threshold, left, right, value, share)])
+    missing = x[:1].copy()
+    missing[0, feature[0]] = np.nan
+    assert np.allclose(trees.raw(x), 0.5 + np.where(go, value[left[0]], value[right[0]])) and np.allclose(trees.raw(missing), 0.5 + share[0] * value[left[0]] + (1 - share[0]) * value[right[0]])
+
+
+def test_hosts_that_the_trees_have_not_seen():
+    """URLs that the rules decide, learnt from four fifths of the hosts: the other hosts' get the rules' verdicts."""
+    rng = random.Random(8)
+    names = [f"{rng.choice(['a', 'www.b', 'm.c'])}{k}.example.{rng.choice(['com', 'net', 'org'])}" for k in range(200)]
+    rows = [(n, lang, f"https://{n}/{lang}/{rng.randrange(999)}") for n in names for lang in ("en", "es", "fr", "de")]
+    labelled = [(n, u, int(n.endswith("net"))) for n, lang, u in rows if n.endswith("com") or n.endswith("net") and lang in ("es", "fr")]
+    held = set(names[::5])
+    model = url_filter.fit([u for n, u, _ in labelled if n not in held], [b for n, _, b in labelled if n not in held])
+    test = [(u, b) for n, u, b in labelled if n in held]
+    assert np.mean((model.block([u for u, _ in test]) >= 0.5) == np.array([b for _, b in test])) >= 0.98
+    prior = np.mean([b for n, _, b in labelled if n not in held])
+    unseen = model.block(["https://a.example.org/x/1"])[0]
+    known = model.block([f"https://m.example.{t}/es/1" for t in ("com", "net")])
+    assert known[0] < unseen < known[1] and 0 < prior < 1
+
+
+def test_repeated_and_very_long_urls(spark):
+    rows = [(1, "http://x.net/es/1")] * 3 + [(2, "http://a.com/" + "x" * 200_000 + "?" + "a=1&" * 50_000), (3, "http://b.com/1")]
+    d = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = url_filter.url_filter(d, url_filter.fit_by_rules(d)).collect()
+    assert sorted((r.page_id, r.verdict) for r in got) == [(1, "block")] * 3 + [(2, "allow"), (3, "allow")]
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 
@@ -453,6 +497,42 @@ def test_severity_rises():
     assert m.severity(set()) == m.severity({"unseen"})
 
 
+def test_likelihood_is_at_its_least():
+    """No small change of a weight or threshold lowers the penalised likelihood, computed row by row."""
+    rng = random.Random(6)
+    names = ["qa", "qb", "qc", "qd"]
+    texts = [" ".join(n for n in names if rng.random() < 0.5) or "qa" for _ in range(300)]
+    grades = [min(2, max(0, t.count("qa") + t.count("qb") + rng.choice([-1, 0, 0, 1]))) for t in texts]
+    l1 = 1e-3
+    m = toxicity.fit_ordinal(texts, grades, n_grades=3, l1=l1, rounds=3000)
+
+    def loss(weights, ts):
+        total = 0.0
+        for t, g in zip(texts, grades, strict=True):
+            z = sum(w for f, w in weights.items() if f in toxicity.features(t))
+            over = [1.0, *(1 / (1 + np.exp(-(z - x))) for x in ts), 0.0]
+            total -= np.log(over[g] - over[g + 1])
+        return total / len(texts) + l1 * sum(map(abs, weights.values()))
+
+    at = loss(m.weights, m.thresholds)
+    for f in m.weights:
+        assert all(loss({**m.weights, f: m.weights[f] + e}, m.thresholds) > at - 1e-5 for e in (-0.05, 0.05))
+    for k in range(2):
+        assert all(loss(m.weights, [t + e * (i == k) for i, t in enumerate(m.thresholds)]) > at - 1e-5 for e in (-0.05, 0.05))
+    over = [1 / (1 + np.exp(-(sum(w for f, w in m.weights.items() if f in toxicity.features("qa qb")) - t))) for t in m.thresholds]
+    assert abs(m.severity(toxicity.features("qa qb"))[0] - sum(over)) < 1e-9
+    assert toxicity.Ordinal({}, [0.0, 0.0]).severity(set()) == (1.0, 0)  # equal grades: the least
+
+
+def test_empty_tables(spark):
+    none = docs(spark, [])
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id bigint, text string")
+    assert quality_rules.quality_rules(none).count() == secret_scan.secret_scan(none).count() == 0
+    assert decontaminate.digest(decontaminate.scan(none, bench)).count() == 0
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.toxicity(none, toxicity.fit(none, labels)).count() == 0
+
+
 def test_toxicity_edges(spark):
     d = docs(spark)
     none = toxicity.fit(d, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
@@ -466,7 +546,7 @@ def test_toxicity_held_out(spark):
     got = toxicity.toxicity(d, model).join(l.where("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id").collect()
     clean = [r for r in got if not r.label]
     assert sum(not r.toxic for r in clean) / len(clean) > 0.95
-    assert sum(r.toxic for r in got if r.label) / sum(r.label for r in got) > 0.6
+    assert sum(r.toxic for r in got if r.label) / sum(r.label for r in got) >= 0.9
 
 
 # --- near duplicates and benchmark ---------------------------------------------------------------
