@@ -16,8 +16,8 @@ sequence as one.  Two documents link when 100 * |intersection| >= percent * |uni
    common give groups, by connected components.
 3. The sets of a group meet in one task, or, if they hold more than ``most`` shingles, in parts of about
    that size, each together with the group's leader (its least class).  Sets that these links leave
-   apart from the leader are then compared, in parts as well, with all parts of the group.  In a task
-   the sets, ordered globally by the shingles' frequency in the table and their hash, make a trie.
+   apart from the leader are then compared with those that are not, and with each other, in parts as well.
+   In a task the sets, ordered globally by the shingles' frequency in the table and their hash, make a trie.
    Each set walks it once: nodes share the overlap of
    their common beginning, and a subtree is left as soon as the rest of its sets and of the walker
    cannot reach the bound, or all its sets are known to be connected with the walker.  Each task
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, cut, in_slices, pick, release, slices, small_batches, stored
@@ -300,18 +300,20 @@ class Trie:
         of = np.repeat(np.arange(len(nodes)), n)
         return self.child[np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))], of
 
-    def walk(self, x: int, percent: int, forest: Forest) -> np.ndarray:
-        """The sets after x (in order) that link with x and are not known to be connected with it."""
+    def walk(self, x: int, percent: int, forest: Forest, given: np.ndarray | None = None) -> np.ndarray:
+        """The sets after x (in order), or with given the sets that it marks, that link with x and are not known to be connected with it."""
         mine = np.zeros(self.kinds + 1, np.int64)
         mine[self.sets[x] + 1] = 1
         upto = np.cumsum(mine)  # upto[r]: x's shingles below r
         n = len(self.sets[x])
-        other = np.concatenate(([0], np.cumsum(forest.label != forest.label[x])))
+        apart = forest.label != forest.label[x]
+        other = np.concatenate(([0], np.cumsum(apart if given is None else apart & given)))
+        first = x + 1 if given is None else 0
         hits = []
         nodes, overlap = np.array([-1]), np.array([0])
         while len(nodes):
             kids, of = self.children(nodes)
-            worth = (self.hi[kids] > x + 1) & (other[self.hi[kids]] - other[np.maximum(self.lo[kids], x + 1)] > 0)
+            worth = (self.hi[kids] > first) & (other[self.hi[kids]] - other[np.maximum(self.lo[kids], first)] > 0)
             kids, base = kids[worth], overlap[of[worth]]
             if not len(kids):
                 break
@@ -330,19 +332,21 @@ class Trie:
                 if 100 * o >= percent * (n + self.depth[k] - o):
                     hits.append(self.lo[k])  # equal sets do not occur: it is the first of its range
             nodes, overlap = kids, got
-        return np.array([h for h in hits if h > x], np.int64)
+        return np.array([h for h in hits if h >= first and (given is None or given[h])], np.int64)
 
 
-def links(sets: list[np.ndarray], percent: int, often: Frequent | None = None, label: list[int] | None = None) -> list[tuple[int, int]]:
-    """A forest of the links among different sets (sorted arrays); sets of equal label are known to be connected."""
+def links(sets: list[np.ndarray], percent: int, often: Frequent | None = None, label: list | None = None, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """A forest of the links among different sets (sorted arrays), or with asks of those between sets that ask
+    and sets that do not; sets of equal label are known to be connected."""
     if len(sets) < 2:
         return []
     trie = Trie(sets, often)
     forest = Forest(len(sets))
     if label is not None:
         forest.label = np.unique([label[k] for k in trie.order], return_inverse=True)[1]
-    for x in range(len(sets)):
-        forest.join(x, trie.walk(x, percent, forest))
+    asking = None if asks is None else np.array([asks[k] for k in trie.order], bool)
+    for x in range(len(sets)) if asking is None else np.flatnonzero(asking).tolist():
+        forest.join(x, trie.walk(x, percent, forest, None if asking is None else ~asking))
     return [(trie.order[a], trie.order[b]) for a, b in forest.links]
 
 
@@ -482,35 +486,47 @@ def jaccard_links(docs: DataFrame, classed: DataFrame, often: Frequent, width: i
     sets = stored(sets.withColumn("part", F.pmod(F.xxhash64("class"), F.col("n_parts")).cast("int")), "sets")
 
     def match(table: pa.Table) -> pa.Table:
-        by = dict(zip(table.column("class").to_pylist(), zip(table.column("shingles").to_pylist(), table.column("label").to_pylist(), strict=True), strict=True))
+        rows = zip(*(table.column(c).to_pylist() for c in ("class", "shingles", "label", "asks")), strict=True)
+        by = {c: (s, label, asks) for c, s, label, asks in rows}
         names = sorted(by)
         label = [by[n][1] or n for n in names]
-        found = links([np.frombuffer(by[n][0], np.uint64) for n in names], percent, shared.value, label)
+        asks = [by[n][2] for n in names]
+        found = links([np.frombuffer(by[n][0], np.uint64) for n in names], percent, shared.value, label, None if None in asks else asks)
         return pa.table({"u": pa.array([names[a] for a, _ in found], pa.binary()), "v": pa.array([names[b] for _, b in found], pa.binary())})
 
     def met(dealt: DataFrame) -> DataFrame:
         return dealt.groupBy("task").applyInArrow(match, "u binary, v binary")
 
-    none = F.lit(None).cast("binary").alias("label")
+    none = [F.lit(None).cast("binary").alias("label"), F.lit(None).cast("boolean").alias("asks")]
     # every part with its group's leader, which each of them has once
     with_leader = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("n_parts") - 1)).otherwise(F.array("part"))
-    first = met(sets.select(F.explode(with_leader).alias("with"), "*").select(F.struct("group", "with", F.lit(-1).alias("rest")).alias("task"), "class", "shingles", none))
+    first = met(sets.select(F.explode(with_leader).alias("with"), "*").select(F.struct("group", "with").alias("task"), "class", "shingles", *none))
     if not (large := sets.where("n_parts > 1")).head(1):
         return first
-    # sets of large groups that are not connected with their leader yet meet all parts
+    # of large groups, the sets that are not connected with their leader yet: with those that are, and among each other
     first = cut(first)
     known = components(first).withColumnRenamed("node", "class").withColumnRenamed("component", "label")
     marked = large.join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
     leader = marked.where("leads").select("group", F.col("label").alias("lead"))
-    marked = cut(marked.join(leader, "group"))
-    apart = marked.where("label <> lead")
-    n_rest = apart.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / F.lit(8 * most)).cast("int").alias("n_rest"))
-    rest = apart.join(n_rest, "group").withColumn("rest", F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_rest")).cast("int"))
-    asked = rest.select(F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("with"), "*")
-    given = marked.join(n_rest, "group").select(F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("rest"), "*")
-    task = F.struct("group", F.col("with"), F.col("rest")).alias("task")
-    dealt = asked.select(task, "class", "shingles", "label").union(given.withColumn("with", F.col("part")).select(task, "class", "shingles", "label"))
-    return first.union(met(dealt))
+    marked = cut(marked.join(leader, "group").withColumn("apart", F.col("label") != F.col("lead")))
+    parts_of = lambda x: F.ceil(F.sum(F.when(x, F.length("shingles"))) / F.lit(8 * most)).cast("int")
+    sizes = marked.groupBy("group").agg(parts_of(F.col("apart")).alias("n_rest"), parts_of(~F.col("apart")).alias("n_near")).where("n_rest > 0")
+    # the parts that have met inside go together, so that only different ones need to meet
+    m = marked.join(sizes, "group").withColumn("rest", F.floor(F.col("part") * F.least("n_rest", "n_parts") / F.col("n_parts")).cast("int")).withColumn("n_rest", F.least("n_rest", "n_parts"))
+    m = m.withColumn("near", F.pmod(F.xxhash64("class", F.lit(1)), F.col("n_near")).cast("int"))
+    rest, near = m.where("apart"), m.where("NOT apart")
+    columns = ["class", "shingles", "label"]
+
+    def at(kind: str, a: Column, b: Column) -> Column:
+        return F.struct("group", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b")).alias("task")
+
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("o")
+    o = F.col("o")
+    asked = rest.select(others("n_near"), "*").select(at("near", F.col("rest"), o), *columns, F.lit(True).alias("asks"))
+    given = near.select(others("n_rest"), "*").select(at("near", o, F.col("near")), *columns, F.lit(False).alias("asks"))
+    pairs = rest.select(others("n_rest"), "*").where((o != F.col("rest")) | (F.col("n_rest") < F.col("n_parts")))
+    among = pairs.select(at("rest", F.least("rest", o), F.greatest("rest", o)), *columns, F.when(o != F.col("rest"), F.col("rest") < o).alias("asks"))
+    return first.union(met(asked.union(given).union(among)))
 
 
 def ngram_jaccard(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:

@@ -600,6 +600,9 @@ def test_trie_loses_no_link(percent):
             assert len(s) <= len(sig) + len(arrays) ** 2 and meet(s, n) == meet(sig, of)
         often = ngram_jaccard.Frequent(every[::3], np.arange(len(every[::3])) + 2)
         assert joined(len(sets), ngram_jaccard.links(arrays, percent, often)) == joined(len(sets), true)
+        asks = [k % 3 == 0 for k in range(len(sets))]
+        across = [(a, b) for a, b in true if asks[a] != asks[b]]
+        assert joined(len(sets), ngram_jaccard.links(arrays, percent, often, None, asks)) == joined(len(sets), across)
         part = joined(len(sets), true[::2])
         assert joined(len(sets), ngram_jaccard.links(arrays, percent, often, part) + true[::2]) == joined(len(sets), true)
 
@@ -609,7 +612,7 @@ def shingles(text):
     return frozenset(tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))) if ws else frozenset()
 
 
-@pytest.mark.parametrize("most", [1 << 20, 60])
+@pytest.mark.parametrize("most", [1 << 20, 300, 60])
 def test_jaccard_groups(spark, most):
     rng = random.Random(7)
     base = [f"w{i}" for i in range(60)]
