@@ -11,7 +11,7 @@ from ..functions.text import trim
 TOOL_GAP, SWEEP_GAP = 3600, 7200
 
 
-def sessionize(rows: DataFrame, gap: int, by: str, at: str = "created_at", key: str = "summary_id") -> DataFrame:
+def sessionize(rows: DataFrame, gap: int, by: str | list[str], at: str = "created_at", key: str = "summary_id") -> DataFrame:
     """Adds cluster, counted from a group's first: a new one where more than gap seconds have passed."""
     w = Window.partitionBy(by).orderBy(at, key)
     new = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(0))
@@ -19,8 +19,18 @@ def sessionize(rows: DataFrame, gap: int, by: str, at: str = "created_at", key:
 
 
 def consolidate(rows: DataFrame, gap: int = TOOL_GAP, by: str = "space", at: str = "created_at", key: str = "summary_id") -> DataFrame:
-    """by, first_at, last_at, n and newest (position of the cluster, newest first)."""
-    c = sessionize(rows, gap, by, at, key).groupBy(by, "cluster").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"))
+    """by, first_at, last_at, n and newest (position of the cluster, newest first).
+
+    Rows are clustered within stretches of time first, so that a hot group is many tasks; what then
+    meets by group are clusters, which join across the stretches' bounds.
+    """
+    stretch = F.floor(F.col(at) / max(86_400, 8 * gap))
+    parts = sessionize(rows.withColumn("__stretch", stretch), gap, [by, "__stretch"], at, key)
+    parts = parts.groupBy(by, "__stretch", "cluster").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")).drop("__stretch", "cluster")
+    w = Window.partitionBy(by).orderBy("first_at", "last_at")
+    new = F.coalesce((F.col("first_at") - F.lag("last_at").over(w) > gap).cast("int"), F.lit(0))
+    whole = parts.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = whole.groupBy(by, "cluster").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("n").alias("n"))
     return c.withColumn("newest", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("first_at")))).drop("cluster")
 
 
