@@ -35,7 +35,7 @@ from .common import by_hash, in_slices, pick
 
 #: Largest number of labelled rows of each label in the fit.
 MOST = 4_000
-LEAST, WORDS, GRADES = 8, 400, 4
+LEAST, WORDS, GRADES = 8, 1_200, 4
 WORD = re.compile(r"[^\W\d_]+")
 
 
