@@ -140,11 +140,13 @@ def _full(get, **more) -> DataFrame:
     return retrieval.search(_chunks(get), _vectors(get), _queries(get), NOW, "default", **more)
 
 
+_SIXTH = f"{1 / 6!r}::DOUBLE"
 _GRAPH = _FUSED + f""", c AS (SELECT f.*, pagerank FROM fused f JOIN chunks USING (chunk_id)), seeds AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim_vector + bm25 + pagerank DESC, chunk_id) AS seed FROM c),
 o AS (SELECT query_id, target_file_id AS file_id, seed, least(1, sim_vector + bm25) AS s FROM seeds JOIN doc_links ON source_file_id = chunk_id WHERE seed <= 10), f1 AS (SELECT query_id, file_id, min(seed) AS seed, arg_min(s, (seed, s)) AS s FROM o GROUP BY query_id, file_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed, file_id) AS k FROM f1), new AS (SELECT query_id, chunk_id, 0.5 * s AS sim_graph FROM n JOIN chunks USING (file_id) WHERE k <= 20),
 b AS (SELECT coalesce(c.query_id, new.query_id) AS query_id, coalesce(c.chunk_id, new.chunk_id) AS chunk_id, greatest(coalesce(sim_vector, 0), coalesce(sim_graph, 0)) AS sim_vector, coalesce(bm25, 0) AS bm25, c.chunk_id IS NULL AS came FROM c FULL JOIN new ON c.query_id = new.query_id AND c.chunk_id = new.chunk_id),
-scored AS (SELECT query_id, chunk_id, came, round((sim_vector + bm25 + exp(-({NOW} - created_at)::DOUBLE / 2592000.0) + pagerank + CASE WHEN came THEN 0 ELSE len(list_intersect(['en', 'src' || (query_id % 20)], [lang, space]))::DOUBLE / len(list_distinct(['en', 'src' || (query_id % 20), lang, space])) END + CASE WHEN came THEN 1.0 ELSE importance END) / 6, 6) AS score
+scored AS (SELECT query_id, chunk_id, came, round(round({_SIXTH} * sim_vector + {_SIXTH} * bm25 + {_SIXTH} * exp(-({NOW} - created_at)::DOUBLE / 2592000.0) + {_SIXTH} * pagerank
+    + {_SIXTH} * CASE WHEN came THEN 0 ELSE len(list_intersect(['en', 'src' || (query_id % 20)], [lang, space]))::DOUBLE / len(list_distinct(['en', 'src' || (query_id % 20), lang, space])) END + {_SIXTH} * CASE WHEN came THEN 1.0 ELSE importance END, 9), 6) AS score
   FROM b JOIN chunks USING (chunk_id) WHERE trim(content) <> '')"""
 
 
