@@ -91,9 +91,10 @@ def located(text: Column, pattern: str, group: int) -> Column:
     empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,size:int>>")
 
     def placed(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        steps = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.length(m["match"])).cast("bigint"))
-        ends = F.transform(F.arrays_zip(sums_before(steps).alias("s"), steps.alias("n")), lambda x: x["s"] + x["n"])
+        # lengths once for all elements, not once for each
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        steps = F.transform(F.slice(F.arrays_zip(gaps.alias("g"), found.alias("m")), F.lit(1), F.size(found)), lambda x: (x["g"] + F.length(x["m"]["match"])).cast("bigint"))
+        ends = let(steps, lambda n: F.transform(F.arrays_zip(sums_before(n).alias("s"), n.alias("n")), lambda x: x["s"] + x["n"]))
         both = F.arrays_zip(ends.alias("end"), found.alias("m"))
         return F.transform(both, lambda x: F.struct((x["end"] - F.length(x["m"]["match"])).cast("bigint").alias("start"), x["end"].alias("end"), x["m"]["match"].alias("match"), x["m"]["size"].alias("size")))
 
