@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, sql, toxicity, url_filter
-from .common import table
+from .common import pick, table
+from .filter_audit import filter_audit
 from .html_density import html_extract
 from .language_id import fit_documents, held_out, language_id
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard
+from .periodic_runs import periodic_runs
 from .quality_rules import quality_rules
 from .secret_scan import digest, secret_scan
 from .sentencepiece_scan import sentencepiece_decode, sentencepiece_encode
+from .substring_dedup import substring_dedup
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,47 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 20 words that also start earlier."""
+    got = substring_dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in one text of ten (by h = crc32 of the id) the words from n mod g on (g = h div 10) repeat with
+    period 1 + (n - a) div (3 + g mod 8), a being where they begin."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = pick(docs, "doc_id", "text").withColumn("h", h)
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    d = d.withColumn("w", words).withColumn("n", F.size("w").cast("long")).withColumn("g", F.expr("h div 10"))
+    d = d.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p AS INT)])), ' ')")
+    return d.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, one in ten of which is given a repeated tail."""
+    got = periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    listed = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return got.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all their orders, by source."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WIDTH
+from .filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, FEWEST_WORDS, FILTERS
 from .line_dedup import MIN_PAGES, RATIO
 from .quality_rules import RULES, STOP_FORMS
 from .secret_scan import ALL_HEX, ALLOW, ALNUM, BASE, CLASSES, RUN
@@ -114,4 +115,37 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 """
 
-ORACLE_SQL = {"op7_ngram_jaccard": OP7, "op8_decontaminate": OP8, "op2_line_dedup": OP2, "op9_secret_scan": OP9, "op10_quality_rules": OP10}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT rid, doc_id, i, list_reduce(words[i:i + 19], lambda a, b: a || ' ' || b) AS g
+        FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20)),
+hit AS (SELECT rid, i FROM (SELECT rid, doc_id, i, first_value({'d': doc_id, 'i': i}) OVER (PARTITION BY g ORDER BY doc_id, i) AS f FROM win)
+        WHERE doc_id > f.d OR doc_id = f.d AND i > f.i),
+cov AS (SELECT DISTINCT rid, i + k AS pos FROM hit, range(20) r(k)),
+w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+k AS (SELECT w.rid, count(*) FILTER (WHERE cov.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE cov.pos IS NULL) AS kept
+      FROM w LEFT JOIN cov ON w.rid = cov.rid AND w.pos = cov.pos GROUP BY w.rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+f AS (SELECT doc_id, part, [len(words) < {FEWEST_WORDS}, 100 * len(list_distinct(words)) < {DISTINCT_PERCENT} * len(words),
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {CAPITAL_PERCENT} * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(least < doc_id, false)] AS fails,
+             coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM w),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+x(k) AS (SELECT unnest(range(1, 6))),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT ks, list_reduce(list_transform(ks, lambda k: '{FILTERS}'[k]), lambda a, b: a || b) AS filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, filter_order, step, ks[step] AS own, fails[ks[step]] AS bad, len(list_filter(ks[:step - 1], lambda k: fails[k])) > 0 AS before,
+             len(list_filter(fails, lambda y: y)) AS n_fails, n, good, toxic FROM c, s),
+t AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT bad AND NOT before), 0) AS kept, coalesce(sum(n) FILTER (WHERE bad AND NOT before), 0) AS removed,
+             coalesce(sum(n) FILTER (WHERE bad AND before), 0) AS redundant, coalesce(sum(n) FILTER (WHERE bad AND n_fails = 1), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE bad AND NOT before), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE bad AND NOT before), 0) AS toxic_lost
+      FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t
+"""
+
+ORACLE_SQL = {"op11_substring_dedup": OP11, "op13_filter_audit": OP13, "op7_ngram_jaccard": OP7, "op8_decontaminate": OP8, "op2_line_dedup": OP2, "op9_secret_scan": OP9, "op10_quality_rules": OP10}
