@@ -17,15 +17,22 @@ EMBEDDED_KINDS = ("episode", "reflection", "procedure")
 TRUSTED = ("trusted", "vetted")
 
 
-def summary_search(summaries: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """query_id, summary_id, bm25 and rank over stems of titles and contents; summaries: summary_id, title, content."""
-    texts = summaries.select("summary_id", F.concat_ws(" ", "title", "content").alias("body"))
+def bodies(summaries: DataFrame) -> DataFrame:
+    """summary_id and body, what searches read; summaries: summary_id, title, content."""
+    return summaries.select("summary_id", F.concat_ws(" ", "title", "content").alias("body"))
+
+
+def summary_search(summaries: DataFrame, queries: DataFrame, k: int = CANDIDATES, index=None) -> DataFrame:
+    """query_id, summary_id, bm25 and rank over stems of titles and contents; index: a stored one of these bodies by stems."""
+    texts = bodies(summaries)
+    if index is not None:
+        return index.search(queries, k, texts=texts)
     return bm25(texts, queries, key="summary_id", text="body", k=k, stem=stems)
 
 
-def trusted_by_text(summaries: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def trusted_by_text(summaries: DataFrame, queries: DataFrame, k: int = CANDIDATES, index=None) -> DataFrame:
     """query_id, summary_id and position: of the best k by text those that are trusted or vetted, by importance."""
-    found = summary_search(summaries, queries, k).join(summaries.where(F.col("trust").isin(*TRUSTED)).select("summary_id", "importance"), "summary_id")
+    found = summary_search(summaries, queries, k, index).join(summaries.where(F.col("trust").isin(*TRUSTED)).select("summary_id", "importance"), "summary_id")
     return found.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("importance"), "summary_id"))).select("query_id", "summary_id", "position")
 
 

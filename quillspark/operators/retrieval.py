@@ -68,11 +68,18 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str =
     found = few.join(asked_of, ["query_id", "term"]) if every else hits.join(asked_of, "term").withColumn("n_terms", F.lit(0))
     scored = found.join(F.broadcast(totals), how="cross").groupBy("query_id", key, "n_terms").agg(F.sum(weight).alias("raw"), F.count("*").alias("n_hit"))  # totals: one row
     whole = (scored.where("n_hit = n_terms") if every else scored).withColumn("raw", F.round("raw", 9))
-    quoted = queries.select("query_id", phrases(F.col("text")).alias("phrases")).where(F.size("phrases") > 0)
-    flat = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
-    with_phrases = whole.join(quoted, "query_id").join(docs.select(key, flat.alias("flat")), key)
-    missing = with_phrases.where(F.exists("phrases", lambda p: ~F.contains(F.col("flat"), p))).select("query_id", key)
-    ranked = whole.join(missing, ["query_id", key], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc(key)))).where(F.col("rank") <= k)
+    return best_of(whole, queries, docs, key, text, k)
+
+
+def best_of(whole: DataFrame, queries: DataFrame, docs: DataFrame | None, key: str, text: str, k: int) -> DataFrame:
+    """The k best of each query's scored texts (query_id, key, raw) that have its quoted phrases; without docs phrases are not looked at."""
+    if docs is not None:
+        quoted = queries.select("query_id", phrases(F.col("text")).alias("phrases")).where(F.size("phrases") > 0)
+        flat = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
+        with_phrases = whole.join(quoted, "query_id").join(docs.select(key, flat.alias("flat")), key)
+        missing = with_phrases.where(F.exists("phrases", lambda p: ~F.contains(F.col("flat"), p))).select("query_id", key)
+        whole = whole.join(missing, ["query_id", key], "left_anti")
+    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc(key)))).where(F.col("rank") <= k)
     best = F.max("raw").over(Window.partitionBy("query_id"))
     return ranked.withColumn("bm25", F.when(best > 0, F.col("raw") / best).otherwise(F.lit(0.0))).select("query_id", key, "bm25", "rank")
 
@@ -246,14 +253,15 @@ def _cut_tokens(s: Column, n: Column) -> Column:
     return F.when(F.octet_length(s) <= 4 * n, s).otherwise(trim(cut))
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int, profile: str = "default", k: int = CANDIDATES, links: DataFrame | None = None, score: Column | None = None, **filters) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int, profile: str = "default", k: int = CANDIDATES, links: DataFrame | None = None, score: Column | None = None, keyword: Callable[[DataFrame], DataFrame] | None = None, **filters) -> DataFrame:
     """The pipeline: both channels, fusion, enrichment, rank; on request graph expansion, filters and a second score.
 
     chunks: chunk_id, content, created_at, pagerank, tags, importance (file_id with links, kind with kinds);
     vectors: chunk_id, embedding; queries: query_id, text, embedding, tags; links: source_file_id,
-    target_file_id; score: a reranker's, over the result's columns; filters: those of post_filter.
+    target_file_id; score: a reranker's, over the result's columns; keyword: the keyword channel's results for queries, such as a stored
+    index's (without it BM25 reads the chunks); filters: those of post_filter.
     """
-    near, worded = knn(vectors, queries, k=k), bm25(chunks, queries, k=k)
+    near, worded = knn(vectors, queries, k=k), bm25(chunks, queries, k=k) if keyword is None else keyword(queries)
     if links is not None or score is not None:
         near, worded = cut(near), cut(worded)
     fused = fuse(near, worded)

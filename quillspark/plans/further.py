@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stemming import stems
 from ..operators import episodes, graph, memory, records, retrieval
 from ..sources import markdown
 from ..streaming import folds
-from .queries import _BM25, _FUSED, _HEAD, _chunks, _queries, _ranked_sql, _vectors, big, query
+from .queries import _BM25, _FUSED, _HEAD, _chunks, _index, _keyword, _queries, _ranked_sql, _vectors, big, query
 from .relations import NOW
 
 # --- memory --------------------------------------------------------------------------------------
@@ -34,16 +37,20 @@ def _asked(get) -> DataFrame:
     return get("notes").sparkSession.createDataFrame(_NOTE_QUERIES, "query_id int, text string")
 
 
+def _notes_index(get):
+    return _index(get, "events", memory.bodies(get("notes")), "summary_id", "body", stems)
+
+
 @query(f"WITH {_NOTES} SELECT query_id, summary_id, round(bm25, 6) AS bm25, rank FROM kw")
 def summary_search(get):
     """Summaries by the stems of their words; one query has a phrase."""
-    return big(memory.summary_search(get("notes"), _asked(get)), "rank").select("query_id", "summary_id", F.round("bm25", 6).alias("bm25"), "rank")
+    return big(memory.summary_search(get("notes"), _asked(get), index=_notes_index(get)), "rank").select("query_id", "summary_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query(f"WITH {_NOTES} SELECT query_id, summary_id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, summary_id) AS position FROM kw JOIN notes USING (summary_id) WHERE trust IN ('trusted', 'vetted')")
 def trusted_by_text(get):
     """Trusted ones of the best summaries by text, by importance."""
-    return big(memory.trusted_by_text(get("notes"), _asked(get)), "position")
+    return big(memory.trusted_by_text(get("notes"), _asked(get), index=_notes_index(get)), "position")
 
 
 @query("SELECT * FROM (SELECT space, summary_id, row_number() OVER (PARTITION BY space ORDER BY importance DESC, summary_id) AS position FROM notes WHERE trust IN ('trusted', 'vetted') AND tag = 'k3') WHERE position <= 20")
@@ -137,7 +144,7 @@ def document_capsules(get):
 
 
 def _full(get, **more) -> DataFrame:
-    return retrieval.search(_chunks(get), _vectors(get), _queries(get), NOW, "default", **more)
+    return retrieval.search(_chunks(get), _vectors(get), _queries(get), NOW, "default", keyword=functools.partial(_keyword, get), **more)
 
 
 _SIXTH = f"{1 / 6!r}::DOUBLE"
@@ -160,7 +167,7 @@ def search_with_links(get):
 def search_with_filters(get):
     """Filters on kind and time after the candidates' limit; what is of this very moment counts as without time."""
     kinds = _chunks(get).withColumn("kind", F.when(F.col("chunk_id") % 3 == 0, "note").when(F.col("chunk_id") % 3 == 1, "task").otherwise("record"))
-    out = retrieval.search(kinds, _vectors(get), _queries(get), NOW, "default", kinds=["note", "task"], after=NOW - 200 * 86400, before=NOW - 10 * 86400)
+    out = retrieval.search(kinds, _vectors(get), _queries(get), NOW, "default", keyword=functools.partial(_keyword, get), kinds=["note", "task"], after=NOW - 200 * 86400, before=NOW - 10 * 86400)
     return big(out, "rank").select("query_id", "chunk_id", "rank")
 
 
@@ -180,7 +187,7 @@ def search_reranked(get):
 def record_search(get):
     """Records among three times as many results of the lookup profile."""
     kinds = _chunks(get).withColumn("kind", F.when(F.col("chunk_id") % 3 == 2, "record").otherwise("note"))
-    out = retrieval.search(kinds, _vectors(get), _queries(get), NOW, "lookup")
+    out = retrieval.search(kinds, _vectors(get), _queries(get), NOW, "lookup", keyword=functools.partial(_keyword, get))
     return big(memory.record_search(out, 15), "position").select("query_id", "chunk_id", "position")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ann, episodes, graph, records, retrieval, tags, tasks
+from ..operators.inverted import InvertedIndex
+from ..session import checkpoint_dir
 from ..sources import markdown
 from ..streaming import folds
 from .relations import NOW, oracle, relation
@@ -22,7 +26,7 @@ def query(sql: str | None = None):
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: relation(spark, sf_dir, name))
+            return f(functools.partial(relation, spark, sf_dir))
 
         run.__doc__, run.__name__ = f.__doc__, f.__name__
         QUERIES[f.__name__] = run
@@ -70,6 +74,28 @@ def _vectors(get) -> DataFrame:
     return get("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
+_INDEXES: dict[tuple, InvertedIndex] = {}
+
+
+def _index(get, base: str, texts: DataFrame, key: str, text: str, stem=None) -> InvertedIndex:
+    """The stored index of a relation's texts, built once a session for the files of its table as they are."""
+    spark, sf_dir = get.args
+    file = F.col("_metadata")
+    files = spark.read.parquet(f"{sf_dir}/{base}.parquet").agg(F.count("*"), F.max(file.file_modification_time), F.sum(F.pmod(F.xxhash64(file.file_path, file.file_size), F.lit(1 << 20)))).first()
+    of = (spark.sparkContext.applicationId, sf_dir, key, text, *files)
+    if of not in _INDEXES:
+        index = InvertedIndex(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", key, text, stem)
+        index.build(texts)
+        _INDEXES[of] = index
+    return _INDEXES[of]
+
+
+def _keyword(get, queries: DataFrame, every: bool = True) -> DataFrame:
+    """The keyword channel over the stored index of chunks."""
+    chunks = get("chunks").select("chunk_id", "content")
+    return _index(get, "documents", chunks, "chunk_id", "content").search(queries, every=every, texts=chunks)
+
+
 def _chunks(get) -> DataFrame:
     return get("chunks").withColumn("tags", F.array("lang", "space"))
 
@@ -77,13 +103,13 @@ def _chunks(get) -> DataFrame:
 @query(rf"WITH {_BM25.strip()} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM kw")
 def bm25_search(get):
     """BM25 top 50 of each query, all terms required."""
-    return retrieval.bm25(get("chunks"), _queries(get)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
+    return _keyword(get, _queries(get)).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(rf"WITH {_BM25.strip().replace('WHERE n_hit = n_terms', '')} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, rank FROM kw")
 def bm25_any(get):
     """BM25 top 50 of each query, any of its terms."""
-    return retrieval.bm25(get("chunks"), _queries(get), every=False).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
+    return _keyword(get, _queries(get), every=False).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_KNN.strip()} SELECT query_id, chunk_id, round(sim, 6) AS sim, rank FROM vec")
@@ -101,7 +127,7 @@ fused AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_
 def hybrid_candidates(get):
     """Both channels' candidates, absent signals 0."""
     q = _queries(get)
-    return retrieval.fuse(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q)).select("query_id", "chunk_id", F.round("sim_vector", 6).alias("sim_vector"), F.round("bm25", 6).alias("bm25"))
+    return retrieval.fuse(retrieval.knn(_vectors(get), q), _keyword(get, q)).select("query_id", "chunk_id", F.round("sim_vector", 6).alias("sim_vector"), F.round("bm25", 6).alias("bm25"))
 
 
 def _ranked_sql(profile: str) -> str:
@@ -114,7 +140,7 @@ def _ranked_sql(profile: str) -> str:
 
 
 def _search(get, profile: str) -> DataFrame:
-    return retrieval.search(_chunks(get), _vectors(get), _queries(get), NOW, profile)
+    return retrieval.search(_chunks(get), _vectors(get), _queries(get), NOW, profile, keyword=functools.partial(_keyword, get))
 
 
 def _hybrid(profile: str):
@@ -138,7 +164,7 @@ SELECT query_id, CASE WHEN nv = 0 AND nf = 0 THEN 1.0 WHEN k = 0 THEN 0.0 ELSE o
 def fusion_confidence(get):
     """Overlap of both channels' best five."""
     q = _queries(get)
-    return big(retrieval.fusion_confidence(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q), q), "k", "overlap")
+    return big(retrieval.fusion_confidence(retrieval.knn(_vectors(get), q), _keyword(get, q), q), "k", "overlap")
 
 
 _STUBS = _ranked_sql("default") + r""", stub AS (SELECT query_id, chunk_id, rank, left(string_split(content, chr(10))[1], 80) AS title, content, trim(content) AS c FROM ranked),
@@ -174,7 +200,7 @@ SELECT query_id, chunk_id, space, score, row_number() OVER (PARTITION BY query_i
 def federated_merge(get):
     """Results of three spaces merged: best score, ties to the first space."""
     q = _queries(get)
-    f = retrieval.fuse(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q)).join(get("chunks").select("chunk_id", "space"), "chunk_id")
+    f = retrieval.fuse(retrieval.knn(_vectors(get), q), _keyword(get, q)).join(get("chunks").select("chunk_id", "space"), "chunk_id")
     r = f.select("query_id", "chunk_id", "space", F.round(F.col("sim_vector") + F.col("bm25"), 6).alias("score"))
     u = r.union(r.withColumn("space", F.concat(F.lit("a-"), "space"))).union(r.withColumn("space", F.lit("zz")).withColumn("score", F.round(F.col("score") - 0.25, 6)))
     return big(retrieval.federated_merge(u), "rank").select("query_id", "chunk_id", "space", "score", "rank")
@@ -184,7 +210,7 @@ def federated_merge(get):
 def tag_filters(get):
     """Filters after the candidates' limit: one tag of a class required, two excluded."""
     q = _queries(get)
-    f = retrieval.fuse(retrieval.knn(_vectors(get), q), retrieval.bm25(get("chunks"), q)).join(_chunks(get).select("chunk_id", "tags"), "chunk_id")
+    f = retrieval.fuse(retrieval.knn(_vectors(get), q), _keyword(get, q)).join(_chunks(get).select("chunk_id", "tags"), "chunk_id")
     return retrieval.post_filter(f, require=[["EN", "fr"]], exclude=["src1", "SRC2"]).select("query_id", "chunk_id")
 
 
@@ -772,15 +798,15 @@ def task_markdown(get):
     return tasks.as_markdown(get("tasks"), get("entity_links").drop("created_at"), get("task_labels"))
 
 
-_ASKED = "asked AS (SELECT * FROM (VALUES (1, 'customer'), (1, '7'), (2, 'order'), (2, 'price'), (2, '12')) v(query_id, term))"
+_ASKED = f"asked AS (SELECT task_id AS query_id, unnest(list_distinct({_TOKENS.format('title')})) AS term FROM tasks WHERE task_id % 100 = 0)"
 
 
-@query("WITH " + _ASKED + _BM25[_BM25.index(",\nwords AS") :].replace("content", "title || ' ' || description").replace("SELECT chunk_id,", "SELECT task_id AS chunk_id,", 1).replace("FROM chunks", "FROM tasks") + " SELECT query_id::INT AS query_id, chunk_id AS task_id, round(bm25, 6) AS bm25, rank FROM kw")
+@query("WITH " + _ASKED + _BM25[_BM25.index(",\nwords AS") :].replace("content", "title || ' ' || description").replace("SELECT chunk_id,", "SELECT task_id AS chunk_id,", 1).replace("FROM chunks", "FROM tasks") + " SELECT query_id, chunk_id AS task_id, round(bm25, 6) AS bm25, rank FROM kw")
 def task_search(get):
-    """BM25 over titles and descriptions of tasks."""
+    """BM25 over titles and descriptions of tasks; asked are the titles of tasks with ids divisible by 100."""
     t = get("tasks").select("task_id", F.concat_ws(" ", "title", "description").alias("body"))
-    q = get("tasks").sparkSession.createDataFrame([(1, "customer 7"), (2, "order price 12")], "query_id int, text string")
-    return big(retrieval.bm25(t, q, key="task_id", text="body"), "rank").select("query_id", "task_id", F.round("bm25", 6).alias("bm25"), "rank")
+    q = get("tasks").where("task_id % 100 = 0").select(F.col("task_id").alias("query_id"), F.col("title").alias("text"))
+    return big(_index(get, "orders", t, "task_id", "body").search(q), "rank").select("query_id", "task_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query("SELECT record_id FROM records WHERE contains(lower(title), 'ring')")
