@@ -113,23 +113,6 @@ def fold_links(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_
     return last.where("t = 'link_created'").select(*keys)
 
 
-def invalid_events(events: DataFrame) -> DataFrame:
-    """Events that cannot apply: of tasks without a created event, with a parent or dependency that never exists or is the task itself,
-    or with a dependency that closes a cycle of those that other events add."""
-    from ..operators.graph import closing_edges
-
-    made = events.where("event_type = 'task_created'").select(F.col("task_id").cast("string").alias("task_id")).distinct()
-    e = events.withColumn("task_id", F.col("task_id").cast("string")).withColumn("other", F.coalesce(_get("depends_on_task_id"), _get("parent_task_id")))
-    unknown = e.where("event_type <> 'task_created'").join(made, "task_id", "left_anti").withColumn("problem", F.lit("unknown task"))
-    own = e.where("other = task_id").withColumn("problem", F.lit("itself"))
-    lost = e.where("event_type IN ('parent_set', 'dependency_added') AND other IS NOT NULL").join(made.withColumnRenamed("task_id", "other"), "other", "left_anti")
-    lost = lost.withColumn("problem", F.when(F.col("event_type") == "parent_set", "unknown parent").otherwise("unknown dependency"))
-    deps = e.where("event_type = 'dependency_added' AND other <> task_id").select("event_id", F.col("task_id").alias("src"), F.col("other").alias("dst"))
-    circle = deps.join(closing_edges(deps.select("src", "dst").distinct()), ["src", "dst"], "left_semi").select("event_id", F.col("src").alias("task_id"), F.lit("cycle").alias("problem"))
-    cols = ["event_id", "task_id", "problem"]
-    return unknown.select(*cols).union(own.select(*cols)).union(lost.select(*cols)).union(circle).distinct()
-
-
 def coalesce_files(events: DataFrame) -> DataFrame:
     """path and action (index, delete or rename, with to_path) of file events (seq, path, action, to_path).
 

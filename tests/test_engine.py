@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import ann, episodes, graph, records, retrieval, tags, tasks
 from quillspark.sources import events as event_logs
 from quillspark.sources import markdown
-from quillspark.streaming import folds
+from quillspark.streaming import folds, validation
 
 
 def test_profiles_sum_to_one():
@@ -289,7 +289,7 @@ def test_event_folds(spark):
         assert [tuple(r) for r in folds.fold_pairs(twice, "label_added", "label_removed", "label", "label").collect()] == [("t1", "y")]
         assert [tuple(r) for r in folds.fold_externals(twice).collect()] == [("t1", "gh", "1", 1, 7)]
         assert [tuple(r) for r in folds.fold_parents(twice).collect()] == [("t1", "t9")]
-    assert {(r.event_id, r.problem) for r in folds.invalid_events(e).collect()} == {("e7", "unknown task"), ("f1", "unknown parent")}
+    assert {(r.event_id, r.problem) for r in validation.invalid_events(e).collect()} == {("e7", "unknown task"), ("f1", "unknown parent")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
