@@ -11,16 +11,19 @@ without text it is 0.  (CL of a node without links is 0 in b.)  A node's density
 of its children; each run of its own text counts as a child without tags and links.  The threshold is
 the least density on the path from the subtree with the largest sum to the body.  From
 the body down, the content is the subtree with the largest sum (of equal ones the outermost, then the first)
-beneath each node that reaches the
-threshold; what lies within content is not looked at again.  The headline and the lead often lie beside
-the densest subtree, so it is raised to the outermost <article> or <main> between the two, which reach
-the threshold as all of the path do.
+beneath each node that reaches the threshold; what lies within content is not looked at again.  No name
+of an element raises or picks a subtree.  Densities cannot tell short parts of an article, so that two
+kinds of text beside chosen subtrees and the nodes above them are kept too: headings with nothing but
+headings between them and what is kept next, and running text, that is paragraphs and what
+ends like a sentence or has eight words, with fewer characters in links than outside of them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles and
 other elements without running text have no text.  They are told by element, role and class or id: by
 whole names ("comments", "cookie-notice", "comment-list"), and names of which only a part tells
-("related-posts") if the node does not hold most of the page's text; names with "with", "has", "no" and
-"without" tell nothing.  A header within an <article> or <main> is part of it.
+("related-posts") or beside which another tells of content ("site-content page-widgets") if the node
+does not hold most of the page's text; names with "with", "has", "no" and "without" tell nothing.  If
+whole names would leave less than a twentieth of a page's text, they too tell only of nodes that do not
+hold most of it.  A header within an <article> or <main> is part of it.
 Character references are decoded; within a block white space becomes one space; blocks are trimmed
 and joined by one newline in page order, empty ones left out.  Nothing else is dropped or cut.
 
@@ -56,48 +59,55 @@ WORDS = frozenset(
 #: Parts of names beside WORDS that leave them whole names, and those that tell of what is elsewhere.
 NEUTRAL = frozenset("list area section container wrapper wrap box block item items inner outer left right top bottom site page global links link bar widget unit slot".split())
 ELSEWHERE = frozenset("with has no without".split())
+#: Parts of names that tell of content.
+CONTENT = frozenset("content article main post entry story text body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How sentences end, before quotes and brackets that close.
+SENTENCE = re.compile(r"[.!?…。！？][\s\"'”’»)\]]*$")
 #: What a new element closes: p by blocks, and items, cells and rows by their like.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "optgroup", "legend", "summary", "figcaption"}
 SPACE = re.compile(r"\s+")
+SENTENCE_WORDS = 8
 
 
 class Node:
-    __slots__ = ("name", "up", "items", "out", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
+    __slots__ = ("name", "up", "items", "out", "doubt", "chars", "named", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
-    def __init__(self, name: str, up: Node | None, out: bool, doubt: bool = False) -> None:
-        self.name, self.up, self.out, self.doubt = name, up, out, doubt
+    def __init__(self, name: str, up: Node | None, out: bool, doubt: bool = False, named: bool = False) -> None:
+        self.name, self.up, self.out, self.doubt, self.named = name, up, out, doubt, named
         self.items: list[Node | str] = []
 
 
 def tells(names: str, header: bool) -> int:
     """2 if a class or id tells that an element is out, 1 if a part of a name does, else 0; header: whether headers are."""
-    best = 0
+    best, most = 0, 2
     for name in names.split():
         parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+        most = 1 if CONTENT & set(parts) else most
         found = [p in WORDS and (header or p != "header") for p in parts]
         if any(found) and not ELSEWHERE & set(parts):
             best = max(best, 2 if all(f or p in NEUTRAL for f, p in zip(found, parts, strict=True)) else 1)
-    return best
+    return min(best, most)
 
 
-def is_out(name: str, attributes: str, header: bool = True) -> tuple[bool, bool]:
-    """Whether an element is out, and whether it is if it does not hold most of the text."""
+def is_out(name: str, attributes: str, header: bool = True) -> tuple[bool, bool, bool]:
+    """Whether an element is out, whether it is if it does not hold most of the text, and whether only its name has it out."""
     if name in OUT and (header or name != "header"):
-        return True, False
-    doubt = False
+        return True, False, False
+    doubt = named = False
     for key, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         key, value = key.lower(), value.strip("\"'")
         low = value.lower()
         if key == "hidden" or key == "aria-hidden" and low == "true" or key == "role" and low in ROLES:
-            return True, False
+            return True, False, False
         if key == "style" and re.search(r"display\s*:\s*none", low):
-            return True, False
+            return True, False, False
         if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            if (told := tells(value, header)) == 2:
-                return True, False
+            told = tells(value, header)
+            named |= told == 2
             doubt |= told == 1
-    return False, doubt
+    return named, doubt and not named, named
 
 
 def tree(page: str) -> Node:
@@ -147,8 +157,7 @@ def tree(page: str) -> Node:
         now.items.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
-            if not node.out and name not in ("title",):
-                node.out = True
+            node.out, node.named = True, False
             at = end.end() if end else n
         elif name not in VOID and not m[3].rstrip().endswith("/") or name in ("p", "div") and m[3].rstrip().endswith("/"):
             now = node
@@ -157,23 +166,34 @@ def tree(page: str) -> Node:
 
 
 def settle(root: Node) -> None:
-    """Nodes in doubt are out unless they hold most of the text."""
-    nodes = in_order(root)
-    if not any(x.doubt for x in nodes):
+    """Nodes in doubt are out unless they hold most of the text; so are those out by name if next to nothing would be left."""
+    nodes = in_order(root, True)
+    if not any(x.doubt or x.named for x in nodes):
         return
-    for x in reversed(nodes):
-        x.chars = sum(n_chars(c) if isinstance(c, str) else 0 if c.out else c.chars for c in x.items)
+
+    def count(named: bool) -> int:
+        """Characters of the root and of each node, with or without what is out by name."""
+        for x in reversed(nodes):
+            x.chars = sum(n_chars(c) if isinstance(c, str) else c.chars if not c.out or named and c.named else 0 for c in x.items)
+        return root.chars
+
+    left, whole = count(False), count(True)
+    if 20 * left < whole:
+        for x in nodes:
+            x.doubt, x.out = x.doubt or x.named, x.out and not x.named
+    else:
+        count(False)
     for x in nodes:
         x.out = x.out or x.doubt and 2 * x.chars <= root.chars
 
 
-def in_order(root: Node) -> list[Node]:
-    """Nodes that are not out, parents first, without recursion."""
+def in_order(root: Node, named: bool = False) -> list[Node]:
+    """Nodes that are not out (named: or out by name alone), parents first, without recursion."""
     out, stack = [], [root]
     while stack:
         x = stack.pop()
         out.append(x)
-        stack.extend(c for c in reversed(x.items) if isinstance(c, Node) and not c.out)
+        stack.extend(c for c in reversed(x.items) if isinstance(c, Node) and (not c.out or named and c.named))
     return out
 
 
@@ -231,9 +251,7 @@ def content(root: Node) -> list[Node]:
     while stack:
         x = stack.pop()
         if id(x) not in chosen and x.density >= threshold:
-            up = path(x)
-            found = next((p for p in reversed(up) if p.name in ("article", "main")), None) or next((p for p in up if p.name in BLOCKS), x.peak)
-            chosen.add(id(found))
+            chosen.add(id(next((p for p in path(x) if p.name in BLOCKS), x.peak)))
         if id(x) in chosen:
             kept.append(x)
         else:
@@ -241,6 +259,69 @@ def content(root: Node) -> list[Node]:
     return kept
 
 
+def heads(x: Node) -> bool:
+    """Whether a node is a heading, a header, or all of its text lies in headings."""
+    stack: list[Node | str] = [x]
+    while stack:
+        y = stack.pop()
+        if isinstance(y, str):
+            if y.strip():
+                return False
+        elif not y.out and y.name not in HEADINGS and y.name != "header":
+            stack.extend(y.items)
+    return True
+
+
+def runs_on(text: str) -> bool:
+    """Whether a text is running text: it ends like a sentence, or has as many words as one."""
+    return SENTENCE.search(text) is not None or len(text.split()) >= SENTENCE_WORDS
+
+
+def with_beside(root: Node, kept: list[Node]) -> list[Node]:
+    """kept, and what is kept beside it: headings before it and running text, in page order."""
+    own, above = {id(x) for x in kept}, set()
+    for x in kept:
+        x = x.up
+        while x is not None and id(x) not in above:
+            above.add(id(x))
+            x = x.up
+    out: list[Node] = []
+    waiting: list[Node] = []
+
+    def parts(x: Node) -> list[Node]:
+        """Blocks of a node, and the text between them as nodes of their own."""
+        found: list[Node] = []
+        run: list[Node | str] = []
+        for c in [*x.items, None]:
+            inline = isinstance(c, str) or c is not None and not c.out and c.name not in BLOCKS and id(c) not in own and id(c) not in above
+            if inline:
+                run.append(c)
+                continue
+            if run:
+                between = Node("div", x, False)
+                between.items, run = run, []
+                between.chars = sum(n_chars(y) if isinstance(y, str) else y.chars for y in between.items)
+                between.link_chars = sum(0 if isinstance(y, str) else y.link_chars for y in between.items)
+                found.append(between)
+            if c is not None and not c.out:
+                found.append(c)
+        return found
+
+    stack = [root] if kept else []
+    while stack:
+        x = stack.pop()
+        if id(x) in above:
+            stack.extend(reversed(parts(x)))
+        elif id(x) not in own and x.chars and heads(x):
+            waiting.append(x)
+        elif id(x) in own or x.chars and 2 * x.link_chars < x.chars and (x.name == "p" or runs_on("".join(blocks(x)[-1:]))):
+            out += [*waiting, x]
+            waiting = []
+        elif x.chars:
+            waiting = []
+    return out
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks beneath a node, in page order."""
     out: list[str] = []
@@ -274,7 +355,8 @@ def main_text(page: str | None) -> str:
     """The page's main text."""
     if not page:
         return ""
-    return "\n".join(b for node in content(tree(page)) for b in blocks(node))
+    root = tree(page)
+    return "\n".join(b for node in with_beside(root, content(root)) for b in blocks(node))
 
 
 def html_extract(pages: DataFrame) -> DataFrame:

@@ -317,6 +317,69 @@ def test_template_pages(spark):
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
 
 
+def test_no_name_picks_the_text():
+    """With other names of the elements around it a page's text is the same."""
+    pages = pd.read_parquet("/root/testdata/sf0.1/pages.parquet", columns=["html"])["html"].tolist()[::5]
+    for page in pages:
+        assert main_text(page) == main_text(re.sub("<(/?)article", r"<\1div", page)) == main_text(re.sub("<(/?)article", r"<\1section", page)) != ""
+
+
+SIX = "".join(f"<p>Paragraph number {k} of the article, which says something for a while.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("name", ["page-widgets", "site-content page-widgets", "social", "share", "promo", "sponsored", "ad-wrapper", "footer-widget"])
+def test_names_that_would_leave_nothing(name):
+    assert main_text(f"<body><div class='{name}'>{SIX}</div></body>").count("\n") == 5
+    assert main_text(f"<body><header>Site</header><nav><a href=x>m</a></nav><div class='{name}'>{SIX}<div class=ad>Buy it.</div></div><p>x</p></body>").count("Paragraph") == 6
+    assert "Buy" not in main_text(f"<body><div>{SIX}</div><div class='{name.split()[-1]}'><p>Buy it now.</p></div></body>")
+
+
+def test_text_beside_the_densest():
+    assert main_text(f"<h1>Head</h1><div>{SIX}</div>").split("\n")[0] == "Head"
+    assert main_text(f"<body><div><h2>One</h2><div><h3>Two</h3><div>{SIX}</div></div></div><h2>Elsewhere</h2><div>Menu</div></body>").split("\n")[:3] == ["One", "Two", "Paragraph number 0 of the article, which says something for a while."]
+    assert main_text(f"<body><div>{SIX}</div><div><p>Short but part of the article.</p></div></body>").endswith("\nShort but part of the article.")
+    assert main_text(f"<body><div>One <b>line</b> of text before.<div>{SIX}</div></div><div><a href=x>One</a> <a href=y>Two of them.</a></div></body>").split("\n")[0] == "One line of text before."
+
+
+def test_choice_of_subtrees_against_a_plain_version():
+    """On random pages of nested elements: each node that reaches the threshold, from the body down, has its best subtree in the content."""
+    r = random.Random(7)
+
+    def element(depth):
+        inside = "".join(element(depth - 1) if depth and r.random() < 0.6 else r.choice(["word " * r.randint(1, 30), "<a href=x>link</a>", "<p>" + "text " * r.randint(1, 40) + "</p>"]) for _ in range(r.randint(0, 4)))
+        return f"<div>{inside}</div>"
+
+    for _ in range(200):
+        root = html_density.tree(f"<body>{''.join(element(3) for _ in range(3))}</body>")
+        got = html_density.content(root)
+        body = next(x for x in html_density.in_order(root) if x.name == "body")
+        beneath = lambda x: [y for y in html_density.in_order(x) if y.chars]
+        best = lambda x: max(beneath(x), key=lambda y: y.total)  # noqa: E731 - the first, and so outermost, of equal ones
+        up = lambda x, top: [x] if x is top else [x, *up(x.up, top)]
+        if not beneath(body):
+            assert not got
+            continue
+        least = min(x.density for x in up(best(body), body))
+        want = []
+
+        def look(x, want=want, least=least, best=best, up=up):
+            if any(x is y for y in want):
+                return
+            if x.density >= least:
+                found = next((y for y in up(best(x), x) if y.name in html_density.BLOCKS), best(x))
+                if not any(found is y for y in want):
+                    want.append(found)
+                if found is x:
+                    return
+            for c in x.items:
+                if isinstance(c, html_density.Node) and not c.out and c.chars:
+                    look(c)
+
+        look(body)
+        inner = [x for x in want if not any(y is not x and y in up(x, root) for y in want)]
+        assert [id(x) for x in got] == [id(x) for x in html_density.in_order(root) if any(x is y for y in inner)]
+
+
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><div id=main><h2>Head &amp; line</h2><p>First para
  with <b>bold</b>&nbsp;text.<p>Second <a href=y>link</a> para, long enough to count.<ul><li>one<li>two</ul><form>Search</form></div>
@@ -333,7 +396,7 @@ def test_text_in_sibling_containers(n):
     parts = "".join("<div class=part>" + "".join(f"<p>{p}</p>" for p in part) + "</div>" for part in ps)
     links = "<div><a href=x>one</a> <a href=y>two</a> <a href=z>three</a></div>"
     assert main_text(f"<body>{links}<div id=main>{parts}</div>{links}</body>") == "\n".join(p for part in ps for p in part)
-    apart = "".join("<article>" + "".join(f"<p>{p}</p>" for p in part) + "</article>" for part in ps)
+    apart = "".join("<section>" + "".join(f"<p>{p}</p>" for p in part) + "</section>" for part in ps)
     assert main_text(f"<body>{links}{apart}</body>") == "\n".join(p for part in ps for p in part)
 
 
