@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import WIDTH
 from .filter_audit import CAPITAL_PERCENT, DISTINCT_PERCENT, FEWEST_WORDS, FILTERS
-from .line_dedup import MIN_PAGES, RATIO
+from .line_dedup import MANY, MIN_PAGES, RATIO
 from .quality_rules import RULES, STOP_FORMS
 from .secret_scan import ALL_HEX, ALLOW, ALNUM, BASE, CLASSES, RUN
 
@@ -18,8 +18,15 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documen
 l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 t AS (SELECT rid, source, text, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
 n AS (SELECT source, count(*) AS n_host FROM d GROUP BY source),
-bad AS (SELECT source, key FROM t JOIN n USING (source) WHERE key <> '' GROUP BY source, key, n_host
-        HAVING count(DISTINCT rid) >= {MIN_PAGES} AND count(DISTINCT text) > 1 AND count(DISTINCT rid) > {RATIO}::DOUBLE * n_host),
+u AS (SELECT DISTINCT rid, source, text, key FROM t WHERE key <> ''),
+asked AS (SELECT source, key, count(*) AS n_pages, n_host FROM u JOIN n USING (source) GROUP BY source, key, n_host
+          HAVING count(*) >= {MIN_PAGES} AND count(DISTINCT text) > 1 AND count(*) > {RATIO}::DOUBLE * n_host),
+alone AS (SELECT rid FROM d LEFT JOIN (SELECT rid, count(*) AS n, count(asked.key) AS n_asked FROM u LEFT JOIN asked ON u.source = asked.source AND u.key = asked.key GROUP BY rid) USING (rid)
+          WHERE 2 * coalesce(n_asked, 0) <= coalesce(n, 0)),
+n2 AS (SELECT source, count(*) AS n_host FROM d JOIN alone USING (rid) WHERE text IS NOT NULL GROUP BY source),
+bad AS (SELECT u.source, u.key FROM u JOIN alone USING (rid) JOIN asked ON u.source = asked.source AND u.key = asked.key JOIN n2 ON n2.source = u.source GROUP BY u.source, u.key, n2.n_host
+        HAVING count(*) >= {MIN_PAGES} AND count(DISTINCT text) > 1 AND count(*) > {RATIO}::DOUBLE * n2.n_host
+        UNION SELECT source, key FROM asked WHERE 2 * n_pages > n_host AND n_pages >= {MANY}),
 kept AS (SELECT t.rid, string_agg(t.line, chr(10) ORDER BY t.pos) FILTER (WHERE bad.key IS NULL) AS text,
                 count(*) FILTER (WHERE t.key <> '') AS n_lines, count(*) FILTER (WHERE bad.key IS NOT NULL) AS n_dropped
          FROM t LEFT JOIN bad ON t.source = bad.source AND t.key = bad.key GROUP BY t.rid)

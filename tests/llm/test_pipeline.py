@@ -72,6 +72,23 @@ def test_lines_of_small_sources(spark):
     assert got[30] == "menu\nown 0" and got[79] == "own 49" and got[90] == "menu\nown 0"  # 6 % is not over the ratio
 
 
+def test_near_copies_do_not_strip_each_other(spark):
+    """Two near copies in a small source keep what they share; a notice on other pages goes from them too."""
+    text = [f"line {k} of a text that two pages share" for k in range(9)]
+    rows = [(k, "\n".join(["a notice", *text, f"own end {k}"]), "en", "s", 1) for k in range(2)] + [(2 + k, f"{'a notice' if k < 6 else 'none'}\nown {k}\nmore {k}", "en", "s", 1) for k in range(20)]
+    rows += [(100 + k, "\n".join([*text, f"own end {k}"]), "en", "two", 1) for k in range(2)]
+    rows += [(200 + k, "\n".join([*text, f"own {k}"]), "en", "shop", 1) for k in range(12)]
+    rows += [(300, None, "en", "s", 1), (301, " \n", "en", "s", 1), (302, LONG, "en", "long", 1), (303, LONG + "\nx", "en", "long", 1), (302, LONG, "en", "long", 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, d, SMALL).collect()}
+    assert all(got[k] == "\n".join([*text, f"own end {k % 100}"]) for k in (0, 1, 100, 101)) and got[2] == "own 0\nmore 0"
+    assert got[200] == "own 0"  # nearly all of a source's pages, ten at least: boilerplate
+    assert got[302] == LONG and got[303] == LONG + "\nx" and got[300] is None
+
+
+LONG = "\n".join(f"line {k} of a very long text" for k in range(50_000))
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert got and all(r.round_trip and r.n_ids == len(r.ids) for r in got)
