@@ -159,8 +159,10 @@ def _find(width: int, prefix: int):
         fresh = np.concatenate(([True], a[1:] != a[:-1]))[: len(a)]
         group = np.cumsum(fresh) - 1
         repeated = np.bincount(group, minlength=1)[group] > 1 if len(a) else whole
-        # the first of each prefix tells other slices of it; the others, known to be repeats, meet equal ones alone
+        # the first of each prefix tells other slices of it; the others, known to be repeats, meet equal ones alone,
+        # and those that repeat one of their slice, however many, meet none
         key = np.where(fresh, a, _mix(a.view(U) + s.view(U) * U(_ODD[2])).view(np.int64))
+        key = np.where(whole, _mix(mark.view(U) + lo.astype(U) * U(_ODD[1])).view(np.int64), key)
         return {"key": key, "a": a, "s": s, "t": t, "doc_id": doc, "print": mark, "lo": lo, "n": n, "back": back, "repeated": repeated, "whole": whole}
 
     return run
