@@ -5,14 +5,14 @@ t_1 < ..., over sparse features of the text (which words occur in it, lower-case
 of words, so that inflected forms share what was learnt).  The output is the
 expected severity, the sum of P(grade > k) over k, and the most probable grade.
 
-Grades of labelled texts: 0 where the label says not toxic; toxic texts are graded 1 to 3 by the
-share of words with a feature that labelled toxic texts have and others practically never do (none or
-up to 1 %, up to 3 %, above).  Only the training uses labels.
+Grades of labelled texts: 0 where the label says not toxic; toxic texts are graded 1 or 2 by the share
+of words with a feature that labelled toxic texts have and others practically never do (none or up to
+3 %, above).  Only the training uses labels.
 
 The fit takes a bounded sample of labelled rows (per label, about the ``most`` least hashes of ids; copies
 of a text count once), keeps the ``words`` features (a bound on the model) that at least ``least`` sample
-texts hold and that separate the labels best (chi-square), and minimises the likelihood with an L1 penalty by accelerated proximal
-gradient, in numpy on the driver.
+texts hold and that separate the labels best (chi-square), and maximises the likelihood with an L1 penalty by accelerated proximal
+gradient over the sample's feature lists, in numpy on the driver.
 
 Texts are read whole.  Null texts and texts without words have no features.  Without labelled texts of
 both kinds every text has severity 0.  Each row gives one row, repeated rows included; other columns
@@ -35,7 +35,10 @@ from .common import by_hash, in_slices, pick
 
 #: Largest number of labelled rows of each label in the fit.
 MOST = 4_000
-LEAST, WORDS, GRADES = 8, 1_200, 4
+LEAST, WORDS, GRADES = 8, 1_200, 3
+#: Severity from which a text is toxic.  Of labels of sf0.1 whose id leaves other remainders than 0 by 5, those that leave
+#: 1 chose it (greatest difference of the shares found among toxic and other texts), in a fit on the rest.
+TOXIC = 0.15
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,9 +96,9 @@ def fit_ordinal(texts: list[str], grades: list[int], counts: tuple[Counter, Coun
 
     chosen = sorted((w for w in pos.keys() | neg.keys() if pos[w] + neg[w] >= least), key=lambda w: (-chi(w), w))[:words]
     at = {w: k for k, w in enumerate(chosen)}
-    x = np.zeros((len(texts), len(chosen)), np.float32)
-    for r, t in enumerate(texts):
-        x[r, [at[w] for w in features(t) & at.keys()]] = 1.0
+    held = [[at[w] for w in features(t) if w in at] for t in texts]
+    column = np.array([k for row in held for k in row], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(r) for r in held])
     share = np.array([np.clip((y > k).mean(), 1e-3, 1 - 1e-3) for k in range(n_grades - 1)])
     t = np.log((1 - share) / share)
     # thresholds as a first one and positive gaps
@@ -104,23 +107,31 @@ def fit_ordinal(texts: list[str], grades: list[int], counts: tuple[Counter, Coun
     def split(v):
         return v[: len(chosen)], np.concatenate(([v[len(chosen)]], v[len(chosen)] + np.cumsum(np.exp(np.clip(v[len(chosen) + 1 :], -6, 4)))))
 
-    def loss(v):
+    rows = np.arange(len(y))
+
+    def probabilities(v):
+        """P(grade > k) with 1 before and 0 after, and that of the own grade."""
         w, ts = split(v)
-        z = x @ w
+        z = np.bincount(row, w[column], len(y))
         over = 1 / (1 + np.exp(-np.clip(z[:, None] - ts[None, :], -50, 50)))
         p = np.concatenate((np.ones((len(y), 1)), over, np.zeros((len(y), 1))), axis=1)
-        rows = np.arange(len(y))
-        own = np.maximum(p[rows, y] - p[rows, y + 1], 1e-12)
+        return p, np.maximum(p[rows, y] - p[rows, y + 1], 1e-12)
+
+    def value(v):
+        return -np.log(probabilities(v)[1]).mean()
+
+    def loss(v):
+        p, own = probabilities(v)
         d = p * (1 - p)
         gz = -(d[rows, y] - d[rows, y + 1]) / own
-        gt = np.zeros(len(ts))
-        for k in range(len(ts)):
+        gt = np.zeros(p.shape[1] - 2)
+        for k in range(len(gt)):
             up, low = y == k + 1, y == k  # p[k+1] is the upper bound of grade k+1 and the lower one of k
             gt[k] = np.sum(d[up, k + 1] / own[up]) - np.sum(d[low, k + 1] / own[low])
         n = len(y)
         gaps = np.exp(np.clip(v[len(chosen) + 1 :], -6, 4))
         tail = np.cumsum(gt[::-1])[::-1]
-        return -np.log(own).mean(), np.concatenate((x.T @ gz / n, [gt.sum() / n], tail[1:] * gaps / n))
+        return -np.log(own).mean(), np.concatenate((np.bincount(column, gz[row], len(chosen)) / n, [gt.sum() / n], tail[1:] * gaps / n))
 
     def shrink(v, step):
         out = v.copy()
@@ -136,7 +147,7 @@ def fit_ordinal(texts: list[str], grades: list[int], counts: tuple[Counter, Coun
         while True:
             new = shrink(u - step * g, step)
             d = new - u
-            if loss(new)[0] <= f + g @ d + (d @ d) / (2 * step) + 1e-12 or step < 1e-6:
+            if value(new) <= f + g @ d + (d @ d) / (2 * step) + 1e-12 or step < 1e-6:
                 break
             step /= 2
         last, v, momentum, step = v, new, nxt, step * 1.1
@@ -156,7 +167,7 @@ def graded(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int], tu
     for t, x in rows:
         ws = WORD.findall(t.lower()) if x else []
         share = sum(w in own or any("^" + w[:k] in own for k in PREFIXES if len(w) > k) for w in ws) / max(len(ws), 1)
-        grades.append(0 if not x else 1 if share <= 0.01 else 2 if share <= 0.03 else 3)
+        grades.append(0 if not x else 1 if share <= 0.03 else 2)
     return [t for t, _ in rows], grades, counts
 
 
@@ -168,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Ordinal:
     return fit_ordinal(*graded([r["text"] for r in rows], [r["toxic"] for r in rows]))
 
 
-def toxicity(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected, 0 to 3), grade (most probable) and toxic (severity at or over the threshold)."""
+def toxicity(docs: DataFrame, model: Ordinal, threshold: float = TOXIC) -> DataFrame:
+    """doc_id, severity (expected, 0 to 2), grade (most probable) and toxic (severity at or over the threshold)."""
     d = pick(docs, "doc_id", "text")
     shared = d.sparkSession.sparkContext.broadcast(model)
 
