@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stemming import stems
-from ..operators import episodes, graph, memory, records, retrieval
+from ..operators import episodes, graph, memory, records, resolve, retrieval
 from ..sources import markdown
 from ..streaming import folds
 from .queries import _BM25, _FUSED, _HEAD, _chunks, _index, _keyword, _queries, _ranked_sql, _vectors, big, query
@@ -310,3 +310,30 @@ def tag_scopes(get):
     own = r.select(F.col("record_id").cast("string").alias("record_id"), "tag", "kind", "status", F.col("title").alias("content"), F.col("updated_at").alias("created_at"))
     tags = n.sparkSession.createDataFrame([("k1",), ("k2",), ("Brand#2",)], "tag string")
     return episodes.tag_sources(s, own, tags).groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+
+
+# --- ids -----------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT task_id, 'TSK-' || lpad(task_id::VARCHAR, 10, '0') AS id, left(sha256(task_id::VARCHAR), 8) AS h, child_seq, space FROM tasks),
+kids AS (SELECT p.id AS parent, c.child_seq, min(c.id) AS child FROM entity_links l JOIN t p ON p.task_id = l.from_id JOIN t c ON c.task_id = l.to_id WHERE edge_kind = 'parent_of' GROUP BY ALL),
+s AS (SELECT *, task_id // 100 AS z FROM t WHERE task_id % 100 = 0),
+q AS (SELECT DISTINCT * FROM (SELECT id AS input, NULL AS scope FROM s UNION ALL SELECT substr(id, 5, 3 + z % 8), CASE WHEN z % 3 = 0 THEN space END FROM s UNION ALL SELECT left(h, 2 + z % 7), CASE WHEN z % 2 = 0 THEN space END FROM s UNION ALL SELECT lower(left(id, 4 + z % 11)), NULL FROM s UNION ALL SELECT id || '.' || z % 10, NULL FROM s)),
+b AS (SELECT input, scope, CASE WHEN instr(input, '-') > 0 THEN substr(input, 5) ELSE input END AS bare, CASE WHEN instr(input, '-') > 0 THEN upper(input) ELSE 'TSK-' || upper(input) END AS big FROM q),
+c AS (SELECT *, regexp_full_match(bare, '[0-9a-f]{3,}') AS hex FROM b),
+m AS (SELECT input, scope, bare, list(DISTINCT t.id) FILTER (WHERE hex AND t.h = bare) AS m1, list(DISTINCT t.id) FILTER (WHERE hex AND starts_with(t.h, bare)) AS m2, list(DISTINCT t.id) FILTER (WHERE length(bare) >= 4 AND starts_with(t.id, big)) AS m3
+      FROM c LEFT JOIN t ON (starts_with(t.h, bare) OR starts_with(t.id, big)) AND (scope IS NULL OR t.space = scope) GROUP BY ALL),
+f AS (SELECT m.*, coalesce(m1, m2, m3, []) AS f, input IN (SELECT id FROM t) AS is_id, k.child FROM m LEFT JOIN kids k ON k.parent = regexp_extract(input, '^(.*)[.]([0-9]+)$', 1) AND k.child_seq = TRY_CAST(regexp_extract(input, '^(.*)[.]([0-9]+)$', 2) AS BIGINT))
+SELECT input, scope AS space, CASE WHEN is_id THEN input WHEN child IS NOT NULL THEN child WHEN len(f) = 1 THEN f[1] END AS task_id,
+  CASE WHEN is_id THEN 'exact' WHEN child IS NOT NULL THEN 'child' WHEN len(f) = 1 THEN 'unique' WHEN len(f) > 1 THEN 'ambiguous' WHEN length(bare) < 4 THEN 'short' ELSE 'none' END AS verdict,
+  CASE WHEN is_id OR child IS NOT NULL THEN 1 ELSE len(f) END AS n FROM f""")
+def resolve_ids(get):
+    """Ids, prefixes, short hashes and numbers of children, as typed for tasks with ids divisible by 100."""
+    name = lambda c: F.concat(F.lit("TSK-"), F.lpad(F.col(c).cast("string"), 10, "0"))
+    t = get("tasks").select("task_id", name("task_id").alias("id"), F.left(F.sha2(F.col("task_id").cast("string"), 256), F.lit(8)).alias("h"), "space", "child_seq")
+    s = t.where("task_id % 100 = 0").withColumn("z", F.expr("cast(task_id div 100 as int)"))
+    pair = lambda text, space="CAST(NULL AS STRING)": F.struct(F.expr(text).alias("input"), F.expr(space).alias("space"))
+    typed = F.array(pair("id"), pair("substring(id, 5, 3 + z % 8)", "if(z % 3 = 0, space, NULL)"), pair("left(h, 2 + z % 7)", "if(z % 2 = 0, space, NULL)"), pair("lower(left(id, 4 + z % 11))"), pair("id || '.' || cast(z % 10 as string)"))
+    inputs = s.select(F.explode(typed).alias("i")).select("i.input", "i.space").distinct()
+    edges = get("entity_links").select(name("from_id").alias("from_id"), name("to_id").alias("to_id"), "edge_kind")
+    return resolve.resolve(inputs, t.select(F.col("id").alias("task_id"), F.col("h").alias("display_id"), "space", "child_seq"), edges, project="TSK")
