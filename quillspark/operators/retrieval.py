@@ -26,6 +26,8 @@ SIGNALS = ("sim_vector", "bm25", "recency", "pagerank", "tag_match", "importance
 #: Fixed parameters of the pipeline.
 CANDIDATES, ALIAS_DISCOUNT = 50, 0.7
 RERANK_BELOW, CONFIDENCE_K, RERANK_DEPTH = 0.3, 5, 20
+#: Pairs of question and text that a model gets at once.
+PAIRS = 64
 SEEDS, EXPANDED_FILES, DAMPING, STUB_COST = 10, 20, 0.5, 5
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
@@ -213,6 +215,29 @@ def rerank(ranked: DataFrame, confidence: DataFrame, score: Column, key: str = "
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))))
 
 
+def rerank_by_model(ranked: DataFrame, confidence: DataFrame, make: Callable[[], Callable], queries: DataFrame, key: str = "chunk_id", text: str = "content", below: float = RERANK_BELOW, depth: int = RERANK_DEPTH, pairs: int = PAIRS) -> DataFrame:
+    """rerank with a model: make() is called once a task and gives a function of a pandas frame (query_id, key,
+    question, text) of up to pairs rows, which returns their scores.
+
+    Only the first depth results of queries whose channels disagree reach it, as whole texts.  A score of
+    NaN or None leaves the former one.  queries: query_id, text.
+    """
+    doubt = confidence.where(F.col("confidence") < below).select("query_id")
+    fed = ranked.where(F.col("rank") <= depth).join(doubt, "query_id", "left_semi").join(queries.select("query_id", F.col("text").alias("question")), "query_id").select("query_id", key, "question", F.col(text).alias("text"))
+
+    def run(frames):
+        model = make()
+        for pdf in frames:
+            for at in range(0, len(pdf), pairs):
+                part = pdf.iloc[at : at + pairs]
+                yield part[["query_id", key]].assign(again=[None if s is None or s != s else float(s) for s in model(part)])
+
+    kinds = dict(ranked.dtypes)
+    again = fed.mapInPandas(run, f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, again double")
+    out = ranked.join(again, ["query_id", key], "left").withColumn("score", F.coalesce(F.when(~F.isnan("again"), F.col("again")), F.col("score"))).drop("again")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))))
+
+
 def stubs(ranked: DataFrame) -> DataFrame:
     """Adds title, summary and stub_tokens; ranked: content, heading_path, and ml_summary where there is one."""
     heading = trim(F.regexp_replace(F.element_at(F.split("heading_path", " > "), -1), "^#+", ""))
@@ -253,12 +278,12 @@ def _cut_tokens(s: Column, n: Column) -> Column:
     return F.when(F.octet_length(s) <= 4 * n, s).otherwise(trim(cut))
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int, profile: str = "default", k: int = CANDIDATES, links: DataFrame | None = None, score: Column | None = None, keyword: Callable[[DataFrame], DataFrame] | None = None, **filters) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int, profile: str = "default", k: int = CANDIDATES, links: DataFrame | None = None, score: Column | Callable[[], Callable] | None = None, keyword: Callable[[DataFrame], DataFrame] | None = None, **filters) -> DataFrame:
     """The pipeline: both channels, fusion, enrichment, rank; on request graph expansion, filters and a second score.
 
     chunks: chunk_id, content, created_at, pagerank, tags, importance (file_id with links, kind with kinds);
     vectors: chunk_id, embedding; queries: query_id, text, embedding, tags; links: source_file_id,
-    target_file_id; score: a reranker's, over the result's columns; keyword: the keyword channel's results for queries, such as a stored
+    target_file_id; score: a reranker's, over the result's columns, or what makes a model of ``rerank_by_model``; keyword: the keyword channel's results for queries, such as a stored
     index's (without it BM25 reads the chunks); filters: those of post_filter.
     """
     near, worded = knn(vectors, queries, k=k), bm25(chunks, queries, k=k) if keyword is None else keyword(queries)
@@ -274,7 +299,10 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, now: int,
         rows = fused.join(plain, "chunk_id")
     rows = rows.where(trim(F.col("content")) != "").join(queries.select("query_id", F.col("tags").alias("q_tags")), "query_id").withColumn("tag_match", tag_match(F.col("q_tags"), F.col("tags")))
     out = rank(post_filter(rows, **filters), profile)
-    return out if score is None else rerank(out, fusion_confidence(near, worded, queries), score)
+    if score is None:
+        return out
+    confidence = fusion_confidence(near, worded, queries)
+    return rerank(out, confidence, score) if isinstance(score, Column) else rerank_by_model(out, confidence, score, queries)
 
 
 def resolve_lod(results: DataFrame, lods: DataFrame, now_iso: str, level: str = "L1") -> DataFrame:

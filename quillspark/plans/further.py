@@ -179,8 +179,8 @@ conf AS (SELECT query_id, CASE WHEN nv = 0 AND nf = 0 THEN 1.0 WHEN k = 0 THEN 0
 @query(_ranked_sql("default") + _CONFIDENT + """, again AS (SELECT query_id, chunk_id, CASE WHEN confidence < 0.3 AND rank <= 20 THEN (chunk_id % 100)::DOUBLE / 100 ELSE score END AS score FROM ranked JOIN conf USING (query_id))
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM again""")
 def search_reranked(get):
-    """A second score for the first twenty where the channels disagree."""
-    return big(_full(get, score=(F.col("chunk_id") % 100).cast("double") / 100), "rank").select("query_id", "chunk_id", "rank")
+    """A model's score for the first twenty where the channels disagree; this model knows only ids."""
+    return big(_full(get, score=lambda: lambda pairs: pairs["chunk_id"] % 100 / 100), "rank").select("query_id", "chunk_id", "rank")
 
 
 @query(_ranked_sql("lookup") + " SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM ranked WHERE rank <= 45 AND chunk_id % 3 = 2 QUALIFY position <= 15")

@@ -140,6 +140,25 @@ def test_ann_probes_follow_cells():
         assert np.mean([np.isin(cells[a], b).any(axis=1).mean() for a, b in zip(near, seen, strict=True)]) >= 0.9
 
 
+def test_model_sees_doubtful_queries_alone(spark):
+    rows = [(q, c, f"text {c}", 1.0 - c / 100, c + 1) for q in (1, 2) for c in range(90)]
+    ranked = spark.createDataFrame(rows, "query_id int, chunk_id int, content string, score double, rank int").repartition(3)
+    conf = spark.createDataFrame([(1, 0.1), (2, 0.9)], "query_id int, confidence double")
+    queries = spark.createDataFrame([(1, "one"), (2, "two")], "query_id int, text string")
+
+    def make():
+        def model(pairs):
+            assert len(pairs) <= 7 and set(pairs["question"]) == {"one"} and pairs["chunk_id"].max() < 20
+            assert all(t == f"text {c}" for t, c in zip(pairs["text"], pairs["chunk_id"], strict=True))
+            return [None if c == 3 else c / 10 + 2 for c in pairs["chunk_id"]]
+
+        return model
+
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.rerank_by_model(ranked, conf, make, queries, pairs=7).collect()}
+    first = [c for c in range(19, -1, -1) if c != 3] + [3, *range(20, 90)]
+    assert [got[1, k + 1] for k in range(90)] == first and [got[2, k + 1] for k in range(90)] == list(range(90))
+
+
 TASK = "task_id string, status string, priority int, task_type string, due_ts bigint, defer_until bigint, blocked_reason string, updated_at bigint, space string"
 EDGE = "from_id string, to_id string, edge_kind string"
 
