@@ -19,6 +19,8 @@ from quillspark.llm.sentencepiece_scan import sentencepiece_decode, sentencepiec
 
 #: A document whose language is less certain is rejected.
 LEAST_SCORE = 0.5
+#: Shingles of a part of a large group: half of the operator's own, as workers of other stages are still there.
+PART = 1 << 19
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: sets of five-word shingles, similarity of 0.8 or more."""
-    return one_of_each(docs, DOCUMENT_COLUMNS, width=5, percent=80)
+    return one_of_each(docs, DOCUMENT_COLUMNS, width=5, percent=80, most=PART)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
