@@ -76,3 +76,40 @@ def test_empty(spark, tmp_path):
     assert index.search(q).count() == index.search(q, every=False).count() == 0
     index.update(spark.createDataFrame([(1, "w1 w2")], DOCS))
     assert [(x.chunk_id, x.bm25) for x in index.search(q).collect()] == [(1, 1.0)]
+
+
+def most_rows(plan):
+    """The most rows that a node of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    rows = plan.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_common_term_is_looked_up_in_the_rarest_terms_slots(spark, tmp_path):
+    n = 600
+    index = InvertedIndex(spark, f"file://{tmp_path}/index", buckets=2, slot=4)
+    index.build(spark.createDataFrame([(k, f"order {k}") for k in range(n)], DOCS), changes=False)
+    found = index.search(spark.createDataFrame([(k, f"Order {k}") for k in range(n)], ASKED), 3)
+    assert sorted((x.query_id, x.chunk_id, x.rank) for x in found.collect()) == [(k, k, 1) for k in range(n)]
+    assert most_rows(found._jdf.queryExecution().executedPlan()) <= 10 * n  # not queries by slots: n * n / 4
+
+
+@pytest.mark.parametrize(("slot", "stem"), [(4, None), (1000, stems)])
+def test_index_for_reading_alone(spark, tmp_path, slot, stem):
+    rows = [*texts(random.Random(slot), range(120)), (200, None), (201, ""), (202, "!!")]
+    index = InvertedIndex(spark, f"file://{tmp_path}/index", stem=stem, buckets=5, slot=slot)
+    docs = spark.createDataFrame(rows, DOCS)
+    index.build(docs, changes=False)
+    same(spark, index, rows, 7, [(1, "the w1"), (2, "w2 w3 the of"), (3, 'w5 "the w7"'), (4, "absent w1"), (5, None), (6, "a"), (7, "The W9 w9 of a the w11 w12")])
+    assert not any(n.startswith("forward") for n in index.log.names("data"))
+    state = index.log.state()[1]
+    for change in (lambda: index.update(docs), index.merge):
+        with pytest.raises(ValueError, match="reading alone"):
+            change()
+    index.build(docs)
+    assert {n: index.log.state()[1][n] for n in ("n_docs", "total")} == {n: state[n] for n in ("n_docs", "total")}
+    index.update(spark.createDataFrame([(1, "w1")], DOCS))
+    empty = InvertedIndex(spark, f"file://{tmp_path}/empty")
+    empty.build(spark.createDataFrame([], DOCS), changes=False)
+    assert empty.search(spark.createDataFrame([(1, "w1")], ASKED)).count() == 0
