@@ -130,3 +130,21 @@ def test_chunks_of_headed_texts(spark):
     assert [got[0].heading_path, got[1].heading_path, got[2].heading_path] == ["", "# One", "# One > ## Two"]
     assert all(r.token_estimate <= 400 and r.content in raw[r.byte_start : r.byte_end].decode() for r in got)
     assert "".join("".join(r.content.split()) for r in got) == "".join(("Lead é. First. Second. " + "A sentence that fills. " * 200).split())
+
+
+def test_expanded_digests(spark):
+    """Tags of several classes, of unknown ones, and classes whose members are listed once and not by tag."""
+    import hashlib
+
+    from quillspark.operators import tags
+
+    pairs = [("Ab", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("C", "z"), (None, "x"), ("d", None), ("b", "x"), *((f"m{k}", "big") for k in range(600))]
+    asked = [(1, "Ab"), (2, "b"), (3, "c"), (4, "C"), (5, "d"), (6, "Other"), (7, None), (8, "b"), *((100 + k, f"m{k}") for k in range(600))]
+    out = tags.expanded_digests(spark.createDataFrame(asked, "id int, tag string"), spark.createDataFrame(pairs, "tag string, canonical string"))
+    got = {r.id: r.tags for r in out.collect()}
+
+    def want(t):
+        own = {c for a, c in pairs if a == t and c}
+        return t and hashlib.sha256(",".join(sorted({t.lower()} | {a.lower() for a, c in pairs if a and c in own})).encode()).hexdigest()
+
+    assert got == {k: want(t) for k, t in asked} and len(asked) == out.count()
