@@ -10,9 +10,11 @@ of the creations with parents a round, as many rounds as parents are nested at m
 *Dependencies.*  An edge is rejected if the edges alive when it comes lead back from its end to its
 start.  An edge can only be part of a cycle within a strong component of all edges that may be alive
 in a stretch of time.  So, for the stretch of the whole log: components are found as a Spark job; edges
-outside of them are valid; a component of up to ``limit`` edges is replayed in one task; a larger one
-is halved in time, and its earlier half decided first, as the later half stands on what it leaves.  With
-each halving the edges between components fall away again; a stretch of one event is a search by joins.
+outside of them are valid; a component of up to ``limit`` new edges is replayed in one task; a larger one
+is cut into stretches of time, which are decided one after the other, as each stands on what the earlier
+ones leave: the pairs of tasks that are linked when it begins, each once, however often they were added.
+Where more than ``limit`` pairs are linked in a component, stretches are decided like the whole log, as
+edges between components fall away again, or halved; one of a single event is a search by joins.
 """
 
 from __future__ import annotations
@@ -63,14 +65,13 @@ def _replay(rows):
                 out[a][b] -= 1
                 if not out[a][b]:
                     del out[a][b]
-            seen, todo = {dst}, [dst]
+            seen, todo = {dst}, [] if dst in out.get(src, ()) else [dst]  # what is linked already closes nothing
             while todo and not closed:
-                for x in out.get(todo.pop(), ()):
-                    if x == src:
-                        closed = True
-                    elif x not in seen:
-                        seen.add(x)
-                        todo.append(x)
+                after = out.get(todo.pop(), {})
+                closed = src in after
+                new_ones = after.keys() - seen
+                seen |= new_ones
+                todo.extend(new_ones)
         if not closed:
             at = out.setdefault(src, {})
             at[dst] = at.get(dst, 0) + 1
@@ -81,55 +82,73 @@ def _replay(rows):
     return rows[rows["new"]][["event_id", "seq", "cycle"]]
 
 
+def _alive(edges: DataFrame, at: int) -> DataFrame:
+    """Edges that are alive after a seq, those that were added repeatedly once: all of a pair end together."""
+    alive = edges.where((F.col("until") < 0) | (F.col("until") > at))
+    return alive.groupBy(*[c for c in edges.columns if c not in ("event_id", "seq")]).agg(F.min("event_id").alias("event_id"), F.min("seq").alias("seq")).select(*edges.columns)
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """seq and cycle of the new edges of components: component, event_id, src, dst, seq, until, new."""
+    kind = dict(rows.dtypes)["event_id"]
+    columns = ("component", "event_id", "src", "dst", "seq", "until", "new")
+    return rows.select(*columns).groupBy("component").applyInPandas(_replay, f"event_id {kind}, seq bigint, cycle boolean").select("seq", "cycle")
+
+
 def _decide(base: DataFrame, block: DataFrame, limit: int) -> DataFrame:
     """seq and cycle of a block of edges, over valid edges before it; both: event_id, src, dst, seq, until."""
     first = block.agg(F.min("seq")).first()[0]
     if first is None:
         return block.select("seq", F.lit(False).alias("cycle"))
-    rows = base.where((F.col("until") < 0) | (F.col("until") > first)).withColumn("new", F.lit(False)).union(block.withColumn("new", F.lit(True)))
+    base = _alive(base, first)
+    rows = base.withColumn("new", F.lit(False)).union(block.withColumn("new", F.lit(True)))
     c = strong_components(rows)
     of = lambda n: c.select(F.col("node").alias(n), F.col("component").alias(f"__{n}"))
     inner = cut(rows.join(of("src"), "src").join(of("dst"), "dst").where("__src = __dst").drop("__dst").withColumnRenamed("__src", "component"))
     clear = block.join(inner.where("new").select("seq"), "seq", "left_anti").select("seq", F.lit(False).alias("cycle"))
     size = cut(inner.groupBy("component").agg(F.count("*").alias("n"), F.count_if("new").alias("n_new")))
-    small = inner.join(size.where((F.col("n") <= limit) & (F.col("n_new") > 0)).select("component"), "component", "left_semi")
-    kind = dict(block.dtypes)["event_id"]
-    decided = small.select("component", "event_id", "src", "dst", "seq", "until", "new").groupBy("component").applyInPandas(_replay, f"event_id {kind}, seq bigint, cycle boolean")
-    out = clear.union(decided.select("seq", "cycle"))
-    large = size.where((F.col("n") > limit) & (F.col("n_new") > 0)).select("component")
+    few = (F.col("n") - F.col("n_new") <= limit) & (F.col("n_new") <= limit)
+    small = inner.join(size.where(few & (F.col("n_new") > 0)).select("component"), "component", "left_semi")
+    out = clear.union(_replayed(small))
+    large = size.where(~few & (F.col("n_new") > 0)).select("component")
     if large.isEmpty():
         return out
     rest = inner.join(large, "component", "left_semi")
-    own = ("event_id", "src", "dst", "seq", "until")
+    own = ("event_id", "src", "dst", "seq", "until", "component")
     old, new = cut(rest.where("NOT new").select(*own)), cut(rest.where("new").select(*own))
-    n, middle, last = new.agg(F.count("*"), F.percentile_approx("seq", 0.5), F.max("seq")).first()
+    n, last = new.agg(F.count("*"), F.max("seq")).first()
     if n == 1:
         one = new.first()
         there = reach(old, new.select(F.col("dst").alias("node"))).where(F.col("node") == one["src"])
         return out.union(new.select("seq", F.lit(not there.isEmpty()).alias("cycle")))
-    middle = middle if middle < last else last - 1
-    early = cut(_decide(old, new.where(F.col("seq") <= middle), limit))
-    kept = old.union(new.join(early.where("NOT cycle").select("seq"), "seq", "left_semi").select(*own))
-    return out.union(early).union(_decide(cut(kept), new.where(F.col("seq") > middle), limit))
+    pieces = max(2, -(-n // limit))
+    cuts = new.agg(F.percentile_approx("seq", [i / pieces for i in range(1, pieces)], 100 * pieces + 10_000)).first()[0]
+    since = None
+    for till in [*sorted({min(c, last - 1) for c in cuts}), last]:
+        piece = new.where(F.col("seq") <= till) if since is None else new.where((F.col("seq") > since) & (F.col("seq") <= till))
+        linked = old.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        if n > limit >= linked:  # a stretch of about limit events
+            found = _replayed(old.withColumn("new", F.lit(False)).union(piece.withColumn("new", F.lit(True))))
+        else:
+            found = _decide(old.drop("component"), piece.drop("component"), limit)
+        done = cut(found)
+        out, since = out.union(done), till
+        if till < last:
+            old = cut(_alive(old.union(piece.join(done.where("NOT cycle").select("seq"), "seq", "left_semi").select(*own)), till))
+    return out
 
 
 def closing_events(added: DataFrame, removed: DataFrame, limit: int = LIMIT) -> DataFrame:
     """seq and cycle of added edges; added: event_id, src, dst (another node), seq; removed: src, dst, seq."""
     both = added.select("event_id", "src", "dst", "seq", F.lit(False).alias("end")).union(removed.select(F.lit(None).cast(added.schema["event_id"].dataType), "src", "dst", "seq", F.lit(True)))
-    later = Window.partitionBy("src", "dst").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("src", "dst").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     until = F.coalesce(F.min(F.when(F.col("end"), F.col("seq"))).over(later), F.lit(-1))
     lives = cut(both.withColumn("until", until).where("NOT end").drop("end"))
     return _decide(lives.limit(0), lives, limit)
 
 
-def invalid_events(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id"), limit: int = LIMIT) -> DataFrame:
-    """event_id, task_id and problem of the events of a log that are rejected, by the first rule that they break.
-
-    task_created: 'task exists', 'itself' (as parent), 'unknown parent'.  All others: 'unknown task'; then
-    dependency_added: 'unknown dependency', 'itself', 'cycle'; parent_set: 'itself', 'unknown parent'.
-    events: event_id, task_id, event_type, payload (JSON) and the columns of order; repeated rows of one
-    event_id count once.
-    """
+def _referenced(events: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """event_id, task_id, event_type, target, seq and problem (null: none but perhaps a cycle) of all events."""
     get = lambda n: F.get_json_object("payload", _REF.format(n))
     e = events.withColumn("task_id", F.col("task_id").cast("string")).select("event_id", "task_id", "event_type", "payload", *[c for c in order if c != "event_id"]).dropDuplicates(["event_id"])
     kind = F.col("event_type")
@@ -144,7 +163,23 @@ def invalid_events(events: DataFrame, order: tuple[str, ...] = ("timestamp", "ev
     depends = F.when(~there("to"), "unknown dependency").when(F.col("target") == F.col("task_id"), "itself")
     moved = F.when(F.col("parent").isNull(), None).when(lone, "itself").when(~there("up"), "unknown parent")
     problem = F.when(kind == "task_created", created).when(~there("own"), "unknown task").when(kind == "dependency_added", depends).when(kind == "parent_set", moved)
-    s = cut(s.withColumn("problem", problem.cast("string")).select("event_id", "task_id", "event_type", "target", "seq", "problem"))
+    return s.withColumn("problem", problem.cast("string")).select("event_id", "task_id", "event_type", "target", "seq", "problem")
+
+
+def unknown_references(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
+    """``invalid_events`` but for dependencies that close a cycle, which need no search then: whether a task exists hangs on no dependency."""
+    return _referenced(events, order).where("problem IS NOT NULL").select("event_id", "task_id", "problem")
+
+
+def invalid_events(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id"), limit: int = LIMIT) -> DataFrame:
+    """event_id, task_id and problem of the events of a log that are rejected, by the first rule that they break.
+
+    task_created: 'task exists', 'itself' (as parent), 'unknown parent'.  All others: 'unknown task'; then
+    dependency_added: 'unknown dependency', 'itself', 'cycle'; parent_set: 'itself', 'unknown parent'.
+    events: event_id, task_id, event_type, payload (JSON) and the columns of order; repeated rows of one
+    event_id count once.
+    """
+    s = cut(_referenced(events, order))
     edge = lambda t: s.where((F.col("event_type") == t) & F.col("problem").isNull()).select("event_id", F.col("task_id").alias("src"), F.col("target").alias("dst"), "seq")
     closing = closing_events(edge("dependency_added"), edge("dependency_removed").select("src", "dst", "seq"), limit).where("cycle").select("seq")
     circle = s.join(closing, "seq", "left_semi").withColumn("problem", F.lit("cycle"))

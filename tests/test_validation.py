@@ -84,3 +84,31 @@ def test_query(spark):
     rows = sorted(_doubtful_log(lambda n: relation(spark, SMALL, n)).collect(), key=lambda r: (r.timestamp, r.event_id))
     got = {x.event_id: x.problem for x in QUERIES["invalid_events"](spark, SMALL).collect()}
     assert got == replay([(r.event_id, r.task_id, r.timestamp, r.event_type, r.payload) for r in rows])
+
+
+def test_pairs_that_are_added_again_and_again(spark, monkeypatch):
+    """One component whose valid edges outnumber the limit, of few pairs: a stretch is a replay, no search by joins."""
+    from quillspark.streaming import validation
+
+    monkeypatch.setattr(validation, "reach", lambda *a: pytest.fail("a stretch went down to one event"))
+    r = random.Random(5)
+    rows = [(k, f"t{k}", k, "task_created", "{}") for k in range(5)]
+    for k in range(5, 200):
+        rows.append((k, f"t{r.randrange(5)}", k, r.choice(["dependency_added"] * 5 + ["dependency_removed"]), json.dumps({"depends_on_task_id": f"t{r.randrange(5)}"})))
+    got = {x.event_id: x.problem for x in invalid_events(spark.createDataFrame(rows, SCHEMA), limit=70).collect()}
+    assert got == replay(rows) and "cycle" in got.values()
+
+
+def test_unknown_references_search_no_cycles(spark, monkeypatch):
+    from quillspark.streaming import validation
+
+    monkeypatch.setattr(validation, "closing_events", lambda *a: pytest.fail("cycles are not asked for"))
+    rows = [e for k in range(100) for e in random_log(random.Random(k), 100 * k)]
+    got = {x.event_id: x.problem for x in validation.unknown_references(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {k: p for n in range(100) for k, p in replay(rows_of(n)).items() if p != "cycle"}
+    assert got == want
+    QUERIES["unknown_references"](spark, SMALL).limit(1).collect()
+
+
+def rows_of(n):
+    return random_log(random.Random(n), 100 * n)
