@@ -148,3 +148,22 @@ def test_expanded_digests(spark):
         return t and hashlib.sha256(",".join(sorted({t.lower()} | {a.lower() for a, c in pairs if a and c in own})).encode()).hexdigest()
 
     assert got == {k: want(t) for k, t in asked} and len(asked) == out.count()
+
+
+def test_compact_ids_by_groups(spark):
+    """Against all prefixes, with groups of a few ids; ids are not multiplied by their prefixes."""
+    import random
+
+    from test_inverted import most_rows
+
+    from quillspark.operators import tasks
+
+    r = random.Random(3)
+    ids = [*{"T-" + "".join(r.choice("ab\u00e9") for _ in range(r.randint(0, 9))) for _ in range(300)}, "T-a", "T-" + "a" * 90, "T-" + "a" * 89 + "b", "T-a"]
+    for some, least, most in ((ids, 3, 5), (ids, 4, 10_000), (ids[:1], 3, 5), ([*ids, "x", None], 1, 4)):
+        out = tasks.compact_ids(spark.createDataFrame([(x,) for x in some], "task_id string"), least, most)
+        rows = out.collect()
+        own = {x for x in some if x is not None}
+        want = {x: next((x[:n] for n in range(min(least, len(x)), len(x) + 1) if not any(o != x and o.startswith(x[:n]) for o in own)), x) for x in own} | ({None: None} if None in some else {})
+        assert {x.task_id: x.short_id for x in rows} == want and len(rows) == len(want)
+        assert most_rows(out._jdf.queryExecution().executedPlan()) <= len(some)
