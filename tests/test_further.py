@@ -167,3 +167,24 @@ def test_compact_ids_by_groups(spark):
         want = {x: next((x[:n] for n in range(min(least, len(x)), len(x) + 1) if not any(o != x and o.startswith(x[:n]) for o in own)), x) for x in own} | ({None: None} if None in some else {})
         assert {x.task_id: x.short_id for x in rows} == want and len(rows) == len(want)
         assert most_rows(out._jdf.queryExecution().executedPlan()) <= len(some)
+
+
+def test_pairs_are_reduced_where_they_are_found(spark):
+    """Vectors that are all alike: tasks give links and best pairs by vector, not all pairs."""
+    from test_inverted import most_rows
+
+    rng = np.random.default_rng(6)
+    rows = [(k, unit(np.array([1.0, 0, 0, 0]) + 0.05 * rng.normal(size=4))) for k in range(200)] + [(200 + k, unit(np.array([0, 1.0, 0, 0]) + 0.05 * rng.normal(size=4))) for k in range(3)]
+    d = spark.createDataFrame(rows, "tag int, embedding array<double>")
+    sims = {k: np.round(np.clip(np.array([u for _, u in rows]) @ np.array(v), -1, 1), 6) for k, v in rows}
+    for block, products in ((64, 1000), (16_384, 1 << 22)):
+        links = similarity.similar_links(d, 0.85, block=block, products=products)
+        got = {frozenset(r) for r in links.collect()}
+        groups = {k: k for k, _ in rows}
+        for a, b in got:
+            x, y = groups[a], groups[b]
+            groups = {k: min(x, y) if g in (x, y) else g for k, g in groups.items()}
+        assert groups == {k: 0 if k < 200 else 200 for k, _ in rows}
+        best = similarity.closest(d, 0.85, block=block, products=products)[0]
+        assert {r.a: (r.b, r.cosine) for r in best.collect()} == {k: max(((j, float(c)) for j, c in enumerate(s) if j != k), key=lambda x: (x[1], -x[0])) for k, s in sims.items()}
+        assert all(most_rows(x._jdf.queryExecution().executedPlan()) < 200 * 199 / 2 for x in (links, best))
