@@ -113,3 +113,13 @@ def test_index_for_reading_alone(spark, tmp_path, slot, stem):
     empty = InvertedIndex(spark, f"file://{tmp_path}/empty")
     empty.build(spark.createDataFrame([], DOCS), changes=False)
     assert empty.search(spark.createDataFrame([(1, "w1")], ASKED)).count() == 0
+
+
+def test_texts_are_read_for_phrases_alone(spark, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    index.build(spark.createDataFrame([(1, "w1 w2"), (2, "w1")], DOCS), changes=False)
+    lost = spark.range(1, 3).select(F.col("id").alias("chunk_id"), F.raise_error(F.lit("read")).cast("string").alias("content"))
+    plain, quoted = spark.createDataFrame([(1, "w1")], ASKED), spark.createDataFrame([(1, '"w1 w2"')], ASKED)
+    assert index.search(plain, texts=lost).count() == 2
+    with pytest.raises(Exception, match="read"):
+        index.search(quoted, texts=lost).collect()
