@@ -10,10 +10,12 @@ sequence as one.  Two documents link when 100 * |intersection| >= percent * |uni
    the shingles, 1 + z are equal.  A second pass gives one row for each class and block: hash of size
    class, block and content.  Blocks that hold nothing but shingles of a table of frequent ones (at
    most ``known``), or nothing, are left out wherever at most z are such, for then an equal block of
-   another kind is left.  Nothing is missed, and sets that merely share a common passage do not meet.
-   Tasks join what has a signature in common before anything is shuffled, so that a signature of very
-   many classes is one row for each COMBINED rows of a task.  Stars of classes with a signature in
-   common give groups, by connected components.
+   another kind is left.  Nothing is missed, but sets that share no more than a passage meet as well, and
+   in a large table chains of such meetings would make one group of most of it.  So sets with a signature
+   in common are a pair only if their sketches allow a link: a sketch has the parity of the shingles in
+   each of some bins, and two of them differ in no more bits than their sets differ in shingles.
+   Signatures of a few classes give all their pairs, those of up to MANY a forest of the pairs that
+   the sketches allow, others a star.  Connected components of the pairs give groups.
 3. The sets of a group meet in one task, or, if they hold more than ``most`` shingles, in parts of about
    that size, each together with the group's leader (its least class).  Sets that these links leave
    apart from the leader are then compared with those that are not, and with each other, in parts as well.
@@ -47,8 +49,10 @@ from .components import components
 WIDTH, PERCENT, MOST = 3, 90, 1 << 20
 #: Size of the table of frequent shingles, and how often one must occur among COUNTED ones of a task to be counted.
 KNOWN, REPEATED, COUNTED = 1 << 20, 2, 2 << 20
-#: Signatures that a task joins before they are shuffled.
-COMBINED = 1 << 18
+#: Classes of a signature whose pairs are rows, and of one whose pairs are compared in one task.
+FEW, MANY = 16, 10_000
+#: Least bits of a sketch.
+BITS = 256
 #: Bytes of text that are hashed at once; longer words are hashed alone.
 SLICE, LONG_WORD = 4 << 20, 128
 #: 128 bits of a text.
@@ -179,7 +183,8 @@ def signatures(sets: list[np.ndarray], classes: Classes, usual: np.ndarray) -> t
 
 def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same meetings in fewer rows: of each signature its first node, and for every other node that has it
-    a signature that the two alone have, once for all their common ones."""
+    a signature that the two alone have, once for all their common ones.  It does not serve candidates(), as pairs
+    that do not meet directly hang together by the first node alone."""
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
     new = np.ones(len(sig), bool)
@@ -193,6 +198,39 @@ def combined(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate((sig[new], own, own)), np.concatenate((node[new], a, b))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of a power of two of bins, twice as many as shingles at least."""
+    bits = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s + _B) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the bins of the shortest one: the parity of two bins together is that of their sum."""
+    size = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size), axis=0) for x in sketches])
+
+
+def may_link(differ: np.ndarray, n: np.ndarray, k: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and k shingles may link that differ in so many at least."""
+    return np.maximum(differ, np.abs(n - k)) * (100 + percent) <= (n + k) * (100 - percent)
+
+
+def near(sketches: list[bytes], n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of the pairs of sets (n: their sizes) that may link, by their sketches."""
+    x, left, found, out = folded(sketches), np.arange(len(n)), [], []
+    while len(left):
+        if found:
+            a = found.pop()
+        else:
+            a, left = int(left[0]), left[1:]
+        good = may_link(np.bitwise_count(x[left] ^ x[a]).sum(axis=1, dtype=np.int64), n[left], n[a], percent)
+        found += left[good].tolist()
+        out += [(a, b) for b in left[good].tolist()]
+        left = left[~good]
+    return out
+
+
 class Frequent:
     """Sorted hashes of frequent shingles and their counts over all texts: with the hash, the global order."""
 
@@ -352,8 +390,8 @@ def links(sets: list[np.ndarray], percent: int, often: Frequent | None = None, l
 
 def shingled(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Of one pass over the texts, stored: doc_id, n_shingles, class, node (64 bits of the class; both null: the
-    empty set) and _KEY (128 bits of the text); and token and n of shingles that repeat, each different
-    set of a task counted once among COUNTED shingles."""
+    empty set), sketch (null where the task has just given that of the class) and _KEY (128 bits of the text);
+    and token and n of shingles that repeat, each different set of a task counted once among COUNTED shingles."""
     d = pick(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias(_KEY[0]), F.xxhash64(F.lit("text"), "text").alias(_KEY[1]))
     kind = d.schema["doc_id"].dataType.simpleString()
     small_batches(d.sparkSession)
@@ -369,29 +407,33 @@ def shingled(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]
             none = [pa.nulls(len(n), t) for t in types]
             return pa.RecordBatch.from_arrays([*none, tokens, n], names=names)
 
-        names, types = ["doc_id", *_KEY, "n_shingles", "class", "node", "token", "n"], None
+        names, types = ["doc_id", *_KEY, "n_shingles", "class", "node", "sketch", "token", "n"], None
         for batch in batches:
-            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
             for part in slices(batch, 0, SLICE):
                 sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), width)
                 digests = [digest_of(s) if len(s) else None for s in sets]
                 nodes = [None if c is None else node_of(c) for c in digests]
                 columns = [*(part.column(c) for c in ("doc_id", *_KEY)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64())]
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([*columns, none, none], names=names)
+                given, full = [], []
                 for c, s in zip(digests, sets, strict=True):
-                    if c is not None and c not in held:
+                    new = c is not None and c not in held
+                    given.append(sketch(s) if new else None)
+                    if new:
                         held[c] = s
                         many += len(s)
                         if many > COUNTED:
-                            yield repeated()
+                            full.append(repeated())
                             held, many = {}, 0
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(given, pa.binary()), none, none], names=names)
+                yield from full
         if held:
             yield repeated()
         held.clear()
         release()
 
-    both = stored(d.mapInArrow(run, f"doc_id {kind}, {_KEY[0]} bigint, {_KEY[1]} bigint, n_shingles bigint, class binary, node bigint, token bigint, n bigint"), "shingled")
+    both = stored(d.mapInArrow(run, f"doc_id {kind}, {_KEY[0]} bigint, {_KEY[1]} bigint, n_shingles bigint, class binary, node bigint, sketch binary, token bigint, n bigint"), "shingled")
     return both.where("token IS NULL").drop("token", "n"), both.where("token IS NOT NULL").select("token", "n")
 
 
@@ -414,18 +456,11 @@ def frequent(counts: DataFrame, known: int = KNOWN) -> Frequent:
 
 
 def signed(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
-    """sig and node of all classes, joined within the task before; a class that a task has just seen is not repeated."""
+    """sig and node of all classes; a class that a task has just seen is not repeated."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen, usual = Classes(percent), OrderedDict(), shared.value.shingles
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def row() -> pa.RecordBatch:
-            sig, node = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
-
         for batch in batches:
             for part in slices(batch, 0, SLICE):
                 sets, nodes = [], []
@@ -442,16 +477,52 @@ def signed(docs: DataFrame, shared, width: int, percent: int) -> DataFrame:
                     sets.append(s)
                     nodes.append(node)
                 sig, of = signatures(sets, classes, usual)
-                held.append((sig, np.array(nodes, np.int64)[of]))
-                if sum(len(x) for x, _ in held) > COMBINED:
-                    yield row()
-        if held:
-            yield row()
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.array(nodes, np.int64)[of])], names=["sig", "node"])
         release()
 
     return pick(docs, "text").mapInArrow(run, "sig bigint, node bigint")
 
 
+def candidates(meetings: DataFrame, classed: DataFrame, percent: int) -> DataFrame:
+    """u and v: pairs of classes by which all that link hang together; meetings: sig and node.
+
+    Of the classes of a signature all pairs are looked at (of more than MANY a star is given as it is), so
+    that nothing hangs on a third set's being like both; a pair goes on if its sketches allow a link.
+    """
+    by_sig = Window.partitionBy("sig")
+    several = meetings.withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)}).where("lo <> hi")
+    met = stored(several.groupBy("sig").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "meetings")
+    n = F.size("nodes")
+    pairs = F.expr("explode(flatten(transform(sequence(0, size(nodes) - 2), i -> transform(slice(nodes, i + 2, size(nodes)), w -> struct(nodes[i] AS u, w AS v)))))")
+    few = met.where(n <= FEW).select(pairs.alias("p")).select("p.*").distinct()
+    # signatures with the same classes tell the same
+    some = met.where((n > FEW) & (n <= MANY)).dropDuplicates(["nodes"]).select("sig", F.explode("nodes").alias("node"))
+    star = met.where(n > MANY).select(F.col("nodes")[0].alias("u"), F.explode("nodes").alias("v")).where("u <> v")
+    told = met.where(n <= MANY).select(F.explode("nodes").alias("node")).distinct()
+    told = cut(classed.where("sketch IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sketch").join(told, "node", "left_semi").dropDuplicates(["node"]))
+    side = lambda x: told.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    small_batches(meetings.sparkSession)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = zip(batch.column("sketch_u").to_pylist(), batch.column("sketch_v").to_pylist(), strict=True)
+            differ = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([a, b]))).sum()) for a, b in sketches], np.int64)
+            good = may_link(differ, batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                of = batch.column("of")[row].values
+                node = of.field("node").to_numpy()
+                found = near(of.field("sketch").to_pylist(), of.field("n").to_numpy(), percent)
+                a, b = np.array(found, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
+
+    few = few.join(side("u"), "u").join(side("v"), "v").mapInArrow(compare, "u bigint, v bigint")
+    some = some.join(told, "node").groupBy("sig").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("of")).select("of").mapInArrow(gather, "u bigint, v bigint")
+    return few.union(some).union(star)
+
 
 
 def keyed(docs: DataFrame, *names: str) -> DataFrame:
@@ -466,10 +537,8 @@ def _ids() -> list:
 def jaccard_links(docs: DataFrame, classed: DataFrame, often: Frequent, width: int = WIDTH, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """u, v: a forest of links between classes; classed and often: of shingled(docs)."""
     shared = docs.sparkSession.sparkContext.broadcast(often)  # at most known shingles
-    # each signature's classes, as many as batches of tasks have it, are linked to its least one
-    least = F.min("node").over(Window.partitionBy("sig"))
-    stars = signed(docs, shared, width, percent).withColumn("u", least).where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    groups = cut(components(stars).select("node", F.col("component").alias("group")))
+    pairs = candidates(signed(docs, shared, width, percent), classed, percent)
+    groups = cut(components(pairs).select("node", F.col("component").alias("group")))
     one = classed.where("class IS NOT NULL").groupBy("class", "node").agg(F.min(F.struct("doc_id", *_KEY)).alias("d"), F.first("n_shingles").alias("n"))
     grouped = groups.join(one, "node")
     parts = grouped.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("n_parts"), F.min("class").alias("leader"))

@@ -670,6 +670,50 @@ def test_trie_loses_no_link(percent):
         assert joined(len(sets), ngram_jaccard.links(arrays, percent, often, part) + true[::2]) == joined(len(sets), true)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_sketches_refuse_no_link(percent):
+    rng = random.Random(percent)
+    refused = 0
+    for seed in range(60):
+        sets = [*random_sets(seed), *(frozenset(rng.getrandbits(60) for _ in range(rng.choice([1, 30, 300]))) for _ in range(6))]
+        arrays = [np.array(sorted(s), np.uint64) for s in sets]
+        found = ngram_jaccard.near([ngram_jaccard.sketch(s) for s in arrays], np.array([len(s) for s in sets]), percent)
+        root = joined(len(sets), found)
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            assert root[a] == root[b] or 100 * len(sets[a] & sets[b]) < percent * len(sets[a] | sets[b])
+        assert len(found) == len(sets) - len(set(root))  # a forest
+        refused += len(set(root)) - 1
+    assert refused >= 6 * 60
+
+
+@pytest.mark.parametrize(("few", "many"), [(16, 10_000), (2, 10_000), (2, 3)])
+def test_chains_of_passages_are_no_group(spark, monkeypatch, few, many):
+    """Texts that share much, but too little, with the next meet by signatures; only near copies make a group."""
+    monkeypatch.setattr(ngram_jaccard, "FEW", few)
+    monkeypatch.setattr(ngram_jaccard, "MANY", many)
+    rows = [(k, " ".join(f"w{i}" for i in range(60 * k, 60 * k + 200))) for k in range(40)]
+    rows += [(100 + 10 * k + c, rows[k][1].replace(f"w{60 * k + 100} ", f"other{c} ")) for k in (3, 20) for c in range(6)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classed, counts = ngram_jaccard.shingled(d, 5)
+    shared = spark.sparkContext.broadcast(ngram_jaccard.frequent(counts, 0))
+    meetings = ngram_jaccard.signed(d, shared, 5, 80).collect()
+    by_sig: dict = {}
+    for r in meetings:
+        by_sig.setdefault(r.sig, set()).add(r.node)
+    name = {r.node: r.doc_id for r in classed.collect()}
+    docs_of = sorted(name.values())
+    at = {k: i for i, k in enumerate(docs_of)}
+    root = lambda pairs: joined(len(docs_of), [(at[name[a]], at[name[b]]) for a, b in pairs])
+    alike = {frozenset([3, *range(130, 136)]), frozenset([20, *range(300, 306)])}
+    large = lambda r: {frozenset(docs_of[i] for i, x in enumerate(r) if x == k) for k in set(r) if r.count(k) > 1}
+    met = large(root([(min(x), b) for x in by_sig.values() for b in x]))
+    assert max(map(len, met)) > 30  # by signatures alone
+    got = large(root([(r.u, r.v) for r in ngram_jaccard.candidates(spark.createDataFrame(meetings, "sig bigint, node bigint"), classed, 80).collect()]))
+    assert all(any(x <= g for g in got) for x in alike) and (many < 10_000 or got == alike)
+    ids = {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard(d, 5, 80).collect()}
+    assert {k: c for k, c in ids.items() if k != c} == {k: min(x) for x in alike for k in x if k != min(x)}
+
+
 def shingles(text):
     ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return frozenset(tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))) if ws else frozenset()
